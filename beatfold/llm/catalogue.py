@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from beatfold.llm import media, topk, url_filter
+from beatfold.llm import bpe, media, packing, topk, url_filter
 
 QUERIES = {
     "op3_media": media.op3_media,
+    "op4_packing": packing.op4_packing,
+    "op5_bpe": bpe.op5_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_topk": topk.op8_topk,
 }
