@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from beatfold.llm import bpe, media, packing, topk, url_filter
+from beatfold.llm import bpe, language, media, packing, topk, toxicity, url_filter
 
 QUERIES = {
     "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_language": language.op7_language,
     "op8_topk": topk.op8_topk,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op6_url_filter": url_filter.OP6_SQL,
