@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from beatfold.llm import bpe, language, media, packing, topk, toxicity, url_filter
+from beatfold.llm import bpe, language, media, packing, secret_scan, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_secrets": secret_scan.op1_secrets,
     "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
