@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from beatfold.llm import bpe, language, media, packing, secret_scan, topk, toxicity, url_filter
+from beatfold.llm import bpe, language, media, packing, secret_scan, substring_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
@@ -15,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op8_topk": topk.OP8_SQL,
 }
