@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from beatfold.llm import bpe, language, media, packing, secret_scan, substring_dedup, topk, toxicity, url_filter
+from beatfold.llm import bpe, language, media, near_dedup, packing, secret_scan, substring_dedup, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
     "op3_media": media.op3_media,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
