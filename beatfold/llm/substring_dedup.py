@@ -250,8 +250,9 @@ def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
     return [w for w, f in zip(words, free.tolist(), strict=True) if f]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(<id_col>, *carry, n_words, n_removed, kept string): each document's words that no repeated window covers, joined by a space."""
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), keep_whole: bool = False) -> DataFrame:
+    """(<id_col>, *carry, n_words, n_removed, kept string): each document's words that no repeated window covers, joined by a space;
+    with keep_whole, a text that loses nothing is kept as it is."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col, *carry)
@@ -278,7 +279,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 left = kept_words(words, starts[i].values.to_numpy()) if starts[i].is_valid else words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left).decode())
+                kept.append(t if keep_whole and len(left) == len(words) else b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*b.schema.names[2:], "n_words", "n_removed", "kept"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:])

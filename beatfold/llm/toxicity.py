@@ -303,9 +303,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(<id_col>, *carry, score double) of every text."""
+    """(<id_col>, *carry, score double) of every text; carry may hold the text column."""
     common.small_batches(docs.sparkSession)
-    docs = common.pick(docs, text_col, id_col, *carry)
+    again = text_col in carry
+    docs = common.pick(docs, text_col, id_col, *(c for c in carry if c != text_col))
     if isinstance(net, float):
         return docs.select(id_col, *carry, F.lit(net).alias("score"))
     key = str(zlib.crc32(b"".join(v.tobytes() for v in net.w.values())))
@@ -314,9 +315,9 @@ def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_co
         s = scorer(key, net)
         for b in common.slices(batches, text_col, 2 << 20):
             found = s.scores([words_of(t) for t in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found)], [*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1 - again :], pa.array(found)], [*b.schema.names[1 - again :], "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1:])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1 - again :])
     return docs.mapInArrow(run, f"{kinds}, score double")
 
 
