@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from beatfold.plans import beats, burden, clusters, evaluation
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (burden, beats, evaluation, clusters):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
