@@ -62,8 +62,13 @@ class Words(dict):
 
 
 def cut(text: str) -> list[str]:
-    """The text without the single spaces that stand between two non-space characters, cut there."""
-    return _CLEAN_CUT.split(text) if _ROUGH.search(text) else text.split(" ")
+    """The text cut where no pre-token straddles: at single spaces between two other characters (left out here), and, where no two
+    spaces or line ends meet, before line ends. spaced() gives a part but the first its space back."""
+    return _CLEAN_CUT.split(text) if _ROUGH.search(text) else text.replace("\n", " \n").split(" ")
+
+
+def spaced(part: str) -> str:
+    return part if part[0] == "\n" else " " + part
 
 
 class Codec:
@@ -88,7 +93,7 @@ class Codec:
         self.pretoken = regex.compile(PRETOKEN)
         self.tokens = Words(self.merge, KNOWN_TOKENS)
         self.first = Words(self.word, KNOWN_WORDS // 8)
-        self.rest = Words(lambda w: self.word(" " + w), KNOWN_WORDS)
+        self.rest = Words(lambda w: self.word(spaced(w)), KNOWN_WORDS)
 
     def merge(self, token: str) -> bytes:
         """The lowest rank is merged first, the leftmost of equals. Queue entries whose symbols have changed meanwhile are skipped."""

@@ -14,6 +14,7 @@ texts become many pieces. An empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 
 import numpy as np
@@ -26,6 +27,7 @@ from beatfold.llm import bpe, common
 
 SIZE, PIECE, STEP, END = 2048, 1024, 4, 1
 BUCKETS = 64
+KNOWN_WORDS = 1_000_000
 
 
 class Library:
@@ -41,22 +43,23 @@ class Library:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes."""
+        return [np.array(e.ids, "<u4").tobytes() if len(e) > 64 else struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(s in t for s in self.special) for t in texts]
         cuts = [bpe.cut(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > bpe.KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = set()
         for c in cuts:
             if c:
                 new.update(c[1:])
         new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, (x.tobytes() for x in self.ids([" " + w for w in new])), strict=True))
+        self.known.update(zip(new, self.ids([*map(bpe.spaced, new)]), strict=True))
         heads = iter(self.ids([c[0] if c else t for t, c in zip(texts, cuts, strict=True)]))
-        return [h.tobytes() + b"".join(map(self.known.__getitem__, c[1:])) if c else h.tobytes() for h, c in zip(heads, cuts, strict=True)]
+        return [h + b"".join(map(self.known.__getitem__, c[1:])) if c else h for h, c in zip(heads, cuts, strict=True)]
 
 
 _libraries: dict = {}
