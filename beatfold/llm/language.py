@@ -201,12 +201,12 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     rows = common.pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.filter(F.crc32(F.col("id").cast("string")) % 4 != 2)
     ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
-    shares = ids.groupBy("lang").count()
-    totals = {r.lang: r["count"] for r in shares.collect()}  # a row for each language
+    totals = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
     if not totals:
         return None
     # twice the sample by hash, so that no language's rows all meet in one task to be ranked
-    near = ids.join(shares, "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(float(2 << 40) * sample) / F.col("count"))
+    shares = docs.sparkSession.createDataFrame([*totals.items()], "lang string, count long")
+    near = ids.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(float(2 << 40) * sample) / F.col("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = near.withColumn("n", rank).filter(F.col("n") <= sample).select("id", "lang").distinct()
 
