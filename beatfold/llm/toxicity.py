@@ -2,7 +2,7 @@
 
 A text is lower-cased and cut into words; a step of the network sees a word as a hashed word embedding and the mean of the
 embeddings of its hashed character n-grams (sizes 3 to 6, with marks for both ends). All windows of 32 words that overlap by half
-are scored; a text's logit is that of its most toxic window, put on the scale of probabilities by a logistic fit. The network
+are scored; a text's logit is that of its most toxic window, put on the scale of probabilities by a logistic fit and the shares of the classes. The network
 learns from document labels alone (many windows, one label), on a bounded sample of labelled rows: SAMPLE rows of each class at
 most, and at most SAMPLE_WINDOWS windows of each. Scoring covers every word of every text.
 
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from beatfold.llm import common
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, SAMPLE_WINDOWS = 1500, 48
+SAMPLE, SAMPLE_WINDOWS = 1000, 48
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 13, 16, 8, 16, 8
 GRAMS, LETTERS = (3, 4, 5, 6), 32
-EPOCHS, BATCH, RATE, SEED, DECAY = 6, 24, 0.01, 7, 0.01
+EPOCHS, BATCH, RATE, SEED, DECAY = 8, 64, 0.01, 7, 0.01
+LEAST_STEPS, DROPPED = 225, 0.3
 KNOWN_WORDS = 250_000
 CUTOFF = 0.7
 _WORD = re.compile(r"\w{1,32}")
@@ -192,6 +193,7 @@ def train(texts: list[list[str]], label: np.ndarray, epochs: int = EPOCHS, seed:
     net, r = Network(seed), np.random.default_rng(seed)
     apart = np.arange(len(texts)) % 10 == 9
     learn = np.nonzero(~apart)[0]
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(learn)))
     one = {k: np.zeros_like(v) for k, v in net.w.items()}
     two, step = {k: np.zeros_like(v) for k, v in net.w.items()}, 0
     for epoch in range(epochs):
@@ -201,6 +203,7 @@ def train(texts: list[list[str]], label: np.ndarray, epochs: int = EPOCHS, seed:
             if not number:
                 continue
             rows, count = window_rows(docs)
+            rows = np.where(r.random(rows.shape) < DROPPED, 0, rows)  # words left out at random, so that rare words are not learnt by heart
             _, grads, sparse = net.gradients(list(number), rows, count, label[at])
             step += 1
             rate = RATE * min(1, 2 * (1 - epoch / epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -299,7 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len({*label}) < 2:
         return float(label.mean()) if len(label) else 0.0
     order = np.random.default_rng(SEED).permutation(len(got))
-    return train([got[i].words.split() for i in order], label[order])
+    net = train([got[i].words.split() for i in order], label[order])
+    share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    a, b = net.scale  # fitted on the sample; the shift gives the classes back their shares among all learnable rows
+    net.scale = a, b + float(np.log(share[1] / share[0]) - np.log(label.sum() / (len(label) - label.sum())))
+    return net
 
 
 def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
