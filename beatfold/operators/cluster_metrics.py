@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatfold.functions.scalars import over
+from beatfold.sources.shared import settled
 
 BLOCK = 1024
 
@@ -100,6 +101,7 @@ def cluster_quality(df: DataFrame, point: str = "point", cluster: str = "cluster
 
 def quality_by_k(df: DataFrame, point: str = "point", profile: str = "profile") -> DataFrame:
     """(k, silhouette, davies_bouldin, calinski_harabasz) of rows (point, profile, k, cluster), one k after the other of a short list."""
+    df = settled(df)  # computed once for every k and measure
     ks = sorted(r.k for r in df.select("k").distinct().collect())
     parts = [cluster_quality(df.filter(F.col("k") == k), point, "cluster", profile).select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "calinski_harabasz") for k in ks]
     out = parts[0]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beatfold.functions import linkage as tree
+from beatfold.sources.shared import settled
 
 CAP = 3000
 SEED = 42
@@ -25,6 +26,7 @@ SEED = 42
 
 def points(profiles: DataFrame, patient: str = "patient_id", profile: str = "profile", cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     """((point, x, weight), (patient, point)): what the tree is built on, and which point stands for each patient."""
+    profiles = settled(profiles)
     same = profiles.groupBy(F.col(profile).alias("x")).agg(F.min(patient).alias("point"), F.count("*").alias("weight"))
     member = profiles.select(patient, F.col(profile).alias("x")).join(same.select("x", "point"), "x").select(patient, "point")
     if same.count() <= cap:
