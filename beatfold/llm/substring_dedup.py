@@ -257,14 +257,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col, *carry)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc"), id_col, *carry)
+    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), id_col, *carry)
     ranges = max(LEAST_RANGES, (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // RANGE_CHARS)
 
     cells = own.select("text", "key").mapInArrow(_anchor_rows(ranges), "part int, cell binary, many binary, key binary, pos binary, sure_key binary, sure_pos binary")
     flags = cells.groupBy("part").applyInArrow(_merge_sketches, "key long, at array<int>")
     flags = common.written(flags.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at")), "window-flags")  # a document's own positions
 
-    asked = own.join(flags.hint("shuffle_hash"), "key", "left").select("text", "key", "doc", "at")
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc")
+    # all columns of `own` in both joins, so that the texts are shuffled once and that exchange is used again
+    asked = own.join(flags.hint("shuffle_hash"), "key", "left").select("text", "key", doc, "at", F.col(id_col).alias("_id"), *carry)
     seen = asked.mapInArrow(_window_rows(4 * ranges), "part int, h1 binary, h2 binary, doc binary, key binary, start binary, sure_key binary, sure_start binary")
     later = seen.groupBy("part").applyInArrow(_group_windows, "key long, starts array<int>")
     later = later.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
