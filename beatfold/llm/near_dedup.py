@@ -7,8 +7,9 @@ the earliest point that falls to it. Two registers agree with a probability of t
 Time is bounded for each document so that nearly all registers fill, and extended for those that did not.
 
 Equal word sequences are one node. Bands of registers give buckets; in a bucket everyone is compared with its most central member
-(the one whose buckets hold most). What is then joined needs no more comparing; where a bucket still holds several components, its
-members are compared across them by signatures, in blocks, and those that may be similar are verified too. Verification is exact:
+(the one whose buckets hold most). What is then joined needs no more comparing; where a bucket still holds several components, those
+outside its largest one are compared with all its members in blocks: by signatures, and pairs that may be similar exactly. Those pairs
+are lists within a block pair, not rows, and are looked at in the first band alone in which they meet. Verification is exact:
 sizes of the intersection and the union of the multisets (48-bit hashes of a shingle and its occurrence number). Classes are the
 connected components of verified links. A pair at the threshold is missed by all bands with a probability of 3e-6.
 
@@ -146,7 +147,7 @@ def _banded(batches):
         h = np.arange(sig.shape[1], dtype=np.uint64)[None] * C2 + np.zeros((len(sig), 1), np.uint64)
         for k in range(BAND):
             h = mixed(h ^ sig[:, :, k])
-        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sig.shape[1]))], ["bucket", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), sig.shape[1])), pa.array(np.tile(np.arange(sig.shape[1], dtype=np.int32), len(sig)))], ["bucket", "node", "band"])
 
 
 def _blobs(batches):
@@ -165,37 +166,64 @@ def _verified(batches):
         yield b.filter(pa.array(hit)).select(["a", "b"])
 
 
-def _across(batches):
-    """Pairs of one block pair that lie in different components and whose signatures agree well enough; rows come ordered by block pair."""
-
-    def pairs(rows: pa.Table):
-        node, comp = rows.column("node").to_numpy(), rows.column("comp").to_numpy()
-        side = rows.column("side").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
-        left = np.nonzero(side != 1)[0]  # side 2: a block with itself
-        right = np.nonzero(side != 0)[0]
-        found = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((side[i] == 0) | (node[right] > node[i]))]
-            j = j[(sig[j] == sig[i]).sum(1) >= MAYBE * REGISTERS] if len(j) else j
-            found += [(min(node[i], node[k]), max(node[i], node[k])) for k in j]
-        return found
-
-    rest, out = None, []
+def _block_pairs(batches):
+    """The rows of each (bucket, i, j); rows come ordered by these."""
+    rest = None
     for b in batches:
         t = pa.Table.from_batches([b])
         t = pa.concat_tables([rest, t]) if rest is not None else t
         k = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
         cuts = np.nonzero((k[:, 1:] != k[:, :-1]).any(0))[0] + 1
         for a, z in zip([0, *cuts[:-1]], cuts, strict=False):
-            out += pairs(t.slice(a, z - a))
+            yield t.slice(a, z - a)
         rest = t.slice(cuts[-1] if len(cuts) else 0)
-        if len(out) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-            out = []
-    if rest is not None:
-        out += pairs(rest)
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _screened(batches):
+    """Nodes of pairs that lie in different components, whose signatures agree well enough, and that meet in no earlier band.
+
+    partners: on one side of a pair, its other side, best agreement first.
+    """
+    for rows in _block_pairs(batches):
+        node, comp, side = (rows.column(c).to_numpy() for c in ("node", "comp", "side"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint32).reshape(len(node), -1)
+        band, right, partners = rows.column("band")[0].as_py(), np.nonzero(side != 0)[0], {}
+        for i in np.nonzero(side != 1)[0]:  # side 2: a block with itself
+            j = right[(comp[right] != comp[i]) & ((side[i] == 0) | (node[right] > node[i]))]
+            if len(j):
+                same = sig[j] == sig[i]
+                agree = same.sum(1)
+                ok = (agree >= MAYBE * REGISTERS) & (same.reshape(len(j), -1, BAND).all(2).argmax(1) == band)
+                if ok.any():
+                    partners[i] = node[j[ok][np.argsort(-agree[ok], kind="stable")]].tolist()
+        if partners:
+            met = {x for p in partners.values() for x in p}
+            keep = np.array([i for i in range(len(node)) if i in partners or (side[i] != 0 and node[i] in met)])
+            rows = rows.select(["bucket", "i", "j", "node", "comp"]).take(pa.array(keep)).combine_chunks()
+            lists = pa.array([partners.get(i, []) for i in keep], pa.list_(pa.int64()))
+            yield from rows.append_column("partners", lists).to_batches()
+
+
+def _linked(batches):
+    """Verified links of the pairs of _screened; one link between a node and a component is enough."""
+    for rows in _block_pairs(batches):
+        node, comp = rows.column("node").to_pylist(), rows.column("comp").to_pylist()
+        bag = [unpacked(x) for x in rows.column("bag").to_pylist()]
+        at, found = {n: i for i, n in enumerate(node)}, []
+        for i, partners in enumerate(rows.column("partners").to_pylist()):
+            joined = set()
+            for other in partners:
+                k = at[other]
+                few, many = sorted((len(bag[i]), len(bag[k])))
+                if comp[k] not in joined and few * SIMILAR[1] >= many * SIMILAR[0]:
+                    both, either = overlap(bag[i], bag[k])
+                    if both * SIMILAR[1] >= either * SIMILAR[0]:
+                        joined.add(comp[k])
+                        found.append((node[i], other))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -213,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "sig")).alias("s"))
     nodes = common.written(least.select("name", F.col("s.id").alias("node"), F.col("s.sig").alias("sig")), "nodes")
 
-    rows = nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long")
+    rows = nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long, band int")
     rows = common.written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket"), "buckets")
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = rows.join(central, "node")
@@ -228,16 +256,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = common.written(verified(pairs, bags), "links")
 
     comps = components(links)
-    held = rows.join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    split = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    held = held.filter("size > 2").join(split, "bucket").join(nodes.groupBy("node").agg(F.min("sig").alias("sig")), "node")
-    held = held.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "sig")
-    more = held.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across, "a long, b long").distinct()
-    more = common.written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    held = rows.join(comps, "node", "left").select("bucket", "node", "band", "size", F.coalesce("comp", "node").alias("comp"))
+    parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
+    held = held.filter("size > 2").join(parts.select("bucket", "main"), "bucket").join(nodes.groupBy("node").agg(F.min("sig").alias("sig")), "node")
+    # members outside a bucket's largest component meet everyone; those inside meet the outsiders alone
+    inside = F.col("comp") == F.col("main.comp")
+    outer, inner = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("main.n"), F.col("main.n")))
+    h = F.xxhash64("node")
+    held = held.withColumn("own", F.when(inside, outer + F.pmod(h, inner)).otherwise(F.pmod(h, outer)).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, outer).otherwise(outer + inner) - 1)))
+    held = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "comp", "band", "sig")
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    asked = dealt(held).mapInArrow(_screened, "bucket long, i int, j int, node long, comp long, partners array<long>")
+    more = common.written(dealt(asked.join(bags, "node")).mapInArrow(_linked, "a long, b long").distinct(), "more-links")
     if not more.isEmpty():
-        links = common.written(links.union(verified(more, bags)), "links")
+        links = common.written(links.union(more), "links")
         comps = components(links)
 
     own = nodes.join(comps, "node", "left").select("name", F.coalesce("comp", "node").alias("comp"))
