@@ -163,7 +163,9 @@ def naive_classes(texts):
     return {i: root(i) for i in parent}
 
 
-def test_near_duplicates_by_brute_force(docs):
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_duplicates_by_brute_force(docs, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     texts = near_texts()
     assert dict(rows(near_dedup.near_duplicates(docs(texts, True).repartition(3)))) == naive_classes(texts)
 
