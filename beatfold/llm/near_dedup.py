@@ -131,7 +131,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(batches):
-    for b in common.slices(batches, "text"):
+    for b in common.slices(batches, "text", 3 << 20):
         words = [words_of(t) for t in b.column(0).to_pylist()]
         name = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
         first: dict = {}
@@ -151,7 +151,7 @@ def _banded(batches):
 
 
 def _blobs(batches):
-    for b in common.slices(batches, "text"):
+    for b in common.slices(batches, "text", 3 << 20):
         words = [words_of(t) for t in b.column(0).to_pylist()]
         owner, h = shingles(words)
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array(elements(owner, h, len(words)), pa.binary())], ["node", "bag"])
