@@ -27,7 +27,7 @@ from beatfold.llm import bpe, common
 
 SIZE, PIECE, STEP, END = 2048, 1024, 4, 1
 BUCKETS = 64
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS, LINE_WORDS = 700_000, 2000
 
 
 class Library:
@@ -40,24 +40,44 @@ class Library:
         self.tokenizer = Tokenizer.from_file(bpe.vocabulary_path(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        space, vocab = bpe.byte_letters()[32], self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for s, i in vocab.items() if s.startswith(space)]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # words known earlier; those met again move to the others
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         return [np.array(e.ids, "<u4").tobytes() if len(e) > 64 else struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, parts: list[str]) -> list[tuple[str, bytes]]:
+        """Parts of texts (not first ones) with their ids. Those without white space go to the library in lines: a word's first
+        piece alone begins with a space, which parts the ids again."""
+        single, found = [], []
+        for w in parts:
+            (single if w.split() == [w] else found).append(w)
+        found = [*zip(found, self.ids([*map(bpe.spaced, found)]), strict=True)]
+        for at in range(0, len(single), LINE_WORDS):
+            some = single[at : at + LINE_WORDS]
+            (data,) = self.ids([" " + " ".join(some)])
+            begin = [*(4 * np.nonzero(self.begins[np.frombuffer(data, "<u4")])[0]).tolist(), len(data)]
+            found += zip(some, [data[a:b] for a, b in zip(begin, begin[1:], strict=False)], strict=True)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not any(s in t for s in self.special) for t in texts]
         cuts = [bpe.cut(t) if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         new = set()
         for c in cuts:
             if c:
                 new.update(c[1:])
-        new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, self.ids([*map(bpe.spaced, new)]), strict=True))
+        new.difference_update(self.known)
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self.known.update(self.words([*(new - again)]))
         heads = iter(self.ids([c[0] if c else t for t, c in zip(texts, cuts, strict=True)]))
         return [h + b"".join(map(self.known.__getitem__, c[1:])) if c else h for h, c in zip(heads, cuts, strict=True)]
 
