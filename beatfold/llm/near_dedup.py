@@ -13,9 +13,12 @@ are lists within a block pair, not rows, and are looked at in the first band alo
 sizes of the intersection and the union of the multisets (48-bit hashes of a shingle and its occurrence number). Classes are the
 connected components of verified links. A pair at the threshold is missed by all bands with a probability of 3e-6.
 
-Nulls: null and empty texts (no words) are in no group: each document its own class. Rows with one id are one document, in one
-class; a null id counts as the least id and is given back as null. Very long texts are used whole. Empty tables give empty
-results; extra columns are ignored. Ids must be integers.
+Rows are told apart by id and text: rows that share an id, or have none, are documents of their own where their texts differ. The
+first row of each class by id, then digest of the text, is kept; rows equal in both are kept together. `class_id` is the id of the
+first row, so classes whose first rows share an id (or have none) show the same one; `is_kept` is right for each row even then.
+
+Nulls: null and empty texts (no words) are in no group: each document its own class. A null id comes before all others and is given
+back as null. Very long texts are used whole. Empty tables give empty results; extra columns are ignored. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from beatfold.llm import common, substring_dedup
 from beatfold.llm.components import components
@@ -33,8 +37,7 @@ from beatfold.llm.substring_dedup import mixed, rolling, words_of
 SHINGLE, REGISTERS, BAND = 5, 96, 4
 SIMILAR = (4, 5)  # at least 4/5
 MAYBE = 0.6  # of the registers, for pairs that are verified
-BLOCK, BROADCAST_IDS = 512, 1_000_000
-LEAST_ID = substring_dedup.LEAST_ID
+BLOCK, BROADCAST_KEYS = 512, 250_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -138,7 +141,7 @@ def _signed(batches):
         mine = [first.setdefault(x, i) if x else i for i, x in enumerate(name)]  # copies within a slice are signed once
         owner, h = shingles([w if mine[i] == i else [] for i, w in enumerate(words)])
         sig = signatures(owner, h, len(words))
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(name, pa.binary()), pa.array([sig[j].tobytes() if x else None for j, x in zip(mine, name, strict=True)], pa.binary())], ["id", "name", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(name, pa.binary()), pa.array([sig[j].tobytes() if x else None for j, x in zip(mine, name, strict=True)], pa.binary())], ["id", "key", "name", "sig"])
 
 
 def _banded(batches):
@@ -232,14 +235,25 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(_verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(<id_col>, class_id): the least id of each document's class."""
+def key_of(text: str) -> Column:
+    """128 bits that tell the texts of one id apart; no bytes for a null text."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """names (one row for each) with a number of its own, `node`: a hash, and the rank among the few names with that hash."""
+    h = names.withColumn("h", F.pmod(F.xxhash64("name"), F.lit(1 << 39)))
+    return h.withColumn("node", F.col("h") * F.lit(1 << 24) + F.row_number().over(Window.partitionBy("h").orderBy("name"))).drop("h")
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, class_id, is_kept) of every row; key: see key_of."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    docs = common.pick(docs, text_col, id_col).select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("id"))
-    signed = common.written(docs.mapInArrow(_signed, "id long, name binary, sig binary"), "signatures")
-    least = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "sig")).alias("s"))
-    nodes = common.written(least.select("name", F.col("s.id").alias("node"), F.col("s.sig").alias("sig")), "nodes")
+    docs = common.pick(docs, text_col, id_col).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key_of(text_col).alias("key"))
+    signed = common.written(docs.mapInArrow(_signed, "id long, key binary, name binary, sig binary"), "signatures")
+    least = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "key", "sig")).alias("s"))
+    nodes = common.written(numbered(least.select("name", "s.id", "s.key", "s.sig")), "nodes")
 
     rows = nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long, band int")
     rows = common.written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket"), "buckets")
@@ -249,9 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = common.written(rows.join(hubs, "bucket").filter("node <> hub").select(*pair("node", "hub")).distinct(), "pairs")
 
-    asked = common.written(central.select("node"), "asked")
-    few = asked.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(asked) if few else asked, F.col("id") == F.col("node")).select("text", "id")
+    asked = common.written(nodes.join(central.select("node"), "node").select("node", F.col("id").alias("of"), F.col("key").alias("of_key")), "asked")
+    few = asked.count() <= BROADCAST_KEYS
+    found = docs.join(F.broadcast(asked) if few else asked, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).select("text", "node")
     bags = common.written(found.mapInArrow(_blobs, "node long, bag binary").groupBy("node").agg(F.min("bag").alias("bag")), "bags")
     links = common.written(verified(pairs, bags), "links")
 
@@ -259,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = rows.join(comps, "node", "left").select("bucket", "node", "band", "size", F.coalesce("comp", "node").alias("comp"))
     parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    held = held.filter("size > 2").join(parts.select("bucket", "main"), "bucket").join(nodes.groupBy("node").agg(F.min("sig").alias("sig")), "node")
+    held = held.filter("size > 2").join(parts.select("bucket", "main"), "bucket").join(nodes.select("node", "sig"), "node")
     # members outside a bucket's largest component meet everyone; those inside meet the outsiders alone
     inside = F.col("comp") == F.col("main.comp")
     outer, inner = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("main.n"), F.col("main.n")))
@@ -274,12 +288,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = common.written(links.union(more), "links")
         comps = components(links)
 
-    own = nodes.join(comps, "node", "left").select("name", F.coalesce("comp", "node").alias("comp"))
-    classed = signed.select("id", "name").join(own, "name", "left").groupBy("id").agg(F.coalesce(F.min("comp"), F.col("id")).alias("class"))
-    back = lambda c: F.when(F.col(c) != LEAST_ID, F.col(c))
-    return signed.select("id").join(classed, "id").select(back("id").alias(id_col), back("class").alias("class_id"))
+    first = F.struct("id", "key").alias("first")
+    joined = nodes.select("node", first).join(comps, "node")
+    heads = joined.groupBy("comp").agg(F.min("first").alias("head"))
+    heads = common.written(joined.join(heads, "comp").select("node", "head"), "heads")
+    own = nodes.select("node", "name", first).join(heads, "node", "left").select("name", F.coalesce("head", "first").alias("head"))
+    row = signed.select("id", "key", "name").join(own, "name", "left")
+    is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
+    alone = F.col("name").isNull()
+    return row.select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"), (alone | is_first).alias("is_kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(<id_col>, class_id) of every row: the id of the first row of its class."""
+    return classified(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    return classified(common.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "is_kept")

@@ -314,6 +314,23 @@ def test_repeated_rows_leave_one(spark, docs):
     assert rows(out, "doc_id") == [(1,), (3,)]
 
 
+def test_rows_without_ids_of_their_own(docs):
+    """Several null ids, and one id with a text of its own and a copied one: no text vanishes, and one row of each class stays."""
+    base, other = ([f"{c}{i}" for i in range(40)] for c in "vw")
+    near = " ".join([*base[:-1], "edit"])
+    one, two, own = " ".join(base), " ".join(other), "a text of its own here"
+    texts = [(None, one), (None, two), (None, "third null text"), (5, two), (7, own), (7, near), (8, near), (9, None), (9, "")]
+    found = near_dedup.classified(docs(texts, True).repartition(3)).collect()
+    assert sorted((r.id or 0, r.class_id or 0, r.is_kept) for r in found) == [(0, 0, True)] * 3 + [(5, 0, False), (7, 0, False), (7, 7, True), (8, 0, False), (9, 9, True), (9, 9, True)]
+    out = corpus_pipeline.drop_near_copies(docs([]).sparkSession, docs(texts), "")
+    assert sorted(out.select("doc_id", "text").fillna("~", ["text"]).fillna(0).collect()) == sorted([(0, one), (0, "third null text"), (0, two), (7, own), (9, ""), (9, "~")])
+
+
+def test_numbers_of_names_are_unique(spark):
+    names = spark.range(2000).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("name"))
+    assert near_dedup.numbered(names).select("node").distinct().count() == 2000
+
+
 def test_digest_of_kept_words(docs):
     row = substring_dedup.dedup_substrings(docs([(1, "a  b\nc")])).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert row.kept == "a b c" and row.h == hashlib.sha256(b"a b c").hexdigest()
