@@ -3,8 +3,8 @@
 The base patterns label credentials in the corpus. From a bounded sample of them (LABELLED distinct values of each kind, the least
 by hash over the whole corpus) and of other long runs, prefix trees over character classes are built, and states whose counts are
 statistically compatible (Hoeffding bounds, tested down the tree) are merged into probabilistic automata: one for each kind and one
-for ordinary runs. Every run of CANDIDATE letters that no base span touches is scored by its log likelihood under the best
-credential automaton against the ordinary one; runs above a threshold set from the ordinary sample are added as `grammar` spans.
+for ordinary runs. Every run of CANDIDATE letters, and every part of LEAST letters and more that base spans leave of one, is scored by
+its log likelihood under the best credential automaton against the ordinary one (learnt from runs that no base span touches); those above a threshold set from the ordinary sample are added as `grammar` spans.
 Base spans always stay. Spans count code points; ends are exclusive.
 
 Nulls: a null text counts as empty (no spans); a null id stays. Repeated rows get equal spans. Very long runs are scored whole (for
@@ -31,6 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more among those of [0-9a-f]+
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+LEAST, JOINTS = 12, "+/_.=-"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "grammar")
 LABELLED, ORDINARY, LONGEST = 1000, 4000, 128
@@ -53,16 +54,29 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def other_runs(text: str, base: list) -> list[tuple[int, int, str]]:
-    """Candidate runs that touch no base span."""
+def other_runs(text: str, base: list, whole: bool = False) -> list[tuple[int, int, str]]:
+    """What base spans leave of candidate runs, where that is long enough; whole: only runs that touch no base span.
+
+    Signs that join a part to a base span do not belong to it, unless it is too short without them.
+    """
     found, taken, k, reach = [], sorted((s, e) for _, s, e, _ in base), 0, -1
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
+        at, parts = max(s, reach), []
         while k < len(taken) and taken[k][0] < e:
+            parts.append((at, taken[k][0]))
             reach = max(reach, taken[k][1])
-            k += 1
-        if reach <= s:
-            found.append((s, e, m[0]))
+            at, k = max(at, reach), k + 1
+        for a, z in [*parts, (at, e)]:
+            if z - a < LEAST or (whole and (a, z) != (s, e)):
+                continue
+            b, y = a, z
+            while a > s and b < y and text[b] in JOINTS:
+                b += 1
+            while z < e and b < y and text[y - 1] in JOINTS:
+                y -= 1
+            a, z = (b, y) if y - b >= LEAST else (a, z)
+            found.append((a, z, text[a:z]))
     return found
 
 
@@ -199,7 +213,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelle
             for text in b.column(0).to_pylist():
                 if text:
                     base = base_spans(text)
-                    for kind, v in [*((x[0], x[3]) for x in base), *(("grammar", x[2]) for x in other_runs(text, base))]:
+                    for kind, v in [*((x[0], x[3]) for x in base), *(("grammar", x[2]) for x in other_runs(text, base, whole=True))]:
                         if len(v) <= LONGEST and v not in least[kind]:
                             least[kind][v] = xxhash.xxh64_intdigest(v.encode()) >> 1
                 for kind in KINDS:

@@ -62,6 +62,19 @@ def test_grammar_tells_credentials_from_words(docs):
     assert [x[:3] for x in grammar.spans(f"see {secret} here")] == [("grammar", 4, 32)]  # no base pattern knows it
 
 
+def test_credentials_joined_to_base_spans(docs):
+    grammar = secret_scan.fit(docs(list(enumerate(secret_texts(), 100))))
+    r = random.Random(4)
+    secret = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=28))
+    access, name = "AKIA" + "".join(r.choices("0123456789ABCDEF", k=16)), "0123456789abcdef"
+    assert [x[:3] for x in grammar.spans(f"see {access}/{secret} here")] == [("access", 4, 24), ("grammar", 25, 53)]
+    assert [x[:3] for x in grammar.spans(f"{secret}.{name}.{secret}")] == [("grammar", 0, 28), ("hex", 29, 45), ("grammar", 46, 74)]
+    row = secret_scan.find_secrets(docs([(1, f"get a/{name}/{secret} now")]), grammar, redact="[X]").first()
+    assert row.text == "get a/[X]/[X] now"
+    base = secret_scan.base_spans(f"{name}/{'z' * 11} {name}//{'z' * 9}+ {'z' * 20}")
+    assert [x[2] for x in secret_scan.other_runs(f"{name}/{'z' * 11} {name}//{'z' * 9}+ {'z' * 20}", base)] == [f"/{'z' * 11}", f"//{'z' * 9}+", "z" * 20]
+
+
 def test_merged_states_keep_probabilities():
     a = secret_scan.Automaton(["ab12", "ac34", "12ab"] * 20)
     assert len({n for x in a.next for n in x.values()}) < 12
