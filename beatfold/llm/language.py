@@ -7,7 +7,8 @@ the languages are weighed by Bayes' rule with their shares of the sample as prio
 probability of their own, so any text has a score.
 
 Learning: at most SAMPLE documents of each language, and of those at most SAMPLE_WORDS words each, spread over the whole text;
-the most frequent words, at most VOCABULARY for each language on average. Scoring covers every word of every text.
+all their words, or where these are more than VOCABULARY for each language on average, the VOCABULARY most frequent words of each
+language and as many of all languages together as that makes. Scoring covers every word of every text.
 
 Nulls: a null text, or one without letters, is `und` with score 0.0; null ids stay, are not held out and are never learnt from;
 null languages are not learnt from. Without learnable rows every text is `und`. Ties go to the language that sorts first.
@@ -222,9 +223,14 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
     picked = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang")  # `sample` ids of each language at most
-    counts = picked.mapInArrow(some, "lang string, word string").groupBy("lang", "word").count()
+    counts = common.written(picked.mapInArrow(some, "lang string, word string").groupBy("lang", "word").count(), "words")
     found: dict[str, dict[str, int]] = {}
-    for r in counts.orderBy(F.desc("count"), "lang", "word").limit(VOCABULARY * len(totals)).collect():
+    most = VOCABULARY * len(totals)
+    if counts.count() > most:  # each language's own most frequent words, and the most frequent of all
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+        own = counts.withColumn("n", rank).filter(F.col("n") <= VOCABULARY).drop("n")
+        counts = own.union(counts.orderBy(F.desc("count"), "lang", "word").limit(most))
+    for r in counts.orderBy(F.desc("count"), "lang", "word").collect():
         found.setdefault(r.lang, {})[r.word] = r["count"]
     total = sum(totals[x] for x in found)
     return train(vocabulary(path), found, {x: totals[x] / total for x in found}) if found else None

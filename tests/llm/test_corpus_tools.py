@@ -227,6 +227,16 @@ def test_language_odd(spark, docs):
     assert language.fit(docs([])) is None and {r.lang_pred for r in language.predict(docs(ODD), None).collect()} == {"und"}
 
 
+def test_large_languages_leave_room_for_a_small_one(spark, monkeypatch):
+    monkeypatch.setattr(language, "VOCABULARY", 50)
+    ids = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    few = spark.createDataFrame([(i, " ".join(f"{w}{w}" for w in ("ozu", "ikwa", "umbo", "yazi")), "zu", "zu") for i in ids], "doc_id long, text string, lang string, truth string")
+    d = languages(spark).union(few)
+    model = language.fit(d)
+    assert model.languages == ["de", "en", "fr", "zu"]
+    assert {r.lang_pred for r in language.predict(few, model).collect()} == {"zu"}
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
     p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 1e-7])[:, None]
