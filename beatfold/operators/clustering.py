@@ -98,6 +98,18 @@ def clustered_by(profiles: DataFrame, fit_predict: Callable[[np.ndarray], np.nda
     return member.join(pts.groupBy().applyInPandas(run, f"point {kind}, cluster int"), "point").select(patient, "cluster")
 
 
+def labelled_rows(profiles: DataFrame, label: Callable[[np.ndarray], np.ndarray], patient: str = "patient_id") -> DataFrame:
+    """(patient, cluster) by a function that labels each profile by itself: any number of patients, batch by batch."""
+    kind = profiles.schema[patient].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({patient: pdf[patient], "cluster": np.asarray(label(np.stack(pdf.profile))).astype(int)})
+
+    return profiles.select(patient, "profile").mapInPandas(run, f"{patient} {kind}, cluster int")
+
+
 def top_merges(table: DataFrame, p: int = 30) -> DataFrame:
     """The last p merges, highest first."""
     return table.orderBy(F.desc("height"), F.desc("merge_idx")).limit(p)

@@ -6,6 +6,7 @@ import pytest
 from beatfold.functions import linkage as L
 from beatfold.operators import clustering as C
 from beatfold.operators import stability as Y
+from beatfold.plans import registry
 
 
 def naive(x, method, metric):
@@ -92,6 +93,14 @@ def test_custom_clusterer_and_stability(spark):
     assert all(r.jaccard == 1.0 for r in jac.collect())
 
 
+def test_custom_clusterer_sees_every_patient(spark, monkeypatch):
+    monkeypatch.setattr(C, "points", None)  # no micro-clusters
+    own = registry.QUERIES["custom_clusterer"](spark, "/root/testdata/sf0.001")
+    assert own.count() == registry.QUERIES["burden_wide"](spark, "/root/testdata/sf0.001").count()
+    got = C.labelled_rows(profiles(spark, 30), lambda x: (x[:, 0] > 5).astype(int)).collect()
+    assert {(int(r.patient_id[1:]) % 3 > 0, r.cluster) for r in got} == {(False, 0), (True, 1)} and len(got) == 30
+
+
 def test_balanced_sample(spark):
     d = spark.createDataFrame([(f"p{i}", i % 10 // 9) for i in range(500)], "patient_id string, cluster int")
     assert sorted((r.cluster, r["count"]) for r in C.balanced_sample(d, 20).groupBy("cluster").count().collect()) == [(0, 20), (1, 20)]
