@@ -81,21 +81,21 @@ def linkage(s, d):
 
 def search_k(s, d):
     p = _patients(s, d)
-    rows = C.labels_for(p, [2, 3, 4, 5]).join(p, "patient_id")
+    rows = C.labels_for(p, [*range(2, 9)]).join(p, "patient_id")
     return _r(M.quality_by_k(rows, "patient_id"), "silhouette", "davies_bouldin", "calinski_harabasz")
 
 
 def stability(s, d):
     p = _patients(s, d)
     base = C.agglomerative(p, 4).select("patient_id", "cluster")
-    aris, _ = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base, 20), p, 4))
+    aris, _ = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base), p, 4))
     return _r(Y.ari_summary(aris), "ari_mean", "ari_std", "ari_min", "ari_max")
 
 
 def stability_by_cluster(s, d):
     p = _patients(s, d)
     base = C.agglomerative(p, 4).select("patient_id", "cluster")
-    _, jac = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base, 20), p, 4))
+    _, jac = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base), p, 4))
     return _r(Y.jaccard_summary(jac, base), "jaccard_mean", "jaccard_std")
 
 

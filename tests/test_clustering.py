@@ -101,6 +101,16 @@ def test_custom_clusterer_sees_every_patient(spark, monkeypatch):
     assert {(int(r.patient_id[1:]) % 3 > 0, r.cluster) for r in got} == {(False, 0), (True, 1)} and len(got) == 30
 
 
+def test_registered_stability_and_search_are_whole(spark, monkeypatch):
+    samples, ks = [], []
+    monkeypatch.setattr(Y, "recluster", lambda s, p, k: samples.append(s) or s.withColumn("new", s.cluster))
+    labels_for = C.labels_for
+    monkeypatch.setattr(C, "labels_for", lambda p, k: ks.append(k) or labels_for(p, k))
+    for name in ("stability", "stability_by_cluster", "search_k"):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [s.select("rep").distinct().count() for s in samples] == [100, 100] and ks == [[2, 3, 4, 5, 6, 7, 8]]
+
+
 def test_balanced_sample(spark):
     d = spark.createDataFrame([(f"p{i}", i % 10 // 9) for i in range(500)], "patient_id string, cluster int")
     assert sorted((r.cluster, r["count"]) for r in C.balanced_sample(d, 20).groupBy("cluster").count().collect()) == [(0, 20), (1, 20)]
