@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 import uuid
@@ -14,6 +15,20 @@ from pyspark.sql import functions as F
 _names = itertools.count()
 
 
+_slot: list = [None, None]
+
+
+def kept(key, make):
+    """What a Python worker keeps between tasks, made where it has none under this key. One thing at a time: workers are used
+    again by other operators, and what the former one kept goes first."""
+    if _slot[0] != key:
+        _slot[:] = None, None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _slot[:] = key, make()
+    return _slot[1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,11 +62,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, whatever the length of the rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column's bytes in each stay near `most` (a longer value comes alone)."""
     for b in batches:
         values = b.column(b.schema.get_field_index(column))
@@ -69,5 +84,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 8 << 20)
         yield b.slice(at)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches put together up to about so many bytes, where what is found for one word serves all."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -186,17 +186,6 @@ class Scorer:
         return names, probs
 
 
-_scorers: dict = {}
-
-
-def scorer(key: str, model: Model) -> Scorer:
-    """One scorer for each Python worker and model."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(model)
-    return _scorers[key]
-
-
 def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of the languages among the rows that may be learnt from; None if there are none."""
     rows = common.pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -245,7 +234,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     key = str(zlib.crc32(model.logp.tobytes()))
 
     def run(batches):
-        s = scorer(key, model)
+        s = common.kept(("language", key), lambda: Scorer(model))
         for b in common.slices(batches, text_col, 4 << 20):
             names, probs = s.predict([words_of(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(probs)], [id_col, "lang_pred", "score"])

@@ -43,8 +43,8 @@ C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), np.ui
 
 def shingles(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(document, 64-bit hash) of all shingles, ordered by document and hash."""
-    n = np.array([len(d) for d in docs])
-    h = np.fromiter((x for d in docs for x in map(substring_dedup._hashes.__getitem__, d)), np.uint64, int(n.sum()))
+    n, known = np.array([len(d) for d in docs]), substring_dedup.word_hashes()
+    h = np.fromiter((x for d in docs for x in map(known.__getitem__, d)), np.uint64, int(n.sum()))
     begin = np.cumsum(n) - n
     owner = np.repeat(np.arange(len(docs)), n)
     if len(h) >= SHINGLE:

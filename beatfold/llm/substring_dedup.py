@@ -29,7 +29,7 @@ from beatfold.llm import common
 WINDOW, RUN = 20, 8
 SPAN = WINDOW - RUN + 1  # runs in a window
 RANGE_CHARS, LEAST_RANGES = 64_000_000, 64
-FLUSH, KNOWN_WORDS = 1_000_000, 400_000
+FLUSH, KNOWN_WORDS = 500_000, 300_000
 LOAD_BITS = 2  # sketch cells for each anchor, as a power of two
 B1, B2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 LEAST_ID = -(2**63)
@@ -46,7 +46,8 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
+def word_hashes() -> WordHashes:
+    return common.kept("word hashes", WordHashes)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -84,10 +85,10 @@ class Slice:
     """Words of some documents in one row: hashes, anchors and which windows lie within a document."""
 
     def __init__(self, docs: list[list[bytes]]):
-        size = np.array([len(d) for d in docs], np.int64)
+        size, known = np.array([len(d) for d in docs], np.int64), word_hashes()
         self.begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(docs) else np.zeros(0, np.int64)
         n = int(size.sum())
-        self.h = np.fromiter((x for d in docs for x in map(_hashes.__getitem__, d)), np.uint64, n)
+        self.h = np.fromiter((x for d in docs for x in map(known.__getitem__, d)), np.uint64, n)
         self.owner = np.repeat(np.arange(len(docs)), size)
         self.any = n >= WINDOW and bool((size >= WINDOW).any())
         if self.any:

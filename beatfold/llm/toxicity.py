@@ -259,17 +259,6 @@ class Scorer:
         return sigmoid(a * self.logits(texts).astype(np.float64) + b)
 
 
-_scorers: dict = {}
-
-
-def scorer(key: str, net: Network) -> Scorer:
-    """One scorer for each Python worker and model."""
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(net)
-    return _scorers[key]
-
-
 def learnable(labels: DataFrame, target: str, id_col: str) -> DataFrame:
     """(id, y) of labelled rows outside the held-out third, one for each id; ids with labels that disagree are left out."""
     rows = common.pick(labels, id_col, target).toDF("id", "y").filter("id IS NOT NULL AND y IN (0, 1)")
@@ -319,7 +308,7 @@ def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_co
     key = str(zlib.crc32(b"".join(v.tobytes() for v in net.w.values())))
 
     def run(batches):
-        s = scorer(key, net)
+        s = common.kept(("toxicity", key), lambda: Scorer(net))
         for b in common.slices(batches, text_col, 2 << 20):
             found = s.scores([words_of(t) for t in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[1 - again :], pa.array(found)], [*b.schema.names[1 - again :], "score"])
