@@ -1,8 +1,7 @@
 """Packing token pieces into sequences by cutting-stock column generation.
 
-Documents are encoded by the tokenizers library, get an end id, and are cut into pieces of at most half
-a sequence, which lets patterns close with little padding. The histogram of
-piece lengths (in classes of `step` ids, so its size is fixed) is the demand of a cutting-stock problem: a linear program over
+Documents are encoded with a vocabulary file of the tokenizers library (bpe.Codec gives the library's ids), get an end id, and are
+cut into pieces of at most half a sequence, which lets patterns close with little padding. The histogram of piece lengths (in classes of `step` ids, so its size is fixed) is the demand of a cutting-stock problem: a linear program over
 patterns, where a knapsack dynamic program over the duals prices new patterns until none improves. Whole multiples of the patterns
 are kept; what rounding leaves (bounded by the number of classes) is packed by decreasing first fit. Pieces are ranked within
 their class by jobs that no hot class slows, and the rank says which pattern copy a piece fills.
@@ -13,8 +12,7 @@ texts become many pieces. An empty table gives an empty result; extra columns ar
 
 from __future__ import annotations
 
-import os
-import struct
+import itertools
 import zlib
 
 import numpy as np
@@ -27,62 +25,6 @@ from beatfold.llm import bpe, common
 
 SIZE, PIECE, STEP, END = 2048, 1024, 4, 1
 BUCKETS = 64
-KNOWN_WORDS, LINE_WORDS = 700_000, 2000
-
-
-class Library:
-    """The tokenizers library behind a bounded table of known words; cut() makes words independent of each other."""
-
-    def __init__(self, path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(bpe.vocabulary_path(path))
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        space, vocab = bpe.byte_letters()[32], self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocab.values()) + 1, bool)
-        self.begins[[i for s, i in vocab.items() if s.startswith(space)]] = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # words known earlier; those met again move to the others
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit bytes."""
-        return [np.array(e.ids, "<u4").tobytes() if len(e) > 64 else struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, parts: list[str]) -> list[tuple[str, bytes]]:
-        """Parts of texts (not first ones) with their ids. Those without white space go to the library in lines: a word's first
-        piece alone begins with a space, which parts the ids again."""
-        single, found = [], []
-        for w in parts:
-            (single if w.split() == [w] else found).append(w)
-        found = [*zip(found, self.ids([*map(bpe.spaced, found)]), strict=True)]
-        for at in range(0, len(single), LINE_WORDS):
-            some = single[at : at + LINE_WORDS]
-            (data,) = self.ids([" " + " ".join(some)])
-            begin = [*(4 * np.nonzero(self.begins[np.frombuffer(data, "<u4")])[0]).tolist(), len(data)]
-            found += zip(some, [data[a:b] for a, b in zip(begin, begin[1:], strict=False)], strict=True)
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not any(s in t for s in self.special) for t in texts]
-        cuts = [bpe.cut(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > KNOWN_WORDS:
-            self.before, self.known = self.known, {}
-        new = set()
-        for c in cuts:
-            if c:
-                new.update(c[1:])
-        new.difference_update(self.known)
-        again = new & self.before.keys()
-        self.known.update((w, self.before[w]) for w in again)
-        self.known.update(self.words([*(new - again)]))
-        heads = iter(self.ids([c[0] if c else t for t, c in zip(texts, cuts, strict=True)]))
-        return [h + b"".join(map(self.known.__getitem__, c[1:])) if c else h for h, c in zip(heads, cuts, strict=True)]
-
-
-_libraries: dict = {}
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, piece: int = PIECE, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -92,23 +34,20 @@ def token_pieces(docs: DataFrame, path: str | None = None, piece: int = PIECE, e
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
 
     def run(batches):
-        library = _libraries[path] = _libraries.get(path) or Library(path)
-        last = np.array([end], "<u4").tobytes()
-        for b in common.slices(batches, text_col, 4 << 20):
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for n, data in enumerate(library.encode([t or "" for t in b.column(1).to_pylist()])):
-                data += last
-                for at in range(0, len(data), 4 * piece):
-                    part = data[at : at + 4 * piece]
-                    row.append(n)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(len(data) // 4)
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            longs = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int32())), *longs, *[pa.array(ids, pa.list_(pa.int32()))] * keep_ids], names)
+        codec = common.kept(("bpe", path), lambda: bpe.Codec(path))
+        for b in common.slices(common.gathered(batches), text_col, 8 << 20):
+            ids, ends = codec.table.encode(b.column(1))
+            total = np.diff(ends) + 1
+            ids = np.insert(ids, ends[1:], end)
+            n_pieces = -(-total // piece)
+            row = np.repeat(np.arange(len(total)), n_pieces)
+            start = piece * (np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces))
+            length = np.minimum(piece, total[row] - start)
+            at = np.append(0, np.cumsum(length))
+            data = memoryview(ids.astype("<u4").tobytes())
+            crc = np.fromiter((zlib.crc32(data[4 * x : 4 * y]) for x, y in itertools.pairwise(at.tolist())), np.int64, len(row))
+            more = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))] * keep_ids
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *map(pa.array, (start, length, crc, total[row])), *more], names)
 
     return docs.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids)
 
