@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beatfold.sources.shared import ranged
+
 #: Fixed value: double precision epsilon, which stands for undefined precision, recall and F-beta.
 EPSILON = 2.220446049250313e-16
 
@@ -64,9 +66,15 @@ def over(a: Column, b: Column) -> Column:
 
 
 def encoded_ids(df: DataFrame, id_col: str = "patient_id") -> DataFrame:
-    """df with id_code: 0-based rank of its id among the sorted distinct ids. Only the distinct ids are ranked in one place."""
-    ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
-    codes = ids.withColumn("id_code", F.row_number().over(Window.orderBy(id_col)).cast("long") - 1)
+    """df with id_code: 0-based rank of its id among the sorted distinct ids, ranked by ranges of ids."""
+    ids = ranged(df.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), F.asc(id_col))
+    before, total = [], 0
+    for part, n in sorted((r.part, r["count"]) for r in ids.groupBy("part").count().collect()):  # a row for each range
+        before.append((part, total))
+        total += n
+    before = df.sparkSession.createDataFrame(before, "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(id_col)).cast("long") - 1
+    codes = ids.join(F.broadcast(before), "part").select(id_col, (F.col("before") + own).alias("id_code"))
     return df.join(codes, id_col, "left")
 
 

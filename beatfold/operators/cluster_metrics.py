@@ -14,45 +14,64 @@ BLOCK = 1024
 
 
 def distance_sums(df: DataFrame, point: str = "point", cluster: str = "cluster", profile: str = "profile", blocks: int | None = None) -> DataFrame:
-    """(point, own, other, s, n): sum of Euclidean distances of each point to each cluster, and that cluster's size.
+    """(point, own, other, s, n): sum of Euclidean distances of each point to each cluster, and that cluster's size."""
+    rows = df.select(F.col(point).alias("p"), F.array(F.col(cluster).cast("int")).alias("c"), F.col(profile).alias("x"))
+    return _sums(rows, blocks).drop("which")
 
-    Points are dealt into blocks, every pair of blocks is one task's numpy product; pairs of points are never rows.
+
+def _sums(rows: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(point, which, own, other, s, n) of rows (p, c, x); c: a label in each of several clusterings, `which` is its place.
+
+    Points are dealt into blocks, every pair of blocks is one task's numpy product, for both sides and all clusterings; pairs of
+    points are never rows.
     """
-    rows = df.select(F.col(point).alias("p"), F.col(cluster).cast("int").alias("c"), F.col(profile).alias("x"))
     blocks = blocks or max(1, -(-rows.count() // BLOCK))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int"))
     left = rows.groupBy("b").agg(F.collect_list(F.struct("p", "c", "x")).alias("l"))  # about BLOCK points
     right = left.select(F.col("b").alias("b2"), F.col("l").alias("r"))
-    pairs = left.withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "b2").select("l", "r")
+    pairs = left.withColumn("b2", F.explode(F.sequence("b", F.lit(blocks - 1)))).join(right, "b2").select("l", "r", F.col("b") < F.col("b2"))
     kind = rows.schema["p"].dataType.simpleString()
 
+    def labels(t):
+        return np.stack(t.field("c").to_numpy(zero_copy_only=False))
+
+    def side(names, cx, cy, d):
+        for which in range(cx.shape[1]):
+            other, at = np.unique(cy[:, which], return_inverse=True)
+            one = np.eye(len(other))[at]
+            s, n, k = d @ one, one.sum(0).astype(np.int64), len(other)
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(np.repeat(np.arange(len(d)), k))), *map(pa.array, (np.full(len(d) * k, which, np.int32), np.repeat(cx[:, which], k), np.tile(other, len(d)), s.reshape(-1), np.tile(n, len(d))))],
+                ["point", "which", "own", "other", "s", "n"],
+            )
+
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 l, r = b.column(0)[i].values, b.column(1)[i].values
                 x, y = (np.stack(t.field("x").to_numpy(zero_copy_only=False)) for t in (l, r))
-                cx, cy = (t.field("c").to_numpy() for t in (l, r))
-                d = np.sqrt(np.maximum(((x[:, None] - y[None]) ** 2).sum(2), 0)) if x.shape[1] <= 64 and len(x) * len(y) <= 1 << 18 else np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
-                names, at = np.unique(cy, return_inverse=True)
-                one = np.eye(len(names))[at]
-                s, n = d @ one, one.sum(0).astype(np.int64)
-                k = len(names)
-                yield pa.RecordBatch.from_arrays([l.field("p").take(pa.array(np.repeat(np.arange(len(x)), k))), pa.array(np.repeat(cx, k)), pa.array(np.tile(names, len(x))), pa.array(s.reshape(-1)), pa.array(np.tile(n, len(x)))], ["point", "own", "other", "s", "n"])
+                d = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
+                yield from side(l.field("p"), labels(l), labels(r), d)
+                if b.column(2)[i].as_py():
+                    yield from side(r.field("p"), labels(r), labels(l), d.T)
 
-    parts = pairs.mapInArrow(run, f"point {kind}, own int, other int, s double, n long")
-    return parts.groupBy("point", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    parts = pairs.mapInArrow(run, f"point {kind}, which int, own int, other int, s double, n long")
+    return parts.groupBy("point", "which", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def silhouette_samples(df: DataFrame, point: str = "point", cluster: str = "cluster", profile: str = "profile") -> DataFrame:
-    """(point, cluster, silhouette), exact: 0 for a cluster's only point."""
-    sums = distance_sums(df, point, cluster, profile)
+def _samples(sums: DataFrame, *keys: str) -> DataFrame:
     mine = F.col("own") == F.col("other")
-    rows = sums.groupBy("point", "own").agg(
+    rows = sums.groupBy(*keys, "point", "own").agg(
         F.max(F.when(mine, over(F.col("s"), F.col("n") - 1))).alias("a"),
         F.min(F.when(~mine, over(F.col("s"), F.col("n")))).alias("b"),
     )
     s = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(over(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return rows.select("point", F.col("own").alias("cluster"), s.alias("silhouette"))
+    return rows.select(*keys, "point", F.col("own").alias("cluster"), s.alias("silhouette"))
+
+
+def silhouette_samples(df: DataFrame, point: str = "point", cluster: str = "cluster", profile: str = "profile") -> DataFrame:
+    """(point, cluster, silhouette), exact: 0 for a cluster's only point."""
+    return _samples(distance_sums(df, point, cluster, profile))
 
 
 def silhouette(samples: DataFrame) -> DataFrame:
@@ -100,14 +119,19 @@ def cluster_quality(df: DataFrame, point: str = "point", cluster: str = "cluster
 
 
 def quality_by_k(df: DataFrame, point: str = "point", profile: str = "profile") -> DataFrame:
-    """(k, silhouette, davies_bouldin, calinski_harabasz) of rows (point, profile, k, cluster), one k after the other of a short list."""
+    """(k, silhouette, davies_bouldin, calinski_harabasz) of rows (point, profile, k, cluster) of a short list of k. Distances are
+    taken once for all k; the other measures are linear in the rows."""
     df = settled(df)  # computed once for every k and measure
     ks = sorted(r.k for r in df.select("k").distinct().collect())
-    parts = [cluster_quality(df.filter(F.col("k") == k), point, "cluster", profile).select(F.lit(k).alias("k"), "silhouette", "davies_bouldin", "calinski_harabasz") for k in ks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("k", "cluster"))), lambda x: x["cluster"].cast("int"))
+    rows = df.groupBy(F.col(point).alias("p")).agg(labels.alias("c"), F.first(profile).alias("x"))
+    scores = _samples(_sums(rows), "which").groupBy("which").agg(F.avg("silhouette").alias("silhouette"))
+    out = None
+    for i, k in enumerate(ks):
+        one = df.filter(F.col("k") == k)
+        more = davies_bouldin(one, point, "cluster", profile).crossJoin(calinski_harabasz(one, point, "cluster", profile)).select(F.lit(i).alias("which"), F.lit(k).alias("k"), "*")  # single rows
+        out = more if out is None else out.unionByName(more)
+    return out.join(F.broadcast(scores), "which").select("k", "silhouette", "davies_bouldin", "calinski_harabasz")  # a row for each k
 
 
 def contingency(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Phenotype discovery: merge trees, cuts, the choice of k, and samples of clusters.
 
-A tree needs all distances, so only a bounded number of points goes to one task: up to CAP points exactly. More are first collapsed
-(equal profiles become one weighted point) and then, if still too many, gathered into CAP micro-clusters by k-means; the result
-says so in `approximate`.
+Equal profiles are one weighted point. A tree needs all distances between points, so it is built in one task from at most CAP of
+them; more are refused with an error, unless the caller asks for `approximate` results: then k-means first gathers the points into
+`cap` micro-clusters. The result of agglomerative says which of the two it is.
 """
 
 from __future__ import annotations
@@ -20,17 +20,22 @@ from pyspark.sql.window import Window
 from beatfold.functions import linkage as tree
 from beatfold.sources.shared import settled
 
-CAP = 3000
-SEED = 42
+CAP = 6000
+SEED, SHARES = 42, 64
 
 
-def points(profiles: DataFrame, patient: str = "patient_id", profile: str = "profile", cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+def points(profiles: DataFrame, patient: str = "patient_id", profile: str = "profile", cap: int = CAP, approximate: bool = False) -> tuple[DataFrame, DataFrame]:
     """((point, x, weight), (patient, point)): what the tree is built on, and which point stands for each patient."""
-    profiles = settled(profiles)
-    same = profiles.groupBy(F.col(profile).alias("x")).agg(F.min(patient).alias("point"), F.count("*").alias("weight"))
-    member = profiles.select(patient, F.col(profile).alias("x")).join(same.select("x", "point"), "x").select(patient, "point")
-    if same.count() <= cap:
+    profiles = settled(profiles.select(F.col(patient).alias("patient"), F.col(profile).alias("x"), F.pmod(F.xxhash64(patient), F.lit(SHARES)).alias("share")))
+    some = profiles.groupBy("x", "share").agg(F.min("patient").alias("first"), F.count("*").alias("n"))  # a common profile is counted in shares
+    same = settled(some.groupBy("x").agg(F.min("first").alias("point"), F.sum("n").alias("weight")))
+    heads = some.select("x", "share").join(same.select("x", "point"), "x")
+    member = profiles.join(heads, ["x", "share"]).select(F.col("patient").alias(patient), "point")
+    n = same.count()
+    if n <= cap:
         return same.select("point", "x", "weight"), member
+    if not approximate:
+        raise ValueError(f"{n} distinct profiles, more than {cap}: ask for approximate=True, or raise cap")
     vectors = same.withColumn("features", array_to_vector("x"))
     model = KMeans(k=cap, seed=SEED, maxIter=10, weightCol="weight", predictionCol="micro").fit(vectors)
     near = model.transform(vectors).withColumn("x", vector_to_array("features"))
@@ -72,23 +77,23 @@ def cut_labels(pts: DataFrame, ks: list[int], method: str = "complete", metric:
     return pts.groupBy().applyInPandas(run, f"point {kind}, k int, cluster int")
 
 
-def agglomerative(profiles: DataFrame, k: int = 5, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP) -> DataFrame:
+def agglomerative(profiles: DataFrame, k: int = 5, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
     """(patient, cluster, approximate) of k clusters."""
-    pts, member = points(profiles, patient, cap=cap)
-    exact = profiles.select("profile").distinct().count() <= cap
+    pts, member = points(profiles, patient, cap=cap, approximate=approximate)
+    gathered = approximate and profiles.select("profile").distinct().count() > cap
     labels = cut_labels(pts, [k], method, metric).select("point", "cluster")
-    return member.join(labels, "point").select(patient, "cluster", F.lit(not exact).alias("approximate"))
+    return member.join(labels, "point").select(patient, "cluster", F.lit(gathered).alias("approximate"))
 
 
-def labels_for(profiles: DataFrame, ks: list[int], method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP) -> DataFrame:
+def labels_for(profiles: DataFrame, ks: list[int], method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
     """(patient, k, cluster) for every k, from one tree."""
-    pts, member = points(profiles, patient, cap=cap)
+    pts, member = points(profiles, patient, cap=cap, approximate=approximate)
     return member.join(cut_labels(pts, ks, method, metric), "point").select(patient, "k", "cluster")
 
 
-def clustered_by(profiles: DataFrame, fit_predict: Callable[[np.ndarray], np.ndarray], patient: str = "patient_id", cap: int = CAP) -> DataFrame:
+def clustered_by(profiles: DataFrame, fit_predict: Callable[[np.ndarray], np.ndarray], patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
     """(patient, cluster) by any function from a matrix to labels; it sees the (bounded) points."""
-    pts, member = points(profiles, patient, cap=cap)
+    pts, member = points(profiles, patient, cap=cap, approximate=approximate)
     kind = pts.schema["point"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,6 +115,12 @@ def labelled_rows(profiles: DataFrame, label: Callable[[np.ndarray], np.ndarray]
     return profiles.select(patient, "profile").mapInPandas(run, f"{patient} {kind}, cluster int")
 
 
+def cut_at_height(profiles: DataFrame, height: float, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
+    """(patient, cluster): what the tree has joined up to `height`."""
+    pts, member = points(profiles, patient, cap=cap, approximate=approximate)
+    return member.join(cut_labels(pts, [], method, metric, height), "point").select(patient, "cluster")
+
+
 def top_merges(table: DataFrame, p: int = 30) -> DataFrame:
     """The last p merges, highest first."""
     return table.orderBy(F.desc("height"), F.desc("merge_idx")).limit(p)

@@ -1,7 +1,7 @@
 """Evaluation of a detector: confusion, curves by score, thresholds, burden errors.
 
-Curves: rows are first counted by score. Where distinct scores are many, they are range-partitioned, each partition sums up its
-own, and the totals of the partitions before are added, so that no single task holds all scores.
+Curves: rows are first counted by score. Distinct scores are dealt by range into parts of bounded size; each part sums up its own,
+and the totals of the parts before are added, so that no single task holds all scores.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beatfold.functions.scalars import EPSILON, over, over_threshold, oriented
-
-ONE_TASK_SCORES = 1_000_000
+from beatfold.sources.shared import ranged
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -39,53 +38,63 @@ def by_score(df: DataFrame, label: str = "label", score: str = "score", *keys: s
 
 
 def cumulative(counts: DataFrame, parts: int | None = None) -> DataFrame:
-    """(score, tp, fp, p, n): true and false positives at each distinct score and above, and all positives and negatives."""
-    down = Window.orderBy(F.desc("score"))
-    if parts is None:
-        parts = 1 if counts.limit(ONE_TASK_SCORES + 1).count() <= ONE_TASK_SCORES else 200
-    if parts == 1:
-        rows = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
-    else:
-        ranged = counts.repartitionByRange(parts, F.desc("score")).withColumn("part", F.spark_partition_id()).persist()
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        sums = ranged.groupBy("part").agg(F.sum("pos").alias("pp"), F.sum("neg").alias("pn"))  # `parts` rows
-        sums = sums.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("bn"))
-        own = Window.partitionBy("part").orderBy(F.desc("score"))
-        rows = ranged.join(F.broadcast(sums), "part").withColumn("tp", F.sum("pos").over(own) + F.col("bp")).withColumn("fp", F.sum("neg").over(own) + F.col("bn"))
-    total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))
-    return rows.select("score", "tp", "fp").crossJoin(F.broadcast(total))  # one row
+    """(score, tp, fp, pos, neg, next_pos, next_neg, p, n): true and false positives at each distinct score and above, those at it and
+    at the next lower one (null at the lowest), and all positives and negatives."""
+    rows = ranged(counts.select("score", "pos", "neg"), F.desc("score"), parts)
+    first = F.max_by(F.struct("pos", "neg"), "score").alias("first")
+    held = sorted(rows.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), first).collect(), key=lambda r: r.part)  # a row for each part
+    carry, p, n = [], 0, 0
+    for i, r in enumerate(held):
+        after = held[i + 1].first if i + 1 < len(held) else (None, None)
+        carry.append((r.part, p, n, *after))
+        p, n = p + r.pos, n + r.neg
+    carry = F.broadcast(rows.sparkSession.createDataFrame(carry, "part int, above_pos long, above_neg long, after_pos long, after_neg long"))
+    own = Window.partitionBy("part").orderBy(F.desc("score"))
+    rows = rows.join(carry, "part").select(
+        "score",
+        (F.sum("pos").over(own) + F.col("above_pos")).alias("tp"),
+        (F.sum("neg").over(own) + F.col("above_neg")).alias("fp"),
+        "pos",
+        "neg",
+        F.coalesce(F.lead("pos").over(own), "after_pos").alias("next_pos"),
+        F.coalesce(F.lead("neg").over(own), "after_neg").alias("next_neg"),
+    )
+    return rows.withColumn("p", F.lit(p).cast("long")).withColumn("n", F.lit(n).cast("long"))
 
 
 def roc_curve(cum: DataFrame) -> DataFrame:
     """(threshold, fpr, tpr) without inner points on a straight line, and (0, 0) at one above the highest score."""
-    w = Window.orderBy(F.desc("score"))
-    bend = lambda c: F.lag(c).over(w) + F.lead(c).over(w) - 2 * F.col(c)
-    rows = cum.withColumn("d", F.greatest(F.abs(bend("tp")), F.abs(bend("fp"))))
-    kept = rows.filter("d IS NULL OR d <> 0")
+    highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    bend = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    kept = cum.filter(highest | F.col("next_pos").isNull() | bend)
     first = cum.agg((F.max("score") + 1).alias("threshold")).filter("threshold IS NOT NULL").select("threshold", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return kept.select(F.col("score").alias("threshold"), over(F.col("fp"), F.col("n")).alias("fpr"), over(F.col("tp"), F.col("p")).alias("tpr")).union(first)
 
 
 def auroc(cum: DataFrame) -> DataFrame:
-    w = Window.orderBy(F.desc("score"))
-    lag = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
-    area = ((F.col("fp") - lag("fp")) * (F.col("tp") + lag("tp"))).cast("double") / 2
-    return cum.select(area.alias("a"), "p", "n").agg(over(F.sum("a"), (F.max("p") * F.max("n")).cast("double")).alias("auroc"))
+    area = (F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double") / 2
+    return cum.select(area.alias("a"), "p", "n").agg(over(F.sum("a"), F.max("p").cast("double") * F.max("n")).alias("auroc"))
+
+
+def _precision_recall(tp: Column, fp: Column) -> tuple[Column, Column]:
+    return F.coalesce(over(tp, tp + fp), F.lit(0.0)), F.coalesce(over(tp, F.col("p")), F.lit(1.0))
 
 
 def pr_curve(cum: DataFrame) -> DataFrame:
     """(threshold, prec, recall), and the end point (null, 1, 0). Recall is 1 without positives."""
-    recall = F.coalesce(over(F.col("tp"), F.col("p")), F.lit(1.0))
-    rows = cum.select(F.col("score").alias("threshold"), F.coalesce(over(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("prec"), recall.alias("recall"))
+    prec, recall = _precision_recall(F.col("tp"), F.col("fp"))
+    rows = cum.select(F.col("score").alias("threshold"), prec.alias("prec"), recall.alias("recall"))
     end = cum.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("prec"), F.lit(0.0).alias("recall"))
     return rows.union(end)
 
 
-def aucpr(curve: DataFrame) -> DataFrame:
-    """Area under the precision-recall curve by trapezoids."""
-    w = Window.orderBy(F.col("threshold").desc_nulls_first())
-    step = (F.col("recall") - F.lag("recall").over(w)) * (F.col("prec") + F.lag("prec").over(w)) / 2
-    return curve.select(step.alias("a")).agg(F.sum("a").alias("aucpr"))
+def aucpr(cum: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve by trapezoids, from its end point on."""
+    prec, recall = _precision_recall(F.col("tp"), F.col("fp"))
+    tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    higher = tp + fp > 0
+    before = [F.when(higher, c).otherwise(end) for c, end in zip(_precision_recall(tp, fp), (1.0, 0.0), strict=True)]
+    return cum.select(((recall - before[1]) * (prec + before[0]) / 2).alias("a")).agg(F.sum("a").alias("aucpr"))
 
 
 def fbeta_curve(curve: DataFrame, beta: float = 1.0) -> DataFrame:
@@ -131,8 +140,8 @@ def best_threshold_burden(errors: DataFrame) -> DataFrame:
 
 
 def patient_burden_fbeta_curve(burdens: DataFrame, labels: DataFrame, beta: float = 1.0, patient: str = "patient_id") -> DataFrame:
-    """(threshold, prec, recall, f_beta): predicted burden as the score of a label for each patient (patient, label)."""
-    rows = burdens.join(labels, patient).select("label", F.col("pred_burden").alias("score"))
+    """(threshold, prec, recall, f_beta): the predicted share of time as the score of a label for each patient (patient, label)."""
+    rows = burdens.join(labels, patient).select("label", (F.col("pred_burden") / 100).alias("score"))
     return fbeta_curve(pr_curve(cumulative(by_score(rows))), beta)
 
 
@@ -140,4 +149,4 @@ def evaluate(df: DataFrame, threshold: float | None = 0.5, sign: int = 1, beta:
     """One row: accuracy, f_beta, se, sp, ppv, npv, auroc and aucpr of scored rows."""
     rows = df.select(F.col(label).alias("label"), over_threshold(F.col(proba), threshold, F.col(own) if own in df.columns else None).alias("pred"), oriented(F.col(proba), sign).alias("score"))
     cum = cumulative(by_score(rows))
-    return classification_metrics(confusion(rows), beta).crossJoin(auroc(cum)).crossJoin(aucpr(pr_curve(cum)))  # single rows
+    return classification_metrics(confusion(rows), beta).crossJoin(auroc(cum)).crossJoin(aucpr(cum))  # single rows

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from beatfold.functions.scalars import phenotype_name
 
-BLOCK = 4096
+BLOCK, QUERIES = 4096, 1024
 
 
 def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id", label: str = "cluster") -> DataFrame:
@@ -22,19 +22,23 @@ def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id",
     return model
 
 
-def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: str = "query_id", profile: str = "profile") -> DataFrame:
-    """(query_id, rank, train_id, label, distance): k nearest by Euclidean distance, ties by train_id.
+def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: str = "query_id", profile: str = "profile", leave_own: bool = False) -> DataFrame:
+    """(query_id, rank, train_id, label, distance): k nearest by Euclidean distance, ties by train_id; leave_own: training rows with
+    the query's id do not count (ids are distinct).
 
-    The training rows go to the queries in blocks; a task keeps k of each query and block, and the blocks' best are merged.
+    The training rows go to the queries in blocks; a task keeps k of each query and block, and the blocks' best are merged. Blocks
+    of rows and lists of queries are of bounded size, whatever their number.
     """
+    most, k = k, k + leave_own
     n = model.count()
     if n < k:
         raise ValueError(f"{n} training rows, fewer than k = {k}")
     blocks = -(-n // BLOCK)
     rows = model.withColumn("b", F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int"))
     train = rows.groupBy("b").agg(F.collect_list(F.struct("train_id", "label", "profile")).alias("t"))  # about BLOCK rows
+    lists = max(1, -(-queries.count() // QUERIES))
     ask = queries.select(F.col(query_id).alias("q"), F.col(profile).alias("x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = ask.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("q", "x")).alias("a"))
+    ask = ask.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(lists)).alias("part")).agg(F.collect_list(F.struct("q", "x")).alias("a"))
     q_kind, t_kind, l_kind = queries.schema[query_id].dataType.simpleString(), model.schema["train_id"].dataType.simpleString(), model.schema["label"].dataType.simpleString()
 
     def run(batches):
@@ -53,8 +57,10 @@ def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: st
                 yield pa.RecordBatch.from_arrays([a.field("q").take(js), t.field("train_id").take(ms), t.field("label").take(ms), pa.array([f[2] for f in found], pa.float64())], ["query_id", "train_id", "label", "distance"])
 
     part = ask.join(train, "b").select("a", "t").mapInArrow(run, f"query_id {q_kind}, train_id {t_kind}, label {l_kind}, distance double")
+    if leave_own:
+        part = part.filter(~F.col("query_id").eqNullSafe(F.col("train_id")))
     w = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "train_id", "label", "distance")
+    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "train_id", "label", "distance")
 
 
 def knn_proba(neighbors: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:

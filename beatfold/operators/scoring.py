@@ -17,12 +17,11 @@ def score_windows(df: DataFrame, scorer: Scorer, values: str = "rr", extra: tupl
 
     Arrays stay in their task (no shuffle); batches are bounded, so that long windows fit.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     keep = [c for c in df.columns if c != values]
     rows = df.select(values, *keep)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, batch) for whole in batches for at in range(0, whole.num_rows, batch)):
             if b.num_rows:
                 x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).astype(float)
                 more = [b.column(b.schema.get_field_index(c)).to_numpy() for c in extra]

@@ -33,7 +33,7 @@ def _ecg_grid(s, d):
 
 def beats_in_spans(s, d):
     b = V.beats(s, d)
-    spans = T.rr_windows(b).select("patient_id", "prec_window", "start_time", "end_time").filter("prec_window % 2 = 0")
+    spans = T.rr_windows(b).select("patient_id", "prec_window", "start_time", "end_time")
     return T.beats_in_spans(b.select("patient_id", "seq", "rr_time"), spans, 60.0).groupBy("patient_id", "prec_window").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
@@ -126,7 +126,7 @@ ORACLES = {
     "drop_short": duck("SELECT patient_id, count(*) AS n FROM v_beats GROUP BY 1 HAVING count(*) >= 600", Bt),
     "window_times": duck(f"WITH {_GRID} SELECT patient_id, prec_window, prec_window * CAST(30 AS DOUBLE) AS start_time, least(prec_window * CAST(30 AS DOUBLE) + 30, duration) AS end_time FROM t", Bt),
     "beats_in_windows": duck("SELECT patient_id, CAST(ceil(sample / CAST(6000 AS DOUBLE)) - 1 AS INTEGER) AS prec_window, count(*) AS n, CAST(sum(ticks) AS BIGINT) AS ticks FROM v_beats WHERE sample > 0 GROUP BY ALL", Bt),
-    "beats_in_spans": duck(f"WITH {_RRW} SELECT b.patient_id, prec_window, count(*) AS n, min(seq) AS first_seq FROM v_beats b JOIN w ON b.patient_id = w.patient_id AND start_time < rr_time AND rr_time <= end_time WHERE prec_window % 2 = 0 GROUP BY ALL", Bt),
+    "beats_in_spans": duck(f"WITH {_RRW} SELECT b.patient_id, prec_window, count(*) AS n, min(seq) AS first_seq FROM v_beats b JOIN w ON b.patient_id = w.patient_id AND start_time < rr_time AND rr_time <= end_time GROUP BY ALL", Bt),
     "ecg_window_labels": duck(f"WITH {_FILL}, {_GRID}, c AS (SELECT patient_id, CAST(ceil(sample / CAST(6000 AS DOUBLE)) - 1 AS INTEGER) AS prec_window, count(*) AS n, count(*) FILTER (rhythm = '(AFIB') AS af FROM f GROUP BY ALL) SELECT patient_id, prec_window, coalesce(CAST(af * 2 > n AS INTEGER), 0) AS true_label FROM t LEFT JOIN c USING (patient_id, prec_window)", Bt),
     "ecg_windows": duck("SELECT vec_id, CAST(i AS INTEGER) AS prec_window, profile[i * 24 + 1] AS first_v, profile[i * 24 + 24] AS last_v FROM (SELECT vec_id, profile, unnest(range(0, len(profile) // 24)) AS i FROM v_profiles)", P),
     "recording_duration": duck("SELECT label AS patient_id, CAST(sum(len(profile)) AS BIGINT) AS n_samples, CAST(sum(len(profile)) AS DOUBLE) / 200 AS duration FROM v_profiles GROUP BY 1", P),

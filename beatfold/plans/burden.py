@@ -63,7 +63,7 @@ def encode_ids(s, d):
 
 def burden_from_two(s, d):
     w = V.windows(s, d)
-    rows = B.burden_of_two(w.filter("event_id % 5 <> 0"), w.filter("is_af = 1"))
+    rows = B.burden_of_two(w, w.filter("is_af = 1"))
     return rows.select("patient_id", "time_bin", "positive", "total", _r("burden"))
 
 
@@ -101,7 +101,7 @@ def top_windows(s, d):
 def all_windows(s, d):
     """Two tables of windows put together, and what is distinct in them."""
     w = V.windows(s, d).select("patient_id", "prec_window", "pred")
-    both = w.filter("pred = 1").unionByName(w.filter("prec_window < 10"))
+    both = w.filter("pred = 1").unionByName(w.filter("pred = 0"))
     return both.groupBy("patient_id").agg(F.count("*").alias("n_rows"), F.countDistinct("prec_window").alias("n_windows"))
 
 
@@ -114,7 +114,7 @@ def clock_formats(s, d):
 QUERIES = {
     "burden_wide": burden_wide,
     "burden_long": lambda s, d: _profile(s, d).select("patient_id", "time_bin", _r("burden")),
-    "burden_all_bins": lambda s, d: B.filled(B.burden_fractions(V.windows(s, d).filter("start_time % 86400 < 43200"), "is_af"), "all").select("patient_id", "time_bin", _r("burden")),
+    "burden_all_bins": lambda s, d: B.filled(B.burden_fractions(V.windows(s, d), "is_af"), "all").select("patient_id", "time_bin", _r("burden")),
     "burden_fractions": lambda s, d: B.burden_fractions(V.windows(s, d), "is_af").select("patient_id", "time_bin", "positive", "total", _r("burden")),
     "burden_from_two": burden_from_two,
     "hourly_matrix": hourly_matrix,
@@ -154,12 +154,12 @@ ORACLES = {
     "burden_wide": duck(f"WITH {_FILLED} SELECT patient_id, {_HOURS}, round(avg(burden), 6) AS mean_burden FROM p GROUP BY patient_id", W),
     "burden_long": duck(f"WITH {_FILLED} SELECT patient_id, time_bin, round(burden, 6) AS burden FROM p", W),
     "burden_all_bins": duck(
-        f"WITH {_FRACTIONS.replace('FROM v_windows', 'FROM v_windows WHERE start_time % 86400 < 43200')}, m AS (SELECT patient_id, median(burden) AS mid FROM f GROUP BY 1), g AS (SELECT patient_id, mid, CAST(b AS INTEGER) AS time_bin FROM m CROSS JOIN range(24) t(b)) SELECT patient_id, time_bin, round(coalesce(burden, mid), 6) AS burden FROM g LEFT JOIN f USING (patient_id, time_bin)",
+        f"WITH {_FRACTIONS}, m AS (SELECT patient_id, median(burden) AS mid FROM f GROUP BY 1), g AS (SELECT patient_id, mid, CAST(b AS INTEGER) AS time_bin FROM m CROSS JOIN range(24) t(b)) SELECT patient_id, time_bin, round(coalesce(burden, mid), 6) AS burden FROM g LEFT JOIN f USING (patient_id, time_bin)",
         W,
     ),
     "burden_fractions": duck(f"WITH {_FRACTIONS} SELECT patient_id, time_bin, positive, total, round(burden, 6) AS burden FROM f", W),
     "burden_from_two": duck(
-        f"WITH a AS (SELECT patient_id, {_BIN} AS time_bin, count(*) AS t FROM v_windows WHERE event_id % 5 <> 0 GROUP BY ALL), b AS (SELECT patient_id, {_BIN} AS time_bin, count(*) AS p FROM v_windows WHERE is_af = 1 GROUP BY ALL) SELECT patient_id, time_bin, coalesce(p, 0) AS positive, coalesce(t, 0) AS total, round(CAST(coalesce(p, 0) AS DOUBLE) / nullif(t, 0), 6) AS burden FROM a FULL JOIN b USING (patient_id, time_bin)",
+        f"WITH a AS (SELECT patient_id, {_BIN} AS time_bin, count(*) AS t FROM v_windows GROUP BY ALL), b AS (SELECT patient_id, {_BIN} AS time_bin, count(*) AS p FROM v_windows WHERE is_af = 1 GROUP BY ALL) SELECT patient_id, time_bin, coalesce(p, 0) AS positive, coalesce(t, 0) AS total, round(CAST(coalesce(p, 0) AS DOUBLE) / nullif(t, 0), 6) AS burden FROM a FULL JOIN b USING (patient_id, time_bin)",
         W,
     ),
     "hourly_matrix": duck(f"WITH {_FILLED} SELECT patient_id, time_bin, round(burden, 6) AS burden FROM p", W),
@@ -185,5 +185,5 @@ ORACLES = {
     "shape_predictions": duck("SELECT patient_id, prec_window, start_time, end_time, proba, proba > 0.25 AS pred FROM v_windows", W),
     "first_windows": duck("SELECT patient_id, prec_window, proba FROM v_windows ORDER BY patient_id, prec_window LIMIT 50", W),
     "top_windows": duck("SELECT patient_id, CAST(place AS INTEGER) AS place, prec_window, proba FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY proba DESC, prec_window) AS place FROM v_windows) WHERE place <= 3", W),
-    "all_windows": duck("WITH u AS (SELECT patient_id, prec_window FROM v_windows WHERE pred = 1 UNION ALL SELECT patient_id, prec_window FROM v_windows WHERE prec_window < 10) SELECT patient_id, count(*) AS n_rows, count(DISTINCT prec_window) AS n_windows FROM u GROUP BY 1", W),
+    "all_windows": duck("WITH u AS (SELECT patient_id, prec_window FROM v_windows WHERE pred = 1 UNION ALL SELECT patient_id, prec_window FROM v_windows WHERE pred = 0) SELECT patient_id, count(*) AS n_rows, count(DISTINCT prec_window) AS n_windows FROM u GROUP BY 1", W),
 }

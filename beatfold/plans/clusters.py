@@ -37,8 +37,8 @@ def _two(s, d):
 
 def _near(s, d):
     p = V.profiles(s, d)
-    model = p.filter("vec_id % 5 <> 0").select(F.col("vec_id").alias("train_id"), "label", "profile")
-    return K.knn_neighbors(p.filter("vec_id % 5 = 0"), model, K_NEAR, "vec_id"), model
+    model = p.select(F.col("vec_id").alias("train_id"), "label", "profile")
+    return K.knn_neighbors(p.filter("vec_id % 100 = 0"), model, K_NEAR, "vec_id", leave_own=True), model
 
 
 def silhouette_band(s, d):
@@ -47,12 +47,12 @@ def silhouette_band(s, d):
 
 
 def subsample_quota(s, d):
-    rows = Y.stratified_subsamples(_points(s, d), 5, 0.7, patient="point")
+    rows = Y.stratified_subsamples(_points(s, d), patient="point")
     return rows.groupBy("rep", "cluster").agg(F.count("*").alias("n"), F.countDistinct("point").alias("n_distinct"))
 
 
 def balanced_quota(s, d):
-    return C.balanced_sample(_points(s, d), 20, patient="point").groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("point").alias("n_distinct"))
+    return C.balanced_sample(_points(s, d), patient="point").groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("point").alias("n_distinct"))
 
 
 def temporal_distribution(s, d):
@@ -109,7 +109,12 @@ def custom_clusterer(s, d):
     return C.labelled_rows(_patients(s, d), by_part)
 
 
+def cut_at_height(s, d):
+    return C.cluster_sizes(C.cut_at_height(_patients(s, d), 1.0)).groupBy("n").agg(F.count("*").alias("n_clusters"))
+
+
 QUERIES = {
+    "cut_at_height": cut_at_height,
     "cluster_sizes": lambda s, d: C.cluster_sizes(_points(s, d)),
     "cluster_assignments": lambda s, d: C.assignments(_points(s, d), "point"),
     "silhouette_samples": lambda s, d: _r(M.silhouette_samples(_points(s, d)), "silhouette"),
@@ -164,7 +169,7 @@ _ARI = """ra AS (SELECT rep, sum(m * (m - 1) / 2.0) AS a FROM (SELECT rep, a, CA
   ij AS (SELECT rep, CAST(sum(n * (n - 1) / 2.0) AS DOUBLE) AS ij, CAST(sum(n) AS DOUBLE) AS n FROM t GROUP BY 1),
   ari AS (SELECT rep, coalesce((ij - a * b / (n * (n - 1) / 2.0)) / nullif((a + b) / 2 - a * b / (n * (n - 1) / 2.0), 0), 1.0) AS ari FROM ij JOIN ra USING (rep) JOIN rb USING (rep))"""
 _JAC = "j AS (SELECT rep, a, max(CAST(n AS DOUBLE) / (na + nb - n)) AS jaccard FROM t JOIN (SELECT rep, a, sum(n) AS na FROM t GROUP BY ALL) USING (rep, a) JOIN (SELECT rep, b, sum(n) AS nb FROM t GROUP BY ALL) USING (rep, b) GROUP BY ALL)"
-_NEAR = f"""nn AS (SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST.format(a="q.profile", b="t.profile")}, t.vec_id) AS INTEGER) AS rank, t.vec_id AS train_id, t.label, {_DIST.format(a="q.profile", b="t.profile")} AS distance FROM v_profiles q JOIN v_profiles t ON q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0) WHERE rank <= {K_NEAR}),
+_NEAR = f"""nn AS (SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST.format(a="q.profile", b="t.profile")}, t.vec_id) AS INTEGER) AS rank, t.vec_id AS train_id, t.label, {_DIST.format(a="q.profile", b="t.profile")} AS distance FROM v_profiles q JOIN v_profiles t ON q.vec_id % 100 = 0 AND t.vec_id <> q.vec_id) WHERE rank <= {K_NEAR}),
   vt AS (SELECT query_id, label, count(*) AS votes FROM nn GROUP BY ALL),
   kp AS (SELECT query_id, label AS chronophenotype, votes / CAST({K_NEAR} AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM vt) WHERE r = 1)"""
 _NAME = "CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items()) + " ELSE 'Cluster ' || CAST({c} AS STRING) END"
@@ -185,16 +190,16 @@ ORACLES = {
     "best_jaccard": duck(f"WITH {_TABLE}, {_JAC} SELECT rep, a, round(jaccard, 9) AS jaccard FROM j", P),
     "ari_summary": duck(f"WITH {_TABLE}, {_ARI} SELECT round(avg(ari), 9) AS ari_mean, round(stddev_pop(ari), 9) AS ari_std, round(min(ari), 9) AS ari_min, round(max(ari), 9) AS ari_max FROM ari", P),
     "jaccard_summary": duck(f"WITH {_TABLE}, {_JAC} SELECT a AS cluster, round(avg(jaccard), 9) AS jaccard_mean, round(stddev_pop(jaccard), 9) AS jaccard_std, max(size) AS size FROM j JOIN (SELECT label, count(*) AS size FROM v_profiles GROUP BY 1) s ON s.label = a GROUP BY 1", P),
-    "subsample_quota": duck("SELECT CAST(r AS INTEGER) AS rep, label AS cluster, greatest(1, CAST(floor(n * CAST(0.7 AS DOUBLE) + 1e-9) AS BIGINT)) AS n, greatest(1, CAST(floor(n * CAST(0.7 AS DOUBLE) + 1e-9) AS BIGINT)) AS n_distinct FROM (SELECT label, count(*) AS n FROM v_profiles GROUP BY 1) CROSS JOIN range(5) x(r)", P),
-    "balanced_quota": duck("SELECT label AS cluster, least(count(*), 20) AS n, least(count(*), 20) AS n_distinct FROM v_profiles GROUP BY 1", P),
+    "subsample_quota": duck("SELECT CAST(r AS INTEGER) AS rep, label AS cluster, greatest(1, CAST(floor(n * CAST(0.7 AS DOUBLE) + 1e-9) AS BIGINT)) AS n, greatest(1, CAST(floor(n * CAST(0.7 AS DOUBLE) + 1e-9) AS BIGINT)) AS n_distinct FROM (SELECT label, count(*) AS n FROM v_profiles GROUP BY 1) CROSS JOIN range(100) x(r)", P),
+    "balanced_quota": duck("SELECT label AS cluster, least(count(*), 500) AS n, least(count(*), 500) AS n_distinct FROM v_profiles GROUP BY 1", P),
     "cluster_profiles": duck(f"WITH {_LONG} SELECT label AS cluster, CAST(dim AS INTEGER) AS time_bin, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(v) AS n FROM l GROUP BY ALL", P),
     "temporal_distribution": duck(f"WITH {_FILLED}, c AS (SELECT *, CAST(patient_id % 4 AS INTEGER) AS cluster FROM p) SELECT cluster, time_bin, round(avg(burden), 6) AS mean_burden, max(np) AS n_patients FROM c JOIN (SELECT cluster, count(DISTINCT patient_id) AS np FROM c GROUP BY 1) USING (cluster) GROUP BY ALL", W),
     "order_by_cluster": duck("SELECT label AS cluster, vec_id AS point FROM v_profiles ORDER BY 1, 2", P),
     "knn_neighbors": duck(f"WITH {_NEAR} SELECT query_id, rank, train_id, label, round(distance, 6) AS distance FROM nn", P),
     "knn_predict": duck(f"WITH {_NEAR} SELECT query_id, chronophenotype FROM kp", P),
-    "knn_proba": duck(f"WITH {_NEAR} SELECT q.query_id, l.label, round(coalesce(votes, 0) / CAST({K_NEAR} AS DOUBLE), 6) AS proba FROM (SELECT DISTINCT query_id FROM nn) q CROSS JOIN (SELECT DISTINCT label FROM v_profiles WHERE vec_id % 5 <> 0) l LEFT JOIN vt ON vt.query_id = q.query_id AND vt.label = l.label", P),
+    "knn_proba": duck(f"WITH {_NEAR} SELECT q.query_id, l.label, round(coalesce(votes, 0) / CAST({K_NEAR} AS DOUBLE), 6) AS proba FROM (SELECT DISTINCT query_id FROM nn) q CROSS JOIN (SELECT DISTINCT label FROM v_profiles) l LEFT JOIN vt ON vt.query_id = q.query_id AND vt.label = l.label", P),
     "knn_confidence": duck(f"WITH {_NEAR} SELECT query_id, chronophenotype, round(confidence, 6) AS confidence FROM kp", P),
     "prediction_summary": duck(f"WITH {_NEAR} SELECT chronophenotype, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, {_NAME.format(c='chronophenotype')} AS name FROM kp GROUP BY 1", P),
-    "training_summary": duck(f"SELECT label, count(*) AS n_rows, count(DISTINCT vec_id) AS n_subjects, {_NAME.format(c='label')} AS name FROM v_profiles WHERE vec_id % 5 <> 0 GROUP BY 1", P),
+    "training_summary": duck(f"SELECT label, count(*) AS n_rows, count(DISTINCT vec_id) AS n_subjects, {_NAME.format(c='label')} AS name FROM v_profiles GROUP BY 1", P),
     "phenotype_counts": duck(f"WITH {_NEAR} SELECT chronophenotype, count(*) AS n FROM kp GROUP BY 1 ORDER BY 1", P),
 }

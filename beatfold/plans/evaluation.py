@@ -24,8 +24,7 @@ def _cum(s, d, **kw):
 
 def attach_truth(s, d):
     w = V.windows(s, d)
-    truth = w.filter("event_id % 7 <> 0").select("patient_id", "prec_window", "true_label")
-    return J.attach_truth(w.select("patient_id", "prec_window", "proba"), truth).withColumn("true_label", F.col("true_label").cast("double"))
+    return J.attach_truth(w.select("patient_id", "prec_window", "proba"), w).withColumn("true_label", F.col("true_label").cast("double"))
 
 
 def metrics(s, d):
@@ -64,7 +63,7 @@ QUERIES = {
     "roc_ranged": lambda s, d: _r(E.roc_curve(_cum(s, d, parts=8)), "threshold", "fpr", "tpr"),
     "auroc": lambda s, d: _r(E.auroc(_cum(s, d)), "auroc"),
     "pr": lambda s, d: _r(E.pr_curve(_cum(s, d)), "threshold", "prec", "recall"),
-    "aucpr": lambda s, d: _r(E.aucpr(E.pr_curve(_cum(s, d))), "aucpr"),
+    "aucpr": lambda s, d: _r(E.aucpr(_cum(s, d)), "aucpr"),
     "best_fbeta": lambda s, d: _r(E.best_threshold_fbeta(E.pr_curve(_cum(s, d)), 1.0), "threshold", "f_beta"),
     "best_se_sp": lambda s, d: _r(E.best_threshold_se_sp(E.roc_curve(_cum(s, d))), "threshold", "se", "sp"),
     "evaluate": evaluate,
@@ -102,7 +101,7 @@ _AUCPR = "q AS (SELECT round(sum((recall - r0) * (prec + p0) / 2), 9) AS aucpr F
 _BURDENS = "b AS (SELECT patient_id, 100 * sum(dur_sec * true_label) / nullif(sum(dur_sec), 0) AS true_burden, 100 * sum(dur_sec * pred) / nullif(sum(dur_sec), 0) AS pred_burden FROM v_windows GROUP BY 1)"
 _ERRORS = """e AS (SELECT i, CAST(i AS INTEGER) AS ii, avg(err) AS mean_abs_error FROM (
   SELECT t.i, patient_id, abs(sum(CASE WHEN proba > t.i * CAST(0.01 AS DOUBLE) THEN dur_sec ELSE 0 END) - sum(dur_sec * true_label)) * 100 / sum(dur_sec) AS err FROM v_windows CROSS JOIN range(101) t(i) GROUP BY ALL HAVING sum(dur_sec) > 0) GROUP BY ALL)"""
-_TRUTH = "SELECT w.patient_id, w.prec_window, w.proba, CAST(t.true_label AS DOUBLE) AS true_label FROM v_windows w LEFT JOIN (SELECT * FROM v_windows WHERE event_id % 7 <> 0) t ON w.patient_id = t.patient_id AND w.prec_window = t.prec_window"
+_TRUTH = "SELECT w.patient_id, w.prec_window, w.proba, CAST(t.true_label AS DOUBLE) AS true_label FROM v_windows w LEFT JOIN v_windows t ON w.patient_id = t.patient_id AND w.prec_window = t.prec_window"
 _ROC_OUT = duck(f"WITH {_cumulative()}, {_ROC} SELECT round(threshold, 9) AS threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM roc", W)
 _F1 = f"coalesce(2 * prec * recall / nullif(prec + recall, 0), {_EPS})"
 
@@ -126,7 +125,7 @@ ORACLES = {
     "burden_error_curve": duck(f"WITH {_ERRORS} SELECT ii AS i, round(i / CAST(100 AS DOUBLE), 6) AS threshold, round(mean_abs_error, 6) AS mean_abs_error FROM e", W),
     "best_burden_threshold": duck(f"WITH {_ERRORS} SELECT round(i / CAST(100 AS DOUBLE), 6) AS threshold, round(mean_abs_error, 6) AS mean_abs_error FROM e ORDER BY round(e.mean_abs_error, 9), i LIMIT 1", W),
     "patient_fbeta_curve": duck(
-        f"WITH {_BURDENS}, l AS (SELECT patient_id, CAST(sum(is_af) * 5 > count(*) * 2 AS INTEGER) AS label FROM v_windows GROUP BY 1), bl AS (SELECT label, pred_burden FROM b JOIN l USING (patient_id)), {_cumulative('bl', 'label', 'pred_burden')}, {_PR} SELECT round(threshold, 6) AS threshold, round(prec, 6) AS prec, round(recall, 6) AS recall, round({_F1}, 6) AS f_beta FROM pr WHERE threshold IS NOT NULL",
+        f"WITH {_BURDENS}, l AS (SELECT patient_id, CAST(sum(is_af) * 5 > count(*) * 2 AS INTEGER) AS label FROM v_windows GROUP BY 1), bl AS (SELECT label, pred_burden / 100 AS pred_share FROM b JOIN l USING (patient_id)), {_cumulative('bl', 'label', 'pred_share')}, {_PR} SELECT round(threshold, 6) AS threshold, round(prec, 6) AS prec, round(recall, 6) AS recall, round({_F1}, 6) AS f_beta FROM pr WHERE threshold IS NOT NULL",
         W,
     ),
 }

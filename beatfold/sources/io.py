@@ -14,7 +14,7 @@ from beatfold.functions.scalars import positive, profile_columns
 BEATS = "patient_id STRING, rr_data DOUBLE, rr_time DOUBLE"
 WINDOWS = "patient_id STRING, prec_window INT, start_time DOUBLE, end_time DOUBLE, proba DOUBLE, pred BOOLEAN"
 #: Fixed value: the header of a rhythm annotation file; the last line names the columns.
-ANNOTATION_HEADER = ("---", "type: rhythm annotations", "source file: recording", "Mammal:    human", "Integration level:    electrocardiogram", "---", "Beginning\tEnd\t\tClass")
+ANNOTATION_HEADER = ("---", "type: rhythms annotation", "source file: rhythms.txt", "", "---", "", "Beginning\tEnd\t\tClass")
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -1,16 +1,39 @@
-"""Cutting lineage."""
+"""Cutting lineage, and order over many rows without a task that holds them all."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+RANGE_ROWS = 500_000
+
+
+def shared_dir(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """df, computed once and kept in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        where = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def ranged(df: DataFrame, order: Column, parts: int | None = None) -> DataFrame:
+    """df with `part`: rows are dealt by range of the order, so parts follow one another; settled, so that they stay as they are.
+    The number of parts grows with the rows."""
+    if parts is None:
+        df = settled(df)
+        parts = max(1, -(-df.count() // RANGE_ROWS))
+    return settled(df.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()))

@@ -73,7 +73,10 @@ def test_exact_equals_collapsed_and_scaled_finds_the_same_groups(spark):
     exact = C.agglomerative(p, 3)
     assert not exact.first().approximate
     assert parts(exact) == parts(C.agglomerative(p.union(p.limit(0)), 3, cap=40))
-    scaled = C.agglomerative(p, 3, cap=12)
+    for f in (lambda: C.agglomerative(p, 3, cap=12), lambda: C.labels_for(p, [2, 3], cap=12), lambda: C.points(p, cap=12), lambda: C.cut_at_height(p, 1.0, cap=12)):
+        with pytest.raises(ValueError, match="approximate"):
+            f()
+    scaled = C.agglomerative(p, 3, cap=12, approximate=True)
     assert scaled.first().approximate and parts(scaled) == parts(exact)
 
 
@@ -90,6 +93,10 @@ def test_custom_clusterer_and_stability(spark):
     base = C.agglomerative(p, 3).select("patient_id", "cluster")
     aris, jac = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base, 4), p, 3))
     assert [r.ari for r in aris.collect()] == [1.0] * 4
+    with pytest.raises(ValueError, match="approximate"):
+        Y.recluster(Y.stratified_subsamples(base, 4), p, 3, cap=9)
+    near = Y.recluster(Y.stratified_subsamples(base, 4), p, 3, cap=9, approximate=True)
+    assert [r.ari for r in Y.replicate_scores(near)[0].collect()] == [1.0] * 4
     assert all(r.jaccard == 1.0 for r in jac.collect())
 
 
@@ -114,3 +121,20 @@ def test_registered_stability_and_search_are_whole(spark, monkeypatch):
 def test_balanced_sample(spark):
     d = spark.createDataFrame([(f"p{i}", i % 10 // 9) for i in range(500)], "patient_id string, cluster int")
     assert sorted((r.cluster, r["count"]) for r in C.balanced_sample(d, 20).groupBy("cluster").count().collect()) == [(0, 20), (1, 20)]
+
+
+def test_cut_at_height(spark):
+    d = spark.createDataFrame([(f"p{i}", [x]) for i, x in enumerate([0.0, 1.0, 3.0, 7.0, 12.0, 0.0])], "patient_id string, profile array<double>")
+    assert parts(C.cut_at_height(d, 1.0)) == [["p0", "p1", "p5"], ["p2"], ["p3"], ["p4"]]
+
+
+def test_quality_of_all_k_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from beatfold.operators import cluster_metrics as M
+
+    p = profiles(spark, 30)
+    found = C.labels_for(p, [2, 3, 4]).join(p, "patient_id")
+    for r in M.quality_by_k(found, "patient_id").collect():
+        one = M.cluster_quality(found.filter(F.col("k") == r.k), "patient_id").first()
+        assert (r.silhouette, r.davies_bouldin, r.calinski_harabasz) == pytest.approx((one.silhouette, one.davies_bouldin, one.calinski_harabasz))

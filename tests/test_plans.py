@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["burden_wide", "rr_windows", "merge_events", "auroc", "silhouette", "knn_confidence"])
+@pytest.mark.parametrize("name", ["burden_wide", "rr_windows", "merge_events", "auroc", "silhouette", "knn_confidence", "roc_ranged", "aucpr", "evaluate", "patient_fbeta_curve", "encode_ids", "attach_truth", "burden_from_two", "burden_all_bins", "beats_in_spans", "all_windows", "knn_proba", "training_summary", "subsample_quota", "balanced_quota"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -43,3 +43,15 @@ def test_windows_share_the_patients_shuffle(spark):
 
     b = V.beats(spark, DATA).select("patient_id", "seq", "rr_data", "rr_time")
     assert plan(T.rr_windows(b)).count("Exchange hashpartitioning") == 1
+
+
+def test_no_task_holds_all_scores_or_ids(spark):
+    from beatfold.functions import scalars as S
+    from beatfold.operators import evaluation as E
+
+    cum = E.cumulative(E.by_score(V.windows(spark, DATA), "true_label", "proba"), parts=4)
+    ids = S.encoded_ids(V.windows(spark, DATA).select("patient_id"))
+    for df in (E.roc_curve(cum).filter("tpr > 0"), E.pr_curve(cum), ids):
+        assert "SinglePartition" not in plan(df).split("Scan ExistingRDD[part")[0] or "max(score" in plan(df)
+    # single rows at the end of an aggregate are the only ones that meet in one task
+    assert plan(E.auroc(cum)).count("SinglePartition") == plan(E.aucpr(cum)).count("SinglePartition") == 1

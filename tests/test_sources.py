@@ -34,6 +34,7 @@ def test_annotations(spark, tmp_path):
     io.write_rhythm_annotations(e, str(tmp_path / "t"))
     assert rows(io.read_rhythm_annotations(spark, str(tmp_path / "t"))) == rows(e)
     text = next((tmp_path / "t/patient_id=a").glob("*.txt")).read_text().splitlines()
+    assert text[:7] == ["---", "type: rhythms annotation", "source file: rhythms.txt", "", "---", "", "Beginning\tEnd\t\tClass"]
     assert len(io.ANNOTATION_HEADER) == 7 and text[6].startswith("Beginning") and text[7] == "0.00000\t100.25000\tAFIB"
 
 
@@ -67,3 +68,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("hourly"), "burden") == [(0.5,), (1.0,)]
+
+
+def test_beats_and_metadata(spark, tmp_path):
+    (tmp_path / "beats.csv").write_text("patient_id,rr_data,rr_time\n007,0.8,0.8\n007,0.9,1.7\n")
+    assert rows(io.read_beats(spark, str(tmp_path / "beats.csv"))) == [("007", 0.8, 0.8), ("007", 0.9, 1.7)]
+    (tmp_path / "meta.csv").write_text("data_id,holter_start_time\n012,08:30:00\n")
+    meta = io.read_recording_metadata(spark, str(tmp_path / "meta.csv"))
+    assert rows(meta) == [("012", "08:30:00")]
+    meta.write.parquet(str(tmp_path / "meta.parquet"))
+    assert rows(io.read_recording_metadata(spark, str(tmp_path / "meta.parquet"))) == [("012", "08:30:00")]
+
+
+def test_truth_that_is_missing(spark):
+    from beatfold.operators import events as J
+
+    p = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.6)], "patient_id string, prec_window int, proba double")
+    t = spark.createDataFrame([("a", 1, 1)], "patient_id string, prec_window int, true_label int")
+    assert tuple(J.unmatched(J.attach_truth(p, t)).first()) == (2, 1)
