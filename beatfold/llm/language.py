@@ -6,9 +6,8 @@ probability is the sum over all its segmentations (a forward algorithm in log sp
 the languages are weighed by Bayes' rule with their shares of the sample as priors. Letters that no piece covers have a small
 probability of their own, so any text has a score.
 
-Learning: at most SAMPLE documents of each language, and of those at most SAMPLE_WORDS words each, spread over the whole text;
-all their words, or where these are more than VOCABULARY for each language on average, the VOCABULARY most frequent words of each
-language and as many of all languages together as that makes. Scoring covers every word of every text.
+Learning: at most SAMPLE documents of each language (one row of an id), every word of them; expectations are summed up in Spark.
+Scoring covers every word of every text. Words and pieces have any length.
 
 Nulls: a null text, or one without letters, is `und` with score 0.0; null ids stay, are not held out and are never learnt from;
 null languages are not learnt from. Without learnable rows every text is `und`. Ties go to the language that sorts first.
@@ -29,33 +28,17 @@ from pyspark.sql.window import Window
 from beatfold.llm import common
 
 PIECES = "piece_bpe_32k.model"
-SAMPLE, SAMPLE_WORDS, VOCABULARY, ROUNDS = 1000, 2000, 30_000, 4
-LONGEST, PART = 8, 16  # letters in a piece; words are scored in parts of so many letters
-KNOWN_WORDS = 400_000
+SAMPLE, ROUNDS = 1000, 4
+KNOWN_WORDS = 250_000
 UNKNOWN, FLOOR = 1e-7, 1e-8
+LONG, RESCALE, SCALE = 48, 16, 20.0  # letters; longer words are taken one by one
 _LETTERS = regex.compile(r"\p{L}+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, with a mark before the first letter; long runs in parts."""
-    found = []
-    for w in _LETTERS.findall((text or "").lower()):
-        w = "▁" + w
-        found += [w] if len(w) <= PART else [w[i : i + PART] for i in range(0, len(w), PART)]
-    return found
-
-
-def keys_of(chars: np.ndarray) -> np.ndarray:
-    """64-bit keys of the letter strings in the rows."""
-    h = np.full(len(chars), chars.shape[1], np.uint64)
-    for c in chars.T:
-        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    return h
-
-
-def letters(words: list[str], width: int) -> np.ndarray:
-    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+    """Runs of letters, lower-cased, with a mark before the first letter."""
+    return ["▁" + w for w in _LETTERS.findall((text or "").lower())]
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -66,49 +49,137 @@ def vocabulary(path: str | None = None) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(PIECES))
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
     pieces |= {c for p in pieces for c in p}
-    return sorted(p for p in pieces if 1 <= len(p) <= LONGEST and "▁" not in p[1:] and all(c.isalpha() for c in p.lstrip("▁")))
+    return sorted(p for p in pieces if p and "▁" not in p[1:] and all(c.isalpha() for c in p.lstrip("▁")))
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """A row of letters for each of the words, which have one length."""
+    n = len(words[0])
+    return np.array(words, dtype=f"U{n}").view(np.uint32).reshape(len(words), n).astype(np.uint64)
+
+
+def longer(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Keys of strings with one more letter."""
+    h = (h ^ c) * _MIX
+    return h ^ (h >> np.uint64(31))
 
 
 class Pieces:
-    """The vocabulary, looked up by key; the number after the last piece stands for an unknown letter."""
+    """The vocabulary by key, with all beginnings of pieces; the number after the last piece stands for an unknown letter."""
 
     def __init__(self, pieces: list[str]):
-        keys = np.concatenate([keys_of(letters([p], len(p))) for p in pieces])
-        order = np.argsort(keys)
-        self.keys, self.number, self.size = keys[order], order.astype(np.int32), len(pieces)
-
-    def lookup(self, chars: np.ndarray) -> np.ndarray:
-        k = keys_of(chars)
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        missing = self.size if chars.shape[1] == 1 else -1
-        return np.where(self.keys[at] == k, self.number[at], missing)
-
-    def arcs(self, words: list[str]) -> tuple[int, dict[tuple[int, int], np.ndarray]]:
-        """For words of one length: the piece from letter i to j of each word (-1: none)."""
-        n = len(words[0])
-        x = letters(words, n)
-        return n, {(i, j): self.lookup(x[:, i:j]) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)}
-
-
-def forward(n: int, arcs: dict, logp: np.ndarray) -> list[np.ndarray]:
-    """logp: (pieces + 2, languages), the last row -inf. Log sums over the segmentations of the first j letters, for each j."""
-    rows = len(arcs[0, 1])
-    a = [np.zeros((rows, logp.shape[1]))]
+        self.size, self.longest = len(pieces), max(map(len, pieces))
+        number: dict[int, int] = {}
+        for n, p in enumerate(pieces):
+            h = np.uint64(0)
+            for i, c in enumerate(p):
+                with np.errstate(over="ignore"):
+                    h = longer(h, np.uint64(ord(c)))
+                number.setdefault(int(h), -1)
+                if i == len(p) - 1:
+                    number[int(h)] = n
+        self.keys = np.array(sorted(number), np.uint64)
+        self.number = np.array([number[int(k)] for k in self.keys], np.int32)
+
+    def arcs(self, words: list[str]) -> list[np.ndarray]:
+        """For words of one length: by piece length - 1, the piece that begins at each letter of each word (-1: none); every single
+        letter has one. Lengths that no piece has there are left out at the end."""
+        x = letters(words)
+        rows, n = x.shape
+        at, h = np.arange(rows * n), np.zeros(rows * n, np.uint64)
+        flat, found = x.reshape(-1), []
+        for size in range(1, min(self.longest, n) + 1):
+            h = longer(h, flat[at + size - 1])
+            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            known = self.keys[k] == h
+            piece = np.full(rows * n, -1, np.int32)
+            piece[at[known]] = self.number[k[known]]
+            if size == 1:
+                piece[piece < 0] = self.size
+            found.append(piece.reshape(rows, n))
+            on = known & (at % n + size < n)
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        return found
+
+
+def ends_at(arcs: list[np.ndarray], j: int):
+    """(letters, rows, pieces) of the pieces that end before letter j; of single letters, all rows."""
+    for size, piece in enumerate(arcs[:j], 1):
+        p = piece[:, j - size]
+        if size == 1:
+            yield size, slice(None), p
+        elif len(hit := np.nonzero(p >= 0)[0]):
+            yield size, hit, p[hit]
+
+
+def forward(arcs: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+    """prob: (pieces + 1, languages). Log sums over all segmentations of each word; in the window of latest letters sums are kept on a scale of their own, so that
+    words may have any length."""
+    rows, n = arcs[0].shape
+    window, scale = [np.ones((rows, prob.shape[1]))], np.zeros((rows, prob.shape[1]))  # latest first
     for j in range(1, n + 1):
-        parts = np.stack([a[i] + logp[arcs[i, j]] for i in range(max(0, j - LONGEST), j)])
-        top = parts.max(0)
-        a.append(top + np.log(np.exp(parts - top).sum(0)))
+        now = np.zeros_like(scale)
+        for size, hit, piece in ends_at(arcs, j):
+            now[hit] += window[size - 1][hit] * prob[piece]
+        window = [now, *window[: len(arcs) - 1]]
+        if j % RESCALE == 0:
+            scale += np.log(now)
+            window = [w / now for w in window]
+    return np.log(window[0]) + scale
+
+
+def expected(arcs: list[np.ndarray], size: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in the segmentations of words of one length, `count` times each; size: letters of the pieces.
+
+    Probabilities are scaled by SCALE a letter, which cancels out, so that words of LONG letters stay within doubles.
+    """
+    rows, n = arcs[0].shape
+    p = prob * SCALE**size
+    a, b = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+    a[0], b[n] = 1, 1
+    for j in range(1, n + 1):
+        for k, hit, piece in ends_at(arcs, j):
+            a[j][hit] += a[j - k][hit] * p[piece]
+    got = np.zeros(len(prob))
+    weight = count / a[n]
+    for j in range(n, 0, -1):
+        for k, hit, piece in ends_at(arcs, j):
+            use = b[j][hit] * p[piece]
+            b[j - k][hit] += use
+            got += np.bincount(piece, use * a[j - k][hit] * weight[hit], minlength=len(prob))
+    return got
+
+
+def long_arcs(table: Pieces, word: str) -> list[list[tuple[int, int]]]:
+    """By end: (letters, piece) of the pieces that end there."""
+    ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]
+    for size, piece in enumerate(table.arcs([word]), 1):
+        for i in np.nonzero(piece[0] >= 0)[0].tolist():
+            ends[i + size].append((size, int(piece[0, i])))
+    return ends
+
+
+def long_forward(ends: list, logp: np.ndarray) -> list[np.ndarray]:
+    """Log sums over the segmentations of the first j letters of one word, for each j and language."""
+    a = [np.zeros(logp.shape[1])]
+    for here in ends[1:]:
+        a.append(np.logaddexp.reduce([a[len(a) - k] + logp[piece] for k, piece in here]))
     return a
 
 
-def backward(n: int, arcs: dict, logp: np.ndarray) -> list[np.ndarray]:
-    rows = len(arcs[0, 1])
-    b = [np.zeros((rows, logp.shape[1]))]
-    for i in range(n - 1, -1, -1):
-        parts = np.stack([b[n - j] + logp[arcs[i, j]] for j in range(i + 1, min(n, i + LONGEST) + 1)])
-        top = parts.max(0)
-        b.append(top + np.log(np.exp(parts - top).sum(0)))
-    return b[::-1]
+def long_expected(ends: list, logp: np.ndarray, count: float) -> np.ndarray:
+    """expected() of one long word, in logarithms."""
+    a, n = long_forward(ends, logp[:, None]), len(ends) - 1
+    b, got = np.full(n + 1, -np.inf), np.zeros(len(logp))
+    b[n] = 0.0
+    for j in range(n, 0, -1):
+        for k, piece in ends[j]:
+            use = b[j] + logp[piece]
+            b[j - k] = np.logaddexp(b[j - k], use)
+            got[piece] += count * np.exp(use + a[j - k][0] - a[n][0])
+    return got
 
 
 def by_length(words: list[str], most: int = 20_000):
@@ -127,53 +198,73 @@ class Model:
         self.pieces, self.languages, self.priors, self.logp = pieces, languages, priors, logp
 
 
-def with_none(p: np.ndarray) -> np.ndarray:
-    """Log probabilities with a row for "no piece"."""
-    return np.vstack([np.log(p), np.full((1, p.shape[1]), -np.inf)])
-
-
-def train(pieces: list[str], counts: dict[str, dict[str, int]], shares: dict[str, float], rounds: int = ROUNDS) -> Model:
-    """counts: words of each language. Expected piece counts over all segmentations, then normalised with a floor; again and again."""
-    languages, table = sorted(counts), Pieces(pieces)
-    logp = []
-    for lang in languages:
-        words, n = [*counts[lang]], np.array([*counts[lang].values()], float)
-        size = np.array([len(p) for p in pieces] + [1])
-        p = (0.02 ** (size - 1.0) + 1e-12)[:, None]
-        p /= p.sum()
-        for _ in range(rounds):
-            log, got = with_none(p), np.zeros(len(p) + 1)
-            for at in by_length(words):
-                m, arcs = table.arcs([words[k] for k in at])
-                a, b = forward(m, arcs, log), backward(m, arcs, log)
-                for (i, j), piece in arcs.items():
-                    w = np.exp(a[i] + log[piece] + b[j] - a[m])[:, 0] * n[at]
-                    got += np.bincount(np.where(piece < 0, len(p), piece), np.where(piece < 0, 0, w), minlength=len(p) + 1)
-            p = got[:-1, None] / max(got.sum(), 1e-9) + FLOOR
-            p[-1] = UNKNOWN
-            p /= p.sum()
-        logp.append(np.log(p[:, 0]))
-    return Model(pieces, languages, np.log(np.array([shares[x] for x in languages])), np.stack(logp, 1))
+def uses(table: Pieces, size: np.ndarray, prob: np.ndarray, words: list[str], count: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in words of one language."""
+    got, logp = np.zeros(len(prob)), np.log(prob)
+    for at in by_length(words):
+        if len(words[at[0]]) > LONG:
+            for k in at:
+                got += long_expected(long_arcs(table, words[k]), logp, count[k])
+        else:
+            got += expected(table.arcs([words[k] for k in at]), size, prob, count[at])
+    return got
+
+
+def train(pieces: list[str], counts: DataFrame, shares: dict[str, float], rounds: int = ROUNDS) -> Model:
+    """counts: (lang, word, count). Expected uses of pieces over all segmentations, then normalised with a floor; again and again.
+
+    Words stay in Spark; a round gathers a number for each piece and language.
+    """
+    languages, size = sorted(shares), np.array([len(p) for p in pieces] + [1])
+    p = 0.02 ** (size - 1.0) + 1e-12
+    probs = np.repeat(p[:, None] / p.sum(), len(languages), 1)
+    for _ in range(rounds):
+
+        def expect(batches, probs=probs):
+            table = common.kept(("pieces", len(pieces)), lambda: Pieces(pieces))
+            for b in batches:
+                lang, words, n = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist(), b.column(2).to_numpy().astype(float)
+                for k, name in enumerate(languages):
+                    mine = np.nonzero(lang == name)[0]
+                    if len(mine):
+                        got = uses(table, size, probs[:, k], [words[i] for i in mine], n[mine])
+                        at = np.nonzero(got)[0]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(got[at])], ["lang", "piece", "n"])
+
+        found = counts.select("lang", "word", "count").mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+        got = np.zeros_like(probs)
+        got[found.column("piece").to_numpy(), found.column("lang").to_numpy()] = found.column("n").to_numpy()
+        probs = got / np.maximum(got.sum(0), 1e-9) + FLOOR
+        probs[-1] = UNKNOWN
+        probs /= probs.sum(0)
+    return Model(pieces, languages, np.log(np.array([shares[x] for x in languages])), np.log(probs))
 
 
 class Scorer:
     """A model with the scores of the words met so far (a bounded number)."""
 
     def __init__(self, model: Model):
-        self.model, self.table, self.log = model, Pieces(model.pieces), with_none(np.exp(model.logp))
+        self.model, self.table, self.prob = model, Pieces(model.pieces), np.exp(model.logp)
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
 
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language, summed over all segmentations."""
+        found = np.empty((len(words), len(self.model.languages)))
+        for at in by_length(words, 8192):
+            if len(words[at[0]]) > LONG and len(at) < 8:
+                for k in at:
+                    found[k] = long_forward(long_arcs(self.table, words[k]), self.model.logp)[-1]
+            else:
+                found[at] = forward(self.table.arcs([words[k] for k in at]), self.prob)
+        return found
+
     def predict(self, texts: list[list[str]]) -> tuple[list[str], np.ndarray]:
         if len(self.known) > KNOWN_WORDS:
             self.known, self.scores = {}, self.scores[:0]
         new = [*{w: None for t in texts for w in t if w not in self.known}]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        fresh = np.empty((len(new), len(self.model.languages)))
-        for at in by_length(new, 8192):
-            n, arcs = self.table.arcs([new[k] for k in at])
-            fresh[at] = forward(n, arcs, self.log)[n]
-        self.scores = np.vstack([self.scores, fresh])
+        self.scores = np.vstack([self.scores, self.word_scores(new)])
         names, probs = [], np.zeros(len(texts))
         for k, t in enumerate(texts):
             if not t:
@@ -203,26 +294,17 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     def some(batches):
         for b in batches:
             langs, words = [], []
-            for key, text, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = words_of(text)
-                if len(found) > SAMPLE_WORDS:
-                    found = [found[i] for i in np.random.default_rng(zlib.crc32(str(key).encode())).choice(len(found), SAMPLE_WORDS, replace=False)]
                 langs += [lang] * len(found)
                 words += found
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
-    picked = rows.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang")  # `sample` ids of each language at most
-    counts = common.written(picked.mapInArrow(some, "lang string, word string").groupBy("lang", "word").count(), "words")
-    found: dict[str, dict[str, int]] = {}
-    most = VOCABULARY * len(totals)
-    if counts.count() > most:  # each language's own most frequent words, and the most frequent of all
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-        own = counts.withColumn("n", rank).filter(F.col("n") <= VOCABULARY).drop("n")
-        counts = own.union(counts.orderBy(F.desc("count"), "lang", "word").limit(most))
-    for r in counts.orderBy(F.desc("count"), "lang", "word").collect():
-        found.setdefault(r.lang, {})[r.word] = r["count"]
-    total = sum(totals[x] for x in found)
-    return train(vocabulary(path), found, {x: totals[x] / total for x in found}) if found else None
+    picked = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # `sample` ids of each language at most
+    counts = common.written(picked.select("text", "lang").mapInArrow(some, "lang string, word string").groupBy("lang", "word").count(), "words")
+    learnt = {r.lang for r in counts.select("lang").distinct().collect()}  # a row for each language
+    total = sum(totals[x] for x in learnt)
+    return train(vocabulary(path), counts, {x: totals[x] / total for x in learnt}) if learnt else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
