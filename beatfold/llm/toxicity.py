@@ -4,7 +4,7 @@ A text is lower-cased and cut into words; a step of the network sees a word as a
 embeddings of its hashed character n-grams (sizes 3 to 6, with marks for both ends). All windows of 32 words that overlap by half
 are scored; a text's logit is that of its most toxic window, put on the scale of probabilities by a logistic fit and the shares of the classes. The network
 learns from document labels alone (many windows, one label), on a bounded sample of labelled rows: SAMPLE rows of each class at
-most, and at most SAMPLE_WINDOWS windows of each. Scoring covers every word of every text.
+most (one of an id), with all windows of each. Scoring covers every word of every text.
 
 Nulls: a null or empty text is scored as one empty window; null ids stay, are not held out, and are never learnt from; null
 labels are not learnt from, nor documents whose labels disagree. Repeated rows get equal scores. Words over 32 letters are taken
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from beatfold.llm import common
 
 WINDOW, STRIDE = 32, 16
-SAMPLE, SAMPLE_WINDOWS = 1000, 48
+SAMPLE = 1000
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 13, 16, 8, 16, 8
 GRAMS, LETTERS = (3, 4, 5, 6), 32
 EPOCHS, BATCH, RATE, SEED, DECAY = 8, 64, 0.01, 7, 0.01
@@ -273,25 +273,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.filter("y = 1").orderBy(order).limit(sample).union(known.filter("y = 0").orderBy(order).limit(sample))
     rows = common.pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id")  # 2 * sample ids at most
 
-    def some(batches):
-        for b in batches:
-            out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                starts = windows_of(len(words))
-                if len(starts) > SAMPLE_WINDOWS:
-                    r = np.random.default_rng(zlib.crc32(str(key).encode()))
-                    words = [w for s in np.sort(r.choice(starts[::2], min(SAMPLE_WINDOWS // 2, len(starts[::2])), replace=False)) for w in words[s : s + WINDOW]]
-                out.append(" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], ["id", "words", "y"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    got = sorted(rows.mapInArrow(some, f"id {kind}, words string, y int").collect())  # bounded: rows and windows of each
-    label = np.array([r.y for r in got], np.float64)
+    got = sorted((r.id, r.text or "", r.y) for r in rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect())  # 2 * sample rows at most
+    label = np.array([y for _, _, y in got], np.float64)
     if len({*label}) < 2:
         return float(label.mean()) if len(label) else 0.0
     order = np.random.default_rng(SEED).permutation(len(got))
-    net = train([got[i].words.split() for i in order], label[order])
+    net = train([words_of(got[i][1]) for i in order], label[order])
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     a, b = net.scale  # fitted on the sample; the shift gives the classes back their shares among all learnable rows
     net.scale = a, b + float(np.log(share[1] / share[0]) - np.log(label.sum() / (len(label) - label.sum())))
