@@ -34,7 +34,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LEAST, JOINTS = 12, "+/_.=-"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "grammar")
-LABELLED, ORDINARY, LONGEST = 1000, 4000, 128
+LABELLED, ORDINARY, LONGEST = 1000, 4000, 1024
 ALPHA, MARGIN = 0.05, 20.0
 KNOWN = 200_000
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
