@@ -108,4 +108,5 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("fingerprint"), F.substring(F.sha2(pairs, 256), 1, 32)).alias("feature"),
+        "fingerprint",
     )
