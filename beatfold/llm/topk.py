@@ -1,8 +1,8 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Vectors are turned into integers; queries are taken in blocks of bounded size, and each block is scored against all rows. Every
-task histograms its scores, the histograms are summed over all tasks, and the bin that holds each query's kth value is refined
-until it is a single score. A last pass keeps what reaches that score; ties go to the smaller id. A task reports only bins and
+Vectors are turned into integers and written once; queries are taken in blocks of bounded size, and each block is scored against all
+rows (a block's work is BLOCK products a row, far more than reading the row). Every task histograms its scores, the histograms are
+summed over all tasks, and the bin that holds each query's kth value is refined until it is a single score. A last pass keeps what reaches that score; ties go to the smaller id. A task reports only bins and
 rows from its own kth score up: a score below any task's kth cannot be among the k best of all.
 
 Nulls: rows with a null id, a null vector, or null or non-finite components take no part. Vectors of different lengths are not
@@ -22,15 +22,16 @@ from pyspark.sql.window import Window
 
 from beatfold.llm import common
 
-BINS, BLOCK = 512, 1024
+BINS, BLOCK, ROWS = 512, 4096, 512
+ASKED = "_asked"
 
 
-def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """Rows that take part, as (id, v array<bigint>)."""
+def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256, *more: str) -> DataFrame:
+    """Rows that take part, as (id, v array<bigint>, *more)."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    df = common.pick(df, id_col, vec_col).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("x"))
+    df = common.pick(df, id_col, vec_col, *more).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("x"), *more)
     df = df.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", bad))
-    return df.select("id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"))
+    return df.select("id", F.transform("x", lambda x: F.floor(x * scale)).alias("v"), *more)
 
 
 def products(rows: np.ndarray, queries: np.ndarray, most: float) -> np.ndarray:
@@ -54,8 +55,8 @@ def _scored(batches, ids, vecs, most):
         flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
         for d, (at, qid, q) in groups.items():
             rows = np.nonzero(lens == d)[0]
-            for lo in range(0, len(rows), 2048):
-                r = rows[lo : lo + 2048]
+            for lo in range(0, len(rows), ROWS):
+                r = rows[lo : lo + ROWS]
                 v = flat[starts[r][:, None] + np.arange(d)] if d else np.zeros((len(r), 0), np.int64)
                 yield row_ids[r], at, products(v, q, most), row_ids[r][:, None] != qid[None]
 
@@ -68,10 +69,11 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
     """(query_id, rank int, <id_col>, score long): the k rows of the highest integer inner product for each query row."""
     spark = df.sparkSession
-    cands = quantised(df, id_col, vec_col, scale)
-    chosen = quantised(df.filter(is_query), id_col, vec_col, scale).groupBy("id").agg(F.min("v").alias("v"))
+    cands = common.written(quantised(df.withColumn(ASKED, is_query), id_col, vec_col, scale, ASKED), "topk-vectors")
+    chosen = cands.filter(ASKED).groupBy("id").agg(F.min("v").alias("v"))
     chosen = common.written(chosen.withColumn("n", F.xxhash64("id")), "topk-queries")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    cands = cands.select("id", "v")
     longest = cands.agg(F.max(size)).first()[0] or 0.0
     blocks = max(1, math.ceil(chosen.count() / block))
     path = common.new_path(spark, "topk")
@@ -90,7 +92,9 @@ def _select(cands: DataFrame, ids: list, vecs: list, k: int, longest: float, id_
     n = len(ids)
     bound = np.array([math.floor(math.sqrt(float(sum(float(x) * x for x in v))) * longest * (1 + 1e-9)) + 1 for v in vecs], dtype=object)
     most = float(max(bound))
-    low, high = np.maximum(-bound, -(2**62)).astype(np.int64), np.minimum(bound, 2**62).astype(np.int64)
+    if most >= 2**62:
+        raise ValueError("inner products may leave 64 bits: take a smaller scale")
+    low, high = (-bound).astype(np.int64), bound.astype(np.int64)
     need = np.full(n, k, np.int64)  # how many of the bin [low, high] are among the k best
 
     while (high > low).any():
