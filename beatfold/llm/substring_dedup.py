@@ -6,14 +6,15 @@ same document further ahead) are removed; windows are judged on the input.
 First pass: every window is counted under its anchor, the least (by hash) of its 8-word runs, so equal windows share an anchor and
 an anchor's count is never below a window's. Each task sends its sketch sparsely, as the cells its anchors hit, to the task that
 merges that range of hashes; there, count-min rows are summed over all tasks, and positions with an estimate of two or more are
-sent back to their documents. Second pass: only windows with such an anchor are grouped, exactly, by 128 bits of hash (64 for the
+sent back to their documents. Second pass: only windows with such an anchor are grouped, exactly, by 96 bits of hash (64 for the
 range and key, 32 more, from two polynomials over 64-bit word hashes; equal hashes are taken as equal words). No window that
-repeats is lost. Both passes settle what repeats within a task before the shuffle, so a passage that a third of all documents
-share sends a few rows from each task. The number of ranges grows with the text.
+repeats is lost. Texts are written with a number for each row, by which positions find their text again. Both passes settle what
+repeats within a task before the shuffle, so a passage that a third of all documents share sends a few rows from each task. The
+number of ranges grows with the text.
 
-Nulls: a null text has no words; a null id counts as less than all others. Rows with equal id and text are one document and get
-the same result; rows with one id and other texts are documents of their own, whose windows at equal starts do not remove each
-other. Texts under 20 words lose nothing. Empty tables give empty results; extra columns are ignored. Ids must be integers.
+Nulls: a null text has no words; a null id counts as less than all others. Rows with one id do not remove each other's windows at
+equal starts, whether their texts are equal (repeated rows get equal results) or not. Texts under 20 words lose nothing. Empty
+tables give empty results; extra columns are ignored. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -258,8 +259,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col, *carry)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), id_col, *carry)
-    ranges = max(LEAST_RANGES, (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // RANGE_CHARS)
+    numbered = docs.toDF("text", *[f"_c{i}" for i in range(1 + len(carry))]).withColumn("key", F.monotonically_increasing_id())
+    numbered = common.written(numbered, "numbered")  # a row keeps its number
+    own = numbered.select("text", "key", *[F.col(f"_c{i}").alias(c) for i, c in enumerate((id_col, *carry))])
+    ranges = max(LEAST_RANGES, (own.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS)
 
     cells = own.select("text", "key").mapInArrow(_anchor_rows(ranges), "part int, cell binary, many binary, key binary, pos binary, sure_key binary, sure_pos binary")
     flags = cells.groupBy("part").applyInArrow(_merge_sketches, "key long, at array<int>")
