@@ -227,8 +227,7 @@ def test_language_odd(spark, docs):
     assert language.fit(docs([])) is None and {r.lang_pred for r in language.predict(docs(ODD), None).collect()} == {"und"}
 
 
-def test_large_languages_leave_room_for_a_small_one(spark, monkeypatch):
-    monkeypatch.setattr(language, "VOCABULARY", 50)
+def test_large_languages_leave_room_for_a_small_one(spark):
     ids = [i for i in range(1000, 1020) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
     few = spark.createDataFrame([(i, " ".join(f"{w}{w}" for w in ("ozu", "ikwa", "umbo", "yazi")), "zu", "zu") for i in ids], "doc_id long, text string, lang string, truth string")
     d = languages(spark).union(few)
@@ -237,19 +236,58 @@ def test_large_languages_leave_room_for_a_small_one(spark, monkeypatch):
     assert {r.lang_pred for r in language.predict(few, model).collect()} == {"zu"}
 
 
+PIECES = ["▁", "a", "b", "ab", "▁a", "ba", "abab"]
+
+
+def total(word, prob):
+    """Sum over all segmentations, letter by letter; prob: of each piece, the last for other letters."""
+    sums = [1.0]
+    for j in range(1, len(word) + 1):
+        sums.append(sum(sums[j - len(x)] * prob[i] for i, x in enumerate(PIECES) if word[:j].endswith(x)) + (0 if word[j - 1] in PIECES else sums[j - 1] * prob[-1]))
+    return sums[-1]
+
+
+def naive_uses(word, prob, found=None, share=1.0):
+    if not word:
+        return [(share, found or [])]
+    out = []
+    for i, x in enumerate(PIECES):
+        if word.startswith(x):
+            out += naive_uses(word[len(x) :], prob, [*(found or []), i], share * prob[i])
+    return out or naive_uses(word[1:], prob, [*(found or []), len(PIECES)], share * prob[-1])
+
+
 def test_forward_sums_all_segmentations():
-    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
-    p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 1e-7])[:, None]
-    table = language.Pieces(pieces)
-    n, arcs = table.arcs(["▁aba"])
-    got = np.exp(language.forward(n, arcs, language.with_none(p))[n])[0, 0]
-
-    def total(rest):
-        if not rest:
-            return 1.0
-        return sum(p[i, 0] * total(rest[len(x) :]) for i, x in enumerate(pieces) if rest.startswith(x))
-
-    assert got == pytest.approx(total("▁aba"))
+    p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 0.05, 1e-7])
+    table = language.Pieces(PIECES)
+    for word in ("▁aba", "▁ababxab", "▁" + "ab" * 40 + "xa"):
+        want = total(word, p)
+        assert np.exp(language.forward(table.arcs([word]), p[:, None]))[0, 0] == pytest.approx(want)
+        assert np.exp(language.long_forward(language.long_arcs(table, word), np.log(p)[:, None])[-1][0]) == pytest.approx(want)
+
+
+def test_expected_uses_against_all_segmentations():
+    p = np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1, 0.05, 1e-7])
+    table, size = language.Pieces(PIECES), np.array([*map(len, PIECES), 1])
+    word = "▁abaxabab"
+    every = naive_uses(word, p)
+    whole = sum(s for s, _ in every)
+    want = np.zeros(len(p))
+    for share, used in every:
+        for i in used:
+            want[i] += 3 * share / whole
+    assert language.expected(table.arcs([word]), size, p, np.array([3.0])) == pytest.approx(want)
+    assert language.long_expected(language.long_arcs(table, word), np.log(p), 3.0) == pytest.approx(want)
+
+
+def test_a_text_is_scored_over_its_whole_words():
+    p = np.array([[0.1, 0.2], [0.2, 0.1], [0.15, 0.25], [0.25, 0.15], [0.2, 0.05], [0.05, 0.2], [0.05, 0.05], [1e-7, 1e-7]])
+    model = language.Model(PIECES, ["x", "y"], np.log([0.3, 0.7]), np.log(p))
+    text = "Abab, ba " + "ab" * 30 + " aaba"
+    words = ["▁" + w for w in ("abab", "ba", "ab" * 30, "aaba")]
+    want = [np.log(share) + sum(np.log(total(w, p[:, k])) for w in words) for k, share in enumerate((0.3, 0.7))]
+    names, probs = language.Scorer(model).predict([language.words_of(text)])
+    assert names == [["x", "y"][int(np.argmax(want))]] and probs[0] == pytest.approx(1 / (1 + np.exp(-abs(want[0] - want[1]))))
 
 
 def toxic_rows(spark, n=240):
