@@ -28,7 +28,7 @@ WINDOW, STRIDE = 32, 16
 SAMPLE = 1000
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 13, 16, 8, 16, 8
 GRAMS, LETTERS = (3, 4, 5, 6), 32
-EPOCHS, BATCH, RATE, SEED, DECAY = 8, 64, 0.01, 7, 0.01
+EPOCHS, BATCH, RATE, SEED, DECAY = 8, 32, 0.01, 7, 0.01
 LEAST_STEPS, DROPPED = 225, 0.3
 KNOWN_WORDS = 250_000
 CUTOFF = 0.7
