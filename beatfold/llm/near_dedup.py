@@ -8,7 +8,7 @@ Time is bounded for each document so that nearly all registers fill, and extende
 
 Equal word sequences are one node. Bands of registers give buckets; in a bucket everyone is compared with its most central member
 (the one whose buckets hold most). What is then joined needs no more comparing; where a bucket still holds several components, those
-outside its largest one are compared with all its members in blocks: by signatures, and pairs that may be similar exactly. Those pairs
+outside its largest one are compared with all its members in blocks (of bounded number and words): by signatures, and pairs that may be similar exactly. Those pairs
 are lists within a block pair, not rows, and are looked at in the first band alone in which they meet. Verification is exact:
 sizes of the intersection and the union of the multisets (48-bit hashes of a shingle and its occurrence number). Classes are the
 connected components of verified links. A pair at the threshold is missed by all bands with a probability of 3e-6.
@@ -37,7 +37,7 @@ from beatfold.llm.substring_dedup import mixed, rolling, words_of
 SHINGLE, REGISTERS, BAND = 5, 96, 4
 SIMILAR = (4, 5)  # at least 4/5
 MAYBE = 0.6  # of the registers, for pairs that are verified
-BLOCK, BROADCAST_KEYS = 512, 250_000
+BLOCK, BLOCK_WORDS, BROADCAST_KEYS = 512, 4_000_000, 250_000
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -141,7 +141,7 @@ def _signed(batches):
         mine = [first.setdefault(x, i) if x else i for i, x in enumerate(name)]  # copies within a slice are signed once
         owner, h = shingles([w if mine[i] == i else [] for i, w in enumerate(words)])
         sig = signatures(owner, h, len(words))
-        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(name, pa.binary()), pa.array([sig[j].tobytes() if x else None for j, x in zip(mine, name, strict=True)], pa.binary())], ["id", "key", "name", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(name, pa.binary()), pa.array([sig[j].tobytes() if x else None for j, x in zip(mine, name, strict=True)], pa.binary()), pa.array([*map(len, words)], pa.int64())], ["id", "key", "name", "sig", "words"])
 
 
 def _banded(batches):
@@ -251,15 +251,18 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key_of(text_col).alias("key"))
-    signed = common.written(docs.mapInArrow(_signed, "id long, key binary, name binary, sig binary"), "signatures")
-    least = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "key", "sig")).alias("s"))
-    nodes = common.written(numbered(least.select("name", "s.id", "s.key", "s.sig")), "nodes")
+    signed = common.written(docs.mapInArrow(_signed, "id long, key binary, name binary, sig binary, words long"), "signatures")
+    least = signed.filter("name IS NOT NULL").groupBy("name").agg(F.min(F.struct("id", "key", "sig", "words")).alias("s"))
+    nodes = common.written(numbered(least.select("name", "s.id", "s.key", "s.sig", "s.words")), "nodes")
 
     rows = nodes.select("node", "sig").mapInArrow(_banded, "bucket long, node long, band int")
-    rows = common.written(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket"), "buckets")
+    # what is joined to rows by bucket is written first, so that a large bucket's rows may be split over tasks
+    sizes = common.written(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+    rows = common.written(rows.join(sizes, "bucket"), "buckets")
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     ranked = rows.join(central, "node")
     hubs = ranked.groupBy("bucket").agg((-F.max(F.struct("weight", (-F.col("node")).alias("n")))["n"]).alias("hub"))
+    hubs = common.written(hubs, "hubs")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = common.written(rows.join(hubs, "bucket").filter("node <> hub").select(*pair("node", "hub")).distinct(), "pairs")
 
@@ -270,13 +273,16 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = common.written(verified(pairs, bags), "links")
 
     comps = components(links)
-    held = rows.join(comps, "node", "left").select("bucket", "node", "band", "size", F.coalesce("comp", "node").alias("comp"))
-    parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1")
-    held = held.filter("size > 2").join(parts.select("bucket", "main"), "bucket").join(nodes.select("node", "sig"), "node")
+    held = rows.join(comps, "node", "left").join(nodes.select("node", "words"), "node").select("bucket", "node", "band", "size", "words", F.coalesce("comp", "node").alias("comp"))
+    parts = held.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp", "words")).alias("main"), F.count("*").alias("comps"), F.sum("words").alias("all_words")).filter("comps > 1")
+    parts = common.written(parts.select("bucket", "main", "all_words"), "parts")
+    held = held.filter("size > 2").join(parts, "bucket").join(nodes.select("node", "sig"), "node")
     # members outside a bucket's largest component meet everyone; those inside meet the outsiders alone
     inside = F.col("comp") == F.col("main.comp")
-    outer, inner = (F.ceil(n / BLOCK).cast("int") for n in (F.col("size") - F.col("main.n"), F.col("main.n")))
+    blocks = lambda n, words: F.ceil(F.greatest(n / BLOCK, words / BLOCK_WORDS)).cast("int")
+    outer = blocks(F.col("size") - F.col("main.n"), F.col("all_words") - F.col("main.words"))
+    inner = blocks(F.col("main.n"), F.col("main.words"))
     h = F.xxhash64("node")
     held = held.withColumn("own", F.when(inside, outer + F.pmod(h, inner)).otherwise(F.pmod(h, outer)).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, outer).otherwise(outer + inner) - 1)))
@@ -290,10 +296,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     first = F.struct("id", "key").alias("first")
     joined = nodes.select("node", first).join(comps, "node")
-    heads = joined.groupBy("comp").agg(F.min("first").alias("head"))
+    heads = common.written(joined.groupBy("comp").agg(F.min("first").alias("head")), "class-heads")
     heads = common.written(joined.join(heads, "comp").select("node", "head"), "heads")
     own = nodes.select("node", "name", first).join(heads, "node", "left").select("name", F.coalesce("head", "first").alias("head"))
-    row = signed.select("id", "key", "name").join(own, "name", "left")
+    none = F.lit(None).cast(own.schema["head"].dataType).alias("head")
+    named, nameless = signed.filter("name IS NOT NULL"), signed.filter("name IS NULL")
+    row = named.join(own, "name").select("id", "key", "name", "head").union(nameless.select("id", "key", "name", none))
     is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
     alone = F.col("name").isNull()
     return row.select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"), (alone | is_first).alias("is_kept"))
