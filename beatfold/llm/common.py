@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_names = itertools.count()
+from beatfold.sources.shared import shared_dir
 
+_names = itertools.count()
 
 _slot: list = [None, None]
 
@@ -40,14 +40,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_p{cols.index(n)}").alias(n) for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (local tests) a new temporary one."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{next(_names)}-{uuid.uuid4().hex[:12]}"
