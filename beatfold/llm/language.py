@@ -29,7 +29,7 @@ from beatfold.llm import common
 
 PIECES = "piece_bpe_32k.model"
 SAMPLE, ROUNDS = 1000, 4
-KNOWN_WORDS = 250_000
+KNOWN_WORDS, TASK_WORDS = 250_000, 50_000
 UNKNOWN, FLOOR = 1e-7, 1e-8
 LONG, RESCALE, SCALE = 48, 16, 20.0  # letters; longer words are taken one by one
 _LETTERS = regex.compile(r"\p{L}+")
@@ -222,7 +222,7 @@ def train(pieces: list[str], counts: DataFrame, shares: dict[str, float], rounds
 
         def expect(batches, probs=probs):
             table = common.kept(("pieces", len(pieces)), lambda: Pieces(pieces))
-            for b in batches:
+            for b in common.gathered(batches):
                 lang, words, n = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist(), b.column(2).to_numpy().astype(float)
                 for k, name in enumerate(languages):
                     mine = np.nonzero(lang == name)[0]
@@ -302,7 +302,8 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
 
     picked = rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # `sample` ids of each language at most
     counts = common.written(picked.select("text", "lang").mapInArrow(some, "lang string, word string").groupBy("lang", "word").count(), "words")
-    learnt = {r.lang for r in counts.select("lang").distinct().collect()}  # a row for each language
+    words = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}  # a row for each language
+    learnt, counts = {*words}, counts.repartition(max(1, sum(words.values()) // TASK_WORDS))
     total = sum(totals[x] for x in learnt)
     return train(vocabulary(path), counts, {x: totals[x] / total for x in learnt}) if learnt else None
 
