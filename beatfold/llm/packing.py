@@ -13,6 +13,7 @@ texts become many pieces. An empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import itertools
+import warnings
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 from beatfold.llm import bpe, common
 
 SIZE, PIECE, STEP, END = 2048, 1024, 4, 1
-BUCKETS = 64
+BUCKETS, BUCKET_ROWS = 64, 1_000_000
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, piece: int = PIECE, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -86,7 +87,7 @@ def generate(units: np.ndarray, demand: np.ndarray, room: int, rounds: int = 300
     for _ in range(rounds):
         worth, column = knapsack(inverse.sum(0), units, room)
         if worth <= 1 + gap:
-            break
+            return basis.astype(np.int64), np.maximum(x, 0)
         into = inverse @ column
         ratio = np.full(m, np.inf)
         up = into > 1e-9
@@ -98,6 +99,7 @@ def generate(units: np.ndarray, demand: np.ndarray, room: int, rounds: int = 300
         x -= step * into
         x[out] = step
         basis[out] = column
+    warnings.warn(f"after {rounds} patterns the best new one is still worth {worth:.6f}: more padding than need be", stacklevel=2)
     return basis.astype(np.int64), np.maximum(x, 0)
 
 
@@ -143,7 +145,8 @@ def slots(made: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 
 def ranked(pieces: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """pieces with rank: 0-based place within their class. Each class is ranked in `buckets` parts whose counts are summed up."""
+    """pieces with rank: 0-based place within their class. Each class is ranked in `buckets` parts (more, the more pieces the
+    largest class has) whose counts are summed up."""
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     sizes = pieces.groupBy("class", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("part")
@@ -158,7 +161,7 @@ def pack(pieces: DataFrame, size: int = SIZE, step: int = STEP, id_col: str = "d
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / step).cast("long"))
     demand = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}  # at most size / step rows
     table = slots(plan(demand, size, step))
-    order = ranked(pieces, [id_col, "start", "length", "ids_crc32"], buckets)
+    order = ranked(pieces, [id_col, "start", "length", "ids_crc32"], max([buckets, *(n // BUCKET_ROWS for n in demand.values())]))
     at_class, at_rank = order.columns.index("class"), order.columns.index("rank")
 
     def assign(batches):
