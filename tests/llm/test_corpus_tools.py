@@ -189,6 +189,19 @@ def test_near_duplicates_odd(docs):
     assert all(r.doc_id == r.class_id for r in got)
 
 
+def test_rows_that_share_an_id_keep_their_links(docs):
+    r = random.Random(12)
+    a, b = prose(r, 100), prose(r, 100)
+    got = near_dedup.classified(docs([(5, a), (5, b), (7, b + " more"), (8, a + " more"), (None, a + " again"), (None, prose(r, 60))])).collect()
+    assert sorted((r.id or 0, r.class_id or 0, r.is_kept) for r in got) == [(0, 0, True), (0, 0, True), (5, 0, False), (5, 5, True), (7, 5, False), (8, 0, False)]
+
+
+def test_blocks_are_bounded_by_words_too(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_WORDS", 300)
+    texts = near_texts()
+    assert dict(rows(near_dedup.near_duplicates(docs(texts)))) == naive_classes(texts)
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     seen, true = [], []

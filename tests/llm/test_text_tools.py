@@ -160,6 +160,19 @@ def test_aliases(spark):
     assert got[10].path == "" and url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://www.example.com/en/x", None), (2, None, None), (3, "ftp://a.NET/fr/", "<html>")], "page_id long, url string, html string")
+    for c in ("host", "path", "rule", "verdict", "key", "own", "node", "comp", "a", "b", "alias_verdict"):
+        pages = pages.withColumn(c, F.lit("x"))
+    got = rows(url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict"))
+    assert got == [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "", "", None, "allow"), (3, "a.net", "/fr/", "net/fr/", "block")]
+
+
+def test_packing_says_when_patterns_are_not_done():
+    with pytest.warns(UserWarning, match="padding"):
+        packing.generate(np.array([3, 4, 5]), np.array([7.0, 5.0, 9.0]), 10, rounds=1)
+
+
 def test_url_filter_has_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.org/", "")], "page_id long, url string, html string")
     assert "Python" not in url_filter.judge(pages)._jdf.queryExecution().executedPlan().toString()
