@@ -86,3 +86,14 @@ def test_truth_that_is_missing(spark):
     p = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.6)], "patient_id string, prec_window int, proba double")
     t = spark.createDataFrame([("a", 1, 1)], "patient_id string, prec_window int, true_label int")
     assert tuple(J.unmatched(J.attach_truth(p, t)).first()) == (2, 1)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as N
+
+    from beatfold.sources.shared import shared_dir
+
+    away = N(sparkContext=N(getConf=lambda: {}, master="spark://host:7077"), conf=N(get=lambda *a: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(away)
+    assert shared_dir(spark).startswith("file:")
