@@ -409,3 +409,11 @@ def test_digest_of_kept_words(docs):
     row = substring_dedup.dedup_substrings(docs([(1, "a  b\nc")])).select("kept", F.sha2("kept", 256).alias("h")).first()
     assert row.kept == "a b c" and row.h == hashlib.sha256(b"a b c").hexdigest()
     assert packing.SIZE % packing.PIECE == 0
+
+
+def test_scratch_tables_are_deleted(spark):
+    with common.scratch(spark):
+        gone, kept = (common.written(spark.range(3), n, stays=n == "kept") for n in ("gone", "kept"))
+        paths = [x.inputFiles()[0] for x in (gone, kept)]
+    there = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    assert [p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in there] == [False, True] and kept.count() == 3
