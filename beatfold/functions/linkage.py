@@ -8,26 +8,30 @@ LINKAGES = ("ward", "complete", "average", "single")
 METRICS = ("euclidean", "manhattan", "cosine")
 
 
-def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """Square matrix of distances, block by block."""
-    x = np.asarray(x, float)
-    out = np.empty((len(x), len(x)))
+def between(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Matrix of distances from the rows of x to those of y, some rows at a time."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    out = np.empty((len(x), len(y)))
     if metric == "cosine":
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm == 0, 1, norm)[:, None]
+        x, y = (v / np.where((n := np.linalg.norm(v, axis=1)) == 0, 1, n)[:, None] for v in (x, y))
     for a in range(0, len(x), 256):
         part = x[a : a + 256]
         if metric == "euclidean":
-            out[a : a + 256] = np.sqrt(((part[:, None] - x[None]) ** 2).sum(2))
+            out[a : a + 256] = np.sqrt(((part[:, None] - y[None]) ** 2).sum(2))
         elif metric == "manhattan":
-            out[a : a + 256] = np.abs(part[:, None] - x[None]).sum(2)
+            out[a : a + 256] = np.abs(part[:, None] - y[None]).sum(2)
         elif metric == "cosine":
-            out[a : a + 256] = np.maximum(1 - part @ x.T, 0)
+            out[a : a + 256] = np.maximum(1 - part @ y.T, 0)
         else:
             raise ValueError(f"unknown metric {metric!r}")
     return out
 
 
+def distances(x: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Square matrix of distances."""
+    return between(x, x, metric)
+
+
 def linkage(x: np.ndarray, method: str = "complete", metric: str = "euclidean", weights: np.ndarray | None = None) -> np.ndarray:
     """Rows (left, right, height, size), by height; points are 0..n-1, the cluster of row i is n + i. weights: points that stand for several."""
     if method not in LINKAGES:
