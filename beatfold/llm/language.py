@@ -281,7 +281,7 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     """A model of the languages among the rows that may be learnt from; None if there are none."""
     rows = common.pick(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.filter(F.crc32(F.col("id").cast("string")) % 4 != 2)
-    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    ids = common.written(rows.select("id", "lang").distinct().withColumn("h", F.xxhash64("id")), "learnable-ids")  # an id counts once for a language
     totals = {r.lang: r["count"] for r in ids.groupBy("lang").count().collect()}  # a row for each language
     if not totals:
         return None
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
     shares = docs.sparkSession.createDataFrame([*totals.items()], "lang string, count long")
     near = ids.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(float(2 << 40) * sample) / F.col("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = near.withColumn("n", rank).filter(F.col("n") <= sample).select("id", "lang").distinct()
+    chosen = near.withColumn("n", rank).filter(F.col("n") <= sample).select("id", "lang")
 
     def some(batches):
         for b in batches:
