@@ -15,7 +15,8 @@ connected components of verified links. A pair at the threshold is missed by all
 
 Rows are told apart by id and text: rows that share an id, or have none, are documents of their own where their texts differ. The
 first row of each class by id, then digest of the text, is kept; rows equal in both are kept together. `class_id` is the id of the
-first row, so classes whose first rows share an id (or have none) show the same one; `is_kept` is right for each row even then.
+first row, so classes whose first rows share an id (or have none) show the same one; `class_key`, that id and the digest of that
+row's text, names each class alone.
 
 Nulls: null and empty texts (no words) are in no group: each document its own class. A null id comes before all others and is given
 back as null. Very long texts are used whole. Empty tables give empty results; extra columns are ignored. Ids must be integers.
@@ -247,7 +248,7 @@ def numbered(names: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, class_id, is_kept) of every row; key: see key_of."""
+    """(id, key, class_id, is_kept, class_key) of every row; key: see key_of."""
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col).select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), key_of(text_col).alias("key"))
@@ -304,7 +305,9 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = named.join(own, "name").select("id", "key", "name", "head").union(nameless.select("id", "key", "name", none))
     is_first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
     alone = F.col("name").isNull()
-    return row.select("id", "key", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"), (alone | is_first).alias("is_kept"))
+    head = lambda c: F.when(alone, F.col(c)).otherwise(F.col("head")[c])
+    class_key = F.concat_ws(":", F.coalesce(head("id").cast("string"), F.lit("")), F.lower(F.hex(head("key"))))
+    return row.select("id", "key", head("id").alias("class_id"), (alone | is_first).alias("is_kept"), class_key.alias("class_key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,4 +316,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classified(common.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "is_kept")
+    return classified(common.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "is_kept", "class_key")

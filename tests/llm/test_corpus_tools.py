@@ -194,6 +194,7 @@ def test_rows_that_share_an_id_keep_their_links(docs):
     a, b = prose(r, 100), prose(r, 100)
     got = near_dedup.classified(docs([(5, a), (5, b), (7, b + " more"), (8, a + " more"), (None, a + " again"), (None, prose(r, 60))])).collect()
     assert sorted((r.id or 0, r.class_id or 0, r.is_kept) for r in got) == [(0, 0, True), (0, 0, True), (5, 0, False), (5, 5, True), (7, 5, False), (8, 0, False)]
+    assert sorted(Counter(r.class_key for r in got).values()) == [1, 2, 3]  # three classes, though two first rows have no id
 
 
 def test_blocks_are_bounded_by_words_too(docs, monkeypatch):
