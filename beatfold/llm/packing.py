@@ -13,7 +13,6 @@ texts become many pieces. An empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import itertools
-import warnings
 import zlib
 
 import numpy as np
@@ -26,6 +25,7 @@ from beatfold.llm import bpe, common
 
 SIZE, PIECE, STEP, END = 2048, 1024, 4, 1
 BUCKETS, BUCKET_ROWS = 64, 1_000_000
+GAP = 1e-6
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, piece: int = PIECE, end: int = END, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -76,31 +76,74 @@ def knapsack(values: np.ndarray, units: np.ndarray, room: int) -> tuple[float, n
     return best[room], count
 
 
-def generate(units: np.ndarray, demand: np.ndarray, room: int, rounds: int = 3000, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows: how many of each class) and how often each is used (fractions) in a solution of the linear program.
-
-    Revised simplex: starts with one pattern for each class; a pattern enters as long as the knapsack finds one worth over 1 + gap.
+def inverted(m: np.ndarray) -> np.ndarray:
+    """The inverse of a square matrix, by elimination with row exchange."""
+    n = len(m)
+    t = np.hstack([m.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(t[k:, k]).argmax())
+        t[[k, p]] = t[[p, k]]
+        t[k] /= t[k, k]
+        rest = np.nonzero(t[:, k])[0]
+        rest = rest[rest != k]
+        t[rest] -= t[rest, k][:, None] * t[k]
+    return t[:, n:]
+
+
+def first_fit(units: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis of patterns and how often each is used: the largest classes left fill a pattern, which is used until a class runs out.
+    Patterns in order of the classes that run out are triangular, so they are independent."""
+    m, left = len(units), demand.astype(float)
+    order = np.argsort(-units)
+    basis, used, open_ = np.diag(room // units).astype(float), np.zeros(m), left > 0
+    while open_.any():
+        space, pattern = room, np.zeros(m)
+        for i in order[open_[order]]:
+            pattern[i] = space // units[i] if not pattern.any() else min(space // units[i], np.ceil(left[i]))
+            space -= pattern[i] * units[i]
+        at = np.nonzero(pattern)[0]
+        times = left[at] / pattern[at]
+        out = at[times.argmin()]
+        basis[out], used[out] = pattern, times.min()
+        left[at] -= times.min() * pattern[at]
+        open_[out] = False
+        left[out] = 0
+    return basis, used
+
+
+def generate(units: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows: how many of each class), how often each is used (fractions) in a solution of the linear program, and the gap
+    reached: the solution is at most 1 + gap times the least number of sequences.
+
+    Revised simplex from a first-fit start: the pattern that the knapsack finds worth most enters, until the solution is near enough
+    to a bound from below (all ids by volume, or the solution over the worth of the best pattern) or no pattern is worth more than 1.
     """
-    m = len(units)
-    per = room // units
-    basis, inverse, x = np.diag(per).astype(float), np.diag(1.0 / per), demand / per
-    for _ in range(rounds):
+    basis, x = first_fit(units, demand, room)
+    inverse, bound = inverted(basis.T), float(units @ demand) / room
+    best, stalled = np.inf, 0
+    for n in itertools.count(1):
+        value = np.maximum(x, 0).sum()
+        stalled = 0 if value < best * (1 - 1e-12) else stalled + 1
+        best = min(best, value)
         worth, column = knapsack(inverse.sum(0), units, room)
-        if worth <= 1 + gap:
-            return basis.astype(np.int64), np.maximum(x, 0)
+        bound = max(bound, value / max(worth, 1))
+        if worth <= 1 + 1e-7 or value <= (1 + gap) * bound or stalled > 10 * len(units):  # so many changes that gained nothing go in a circle
+            return basis.astype(np.int64), np.maximum(x, 0), float(value / bound - 1) if bound else 0.0
         into = inverse @ column
-        ratio = np.full(m, np.inf)
-        up = into > 1e-9
+        ratio = np.full(len(units), np.inf)
+        up = into > 1e-7
         ratio[up] = np.maximum(x[up], 0) / into[up]
-        out = int(ratio.argmin())
+        near = np.nonzero(ratio <= ratio.min() + 1e-9)[0]
+        out = int(near[into[near].argmax()])  # of equals the largest pivot, so that rounding does not grow
         step, pivot = ratio[out], inverse[out] / into[out]
         inverse -= np.outer(into, pivot)
         inverse[out] = pivot
+        basis[out] = column
         x -= step * into
         x[out] = step
-        basis[out] = column
-    warnings.warn(f"after {rounds} patterns the best new one is still worth {worth:.6f}: more padding than need be", stacklevel=2)
-    return basis.astype(np.int64), np.maximum(x, 0)
+        if n % 20 == 0:
+            inverse = inverted(basis.T)
+            x = inverse @ demand
 
 
 def plan(lengths: dict[int, int], size: int = SIZE, step: int = STEP) -> list[tuple[int, dict[int, int]]]:
@@ -109,7 +152,7 @@ def plan(lengths: dict[int, int], size: int = SIZE, step: int = STEP) -> list[tu
         return []
     units = np.array(sorted(lengths))
     room, demand = -(-size // step), np.array([lengths[u] for u in units], np.int64)
-    patterns, used = generate(units, demand.astype(float), room)
+    patterns, used, _ = generate(units, demand.astype(float), room)
     made, left = [], demand.copy()
     for row, n in zip(patterns, np.floor(used + 1e-9).astype(np.int64), strict=True):
         at = np.nonzero(row)[0]
