@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beatfold.functions.linkage import between
 from beatfold.functions.scalars import over
+from beatfold.operators.blocks import matrix, packed, pair_rows, paired
 from beatfold.sources.shared import settled
 
-BLOCK = 1024
+BLOCK, MOST_HELD = 1024, 4_000_000
 
 
 def distance_sums(df: DataFrame, point: str = "point", cluster: str = "cluster", profile: str = "profile", blocks: int | None = None) -> DataFrame:
@@ -19,43 +21,55 @@ def distance_sums(df: DataFrame, point: str = "point", cluster: str = "cluster",
     return _sums(rows, blocks).drop("which")
 
 
+class _Held:
+    """Of one block: for each clustering and cluster met so far, the sums of its points' distances, and how many points were met."""
+
+    def __init__(self, rows: pa.Array):
+        self.names, self.x = rows.field("p"), matrix(rows.field("x"))
+        self.c = matrix(rows.field("c"))
+        self.sums: dict[tuple[int, int], list] = {}
+
+    def add(self, other: np.ndarray, d: np.ndarray) -> None:
+        for which in range(other.shape[1]):
+            names, at = np.unique(other[:, which], return_inverse=True)
+            s, n = d @ np.eye(len(names))[at], np.bincount(at)
+            for k, name in enumerate(names.tolist()):
+                held = self.sums.setdefault((which, name), [0.0, 0])
+                held[0], held[1] = held[0] + s[:, k], held[1] + int(n[k])
+
+    def batches(self):
+        m = len(self.names)
+        for (which, other), (s, n) in self.sums.items():
+            yield pa.RecordBatch.from_arrays([self.names, *map(pa.array, (np.full(m, which, np.int32), self.c[:, which].astype(np.int32), np.full(m, other, np.int32), s, np.full(m, n, np.int64)))], ["point", "which", "own", "other", "s", "n"])
+
+
 def _sums(rows: DataFrame, blocks: int | None = None) -> DataFrame:
     """(point, which, own, other, s, n) of rows (p, c, x); c: a label in each of several clusterings, `which` is its place.
 
-    Points are dealt into blocks, every pair of blocks is one task's numpy product, for both sides and all clusterings; pairs of
-    points are never rows.
+    Points are dealt into blocks, and tasks meet blocks in a grid: each pair of blocks is a numpy product, for both sides and all
+    clusterings, and a task sums up what its blocks meet. Pairs of points are never rows; a row is copied and summed up as often as
+    the grid has lines, whatever the number of points.
     """
     blocks = blocks or max(1, -(-rows.count() // BLOCK))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int"))
-    left = rows.groupBy("b").agg(F.collect_list(F.struct("p", "c", "x")).alias("l"))  # about BLOCK points
-    right = left.select(F.col("b").alias("b2"), F.col("l").alias("r"))
-    pairs = left.withColumn("b2", F.explode(F.sequence("b", F.lit(blocks - 1)))).join(right, "b2").select("l", "r", F.col("b") < F.col("b2"))
     kind = rows.schema["p"].dataType.simpleString()
-
-    def labels(t):
-        return np.stack(t.field("c").to_numpy(zero_copy_only=False))
-
-    def side(names, cx, cy, d):
-        for which in range(cx.shape[1]):
-            other, at = np.unique(cy[:, which], return_inverse=True)
-            one = np.eye(len(other))[at]
-            s, n, k = d @ one, one.sum(0).astype(np.int64), len(other)
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(np.repeat(np.arange(len(d)), k))), *map(pa.array, (np.full(len(d) * k, which, np.int32), np.repeat(cx[:, which], k), np.tile(other, len(d)), s.reshape(-1), np.tile(n, len(d))))],
-                ["point", "which", "own", "other", "s", "n"],
-            )
+    dealt = packed(rows.withColumn("g", F.lit(0)), F.pmod(F.xxhash64("p"), F.lit(blocks)), "p", "c", "x")
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                l, r = b.column(0)[i].values, b.column(1)[i].values
-                x, y = (np.stack(t.field("x").to_numpy(zero_copy_only=False)) for t in (l, r))
-                d = np.stack([np.sqrt(((y - v) ** 2).sum(1)) for v in x])
-                yield from side(l.field("p"), labels(l), labels(r), d)
-                if b.column(2)[i].as_py():
-                    yield from side(r.field("p"), labels(r), labels(l), d.T)
-
-    parts = pairs.mapInArrow(run, f"point {kind}, which int, own int, other int, s double, n long")
+        held: dict = {}
+        for _, i, j, left, right in pair_rows(batches):
+            a, b = (held.get(k) or held.setdefault(k, _Held(v)) for k, v in ((i, left), (j, right)))
+            d = between(a.x, b.x)
+            a.add(b.c, d)
+            if i != j:
+                b.add(a.c, d.T)
+            if sum(len(h.names) * len(h.sums) for h in held.values()) > MOST_HELD:
+                for h in held.values():
+                    yield from h.batches()
+                held.clear()
+        for h in held.values():
+            yield from h.batches()
+
+    parts = paired(dealt).mapInArrow(run, f"point {kind}, which int, own int, other int, s double, n long")
     return parts.groupBy("point", "which", "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 

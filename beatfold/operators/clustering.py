@@ -1,8 +1,8 @@
 """Phenotype discovery: merge trees, cuts, the choice of k, and samples of clusters.
 
-Equal profiles are one weighted point. A tree needs all distances between points, so it is built in one task from at most CAP of
-them; more are refused with an error, unless the caller asks for `approximate` results: then k-means first gathers the points into
-`cap` micro-clusters. The result of agglomerative says which of the two it is.
+Equal profiles are one weighted point. Up to CAP points a tree is built from all distances in one task; beyond, it is built exactly in
+rounds of Spark jobs (see merge_tree). A caller may ask for `approximate` results instead: then k-means first gathers the points into
+`cap` micro-clusters, and the results say so.
 """
 
 from __future__ import annotations
@@ -18,24 +18,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from beatfold.functions import linkage as tree
-from beatfold.sources.shared import settled
+from beatfold.operators import merge_tree
+from beatfold.operators.cluster_metrics import quality_by_k
+from beatfold.sources.shared import numbered, settled
 
-CAP = 6000
+CAP = 4000
 SEED, SHARES = 42, 64
 
 
 def points(profiles: DataFrame, patient: str = "patient_id", profile: str = "profile", cap: int = CAP, approximate: bool = False) -> tuple[DataFrame, DataFrame]:
-    """((point, x, weight), (patient, point)): what the tree is built on, and which point stands for each patient."""
+    """((point, x, weight), (patient, point)): what the tree is built on, and which point stands for each patient. approximate: of more
+    than `cap` points, micro-clusters; `gathered` tells of these tables whether they are."""
     profiles = settled(profiles.select(F.col(patient).alias("patient"), F.col(profile).alias("x"), F.pmod(F.xxhash64(patient), F.lit(SHARES)).alias("share")))
     some = profiles.groupBy("x", "share").agg(F.min("patient").alias("first"), F.count("*").alias("n"))  # a common profile is counted in shares
     same = settled(some.groupBy("x").agg(F.min("first").alias("point"), F.sum("n").alias("weight")))
     heads = some.select("x", "share").join(same.select("x", "point"), "x")
     member = profiles.join(heads, ["x", "share"]).select(F.col("patient").alias(patient), "point")
-    n = same.count()
-    if n <= cap:
+    if not approximate or same.count() <= cap:
         return same.select("point", "x", "weight"), member
-    if not approximate:
-        raise ValueError(f"{n} distinct profiles, more than {cap}: ask for approximate=True, or raise cap")
     vectors = same.withColumn("features", array_to_vector("x"))
     model = KMeans(k=cap, seed=SEED, maxIter=10, weightCol="weight", predictionCol="micro").fit(vectors)
     near = model.transform(vectors).withColumn("x", vector_to_array("features"))
@@ -44,7 +44,7 @@ def points(profiles: DataFrame, patient: str = "patient_id", profile: str = "pro
     mean = rows.groupBy("micro", "dim").agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("v"))
     mean = mean.groupBy("micro").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("x"))
     head = near.groupBy("micro").agg(F.min("point").alias("head"), F.sum("weight").alias("weight"))
-    micro = mean.join(head, "micro").select(F.col("head").alias("point"), "x", "weight")
+    micro = settled(mean.join(head, "micro").select(F.col("head").alias("point"), "x", "weight", F.lit(True).alias("gathered")))
     named = near.select("point", "micro").join(head.select("micro", "head"), "micro").select("point", "head")
     return micro, member.join(named, "point").select(patient, F.col("head").alias("point"))
 
@@ -53,18 +53,31 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values("point", kind="stable").reset_index(drop=True)
 
 
-def linkage_table(pts: DataFrame, method: str = "complete", metric: str = "euclidean") -> DataFrame:
-    """(merge_idx, left, right, height, size) of the points' merge tree; points are numbered in order of their name. Bounded by CAP."""
+def gathered(pts: DataFrame) -> bool:
+    """Are the points micro-clusters, so that what is built on them is approximate?"""
+    return "gathered" in pts.columns
+
+
+def _numbered(pts: DataFrame) -> DataFrame:
+    """The points as merge_tree takes them: p is their place in order of their names."""
+    return settled(numbered(pts.select("point", "x", F.col("weight").cast("double").alias("w"), F.lit(0).alias("g")), "p", ["g"], "point"))
+
+
+def linkage_table(pts: DataFrame, method: str = "complete", metric: str = "euclidean", cap: int = CAP) -> DataFrame:
+    """(merge_idx, left, right, height, size) of the points' merge tree; points are numbered in order of their name."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)
         t = tree.linkage(np.stack(pdf.x), method, metric, pdf.weight.to_numpy())
         return pd.DataFrame({"merge_idx": np.arange(len(t)), "left": t[:, 0].astype(int), "right": t[:, 1].astype(int), "height": t[:, 2], "size": t[:, 3].astype(int)})
 
-    return pts.groupBy().applyInPandas(run, "merge_idx long, left long, right long, height double, size long")
+    if pts.count() <= cap:
+        return pts.select("point", "x", "weight").groupBy().applyInPandas(run, "merge_idx long, left long, right long, height double, size long")
+    p = _numbered(pts)
+    return merge_tree.linkage_rows(merge_tree.merges(p, method, metric), p).drop("g")
 
 
-def cut_labels(pts: DataFrame, ks: list[int], method: str = "complete", metric: str = "euclidean", height: float | None = None) -> DataFrame:
+def cut_labels(pts: DataFrame, ks: list[int], method: str = "complete", metric: str = "euclidean", height: float | None = None, cap: int = CAP) -> DataFrame:
     """(point, k, cluster): one tree, cut for every k (k = 0: cut at `height`). Clusters are numbered by size, then first point."""
     kind = pts.schema["point"].dataType.simpleString()
 
@@ -74,33 +87,52 @@ def cut_labels(pts: DataFrame, ks: list[int], method: str = "complete", metric:
         parts = [(k, tree.cut(t, len(pdf), k)) for k in ks] + ([(0, tree.cut(t, len(pdf), height=height))] if height is not None else [])
         return pd.concat([pd.DataFrame({"point": pdf.point, "k": k, "cluster": c}) for k, c in parts])
 
-    return pts.groupBy().applyInPandas(run, f"point {kind}, k int, cluster int")
+    if pts.count() <= cap:
+        return pts.select("point", "x", "weight").groupBy().applyInPandas(run, f"point {kind}, k int, cluster int")
+    p = _numbered(pts)
+    table = settled(merge_tree.linkage_rows(merge_tree.merges(p, method, metric), p))
+    return merge_tree.cut(table, p, ks, height).join(p.select("p", "point"), "p").select("point", "k", "cluster")
 
 
 def agglomerative(profiles: DataFrame, k: int = 5, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
     """(patient, cluster, approximate) of k clusters."""
-    pts, member = points(profiles, patient, cap=cap, approximate=approximate)
-    gathered = approximate and profiles.select("profile").distinct().count() > cap
-    labels = cut_labels(pts, [k], method, metric).select("point", "cluster")
-    return member.join(labels, "point").select(patient, "cluster", F.lit(gathered).alias("approximate"))
+    return labels_for(profiles, [k], method, metric, patient, cap, approximate).select(patient, "cluster", "approximate")
 
 
 def labels_for(profiles: DataFrame, ks: list[int], method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
-    """(patient, k, cluster) for every k, from one tree."""
+    """(patient, k, cluster, approximate) for every k, from one tree."""
     pts, member = points(profiles, patient, cap=cap, approximate=approximate)
-    return member.join(cut_labels(pts, ks, method, metric), "point").select(patient, "k", "cluster")
+    labels = cut_labels(pts, ks, method, metric, cap=cap)
+    return member.join(labels, "point").select(patient, "k", "cluster", F.lit(gathered(pts)).alias("approximate"))
+
+
+def search_k(profiles: DataFrame, ks: list[int], fit_predict: Callable[[np.ndarray, int], np.ndarray] | None = None, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP) -> DataFrame:
+    """(k, silhouette, davies_bouldin, calinski_harabasz) for every k: of one merge tree's cuts, or of the labels that a clusterer of
+    the user's gives to the matrix of distinct profiles (in order of their first patients; at most `cap` of them) and each k."""
+    if fit_predict is None:
+        labels = labels_for(profiles, ks, method, metric, patient, cap).drop("approximate")
+    else:
+        labels = None
+        for k in ks:
+            one = clustered_by(profiles, lambda x, k=k: fit_predict(x, k), patient, cap).select(patient, F.lit(k).alias("k"), "cluster")
+            labels = one if labels is None else labels.unionByName(one)
+    return quality_by_k(labels.join(profiles.select(patient, "profile"), patient), patient)
 
 
 def clustered_by(profiles: DataFrame, fit_predict: Callable[[np.ndarray], np.ndarray], patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
-    """(patient, cluster) by any function from a matrix to labels; it sees the (bounded) points."""
+    """(patient, cluster, approximate) by any function from a matrix to labels, which sees all points: more than `cap` are refused with
+    an error, unless the caller asks for micro-clusters."""
     pts, member = points(profiles, patient, cap=cap, approximate=approximate)
+    if (n := pts.count()) > cap:
+        raise ValueError(f"a function of the user's takes at most {cap} distinct profiles at once, not {n}: ask for approximate=True, or raise cap")
     kind = pts.schema["point"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)
         return pd.DataFrame({"point": pdf.point, "cluster": np.asarray(fit_predict(np.stack(pdf.x))).astype(int)})
 
-    return member.join(pts.groupBy().applyInPandas(run, f"point {kind}, cluster int"), "point").select(patient, "cluster")
+    labels = pts.select("point", "x").groupBy().applyInPandas(run, f"point {kind}, cluster int")
+    return member.join(labels, "point").select(patient, "cluster", F.lit(gathered(pts)).alias("approximate"))
 
 
 def labelled_rows(profiles: DataFrame, label: Callable[[np.ndarray], np.ndarray], patient: str = "patient_id") -> DataFrame:
@@ -116,9 +148,9 @@ def labelled_rows(profiles: DataFrame, label: Callable[[np.ndarray], np.ndarray]
 
 
 def cut_at_height(profiles: DataFrame, height: float, method: str = "complete", metric: str = "euclidean", patient: str = "patient_id", cap: int = CAP, approximate: bool = False) -> DataFrame:
-    """(patient, cluster): what the tree has joined up to `height`."""
+    """(patient, cluster, approximate): what the tree has joined up to `height`."""
     pts, member = points(profiles, patient, cap=cap, approximate=approximate)
-    return member.join(cut_labels(pts, [], method, metric, height), "point").select(patient, "cluster")
+    return member.join(cut_labels(pts, [], method, metric, height, cap), "point").select(patient, "cluster", F.lit(gathered(pts)).alias("approximate"))
 
 
 def top_merges(table: DataFrame, p: int = 30) -> DataFrame:

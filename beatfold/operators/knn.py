@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from beatfold.functions.linkage import between
 from beatfold.functions.scalars import phenotype_name
+from beatfold.operators.blocks import matrix
+from beatfold.sources.shared import settled
 
-BLOCK, QUERIES = 4096, 1024
+BLOCK, QUERIES, PIVOTS = 4096, 1024, 256
 
 
 def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id", label: str = "cluster") -> DataFrame:
@@ -22,30 +25,81 @@ def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id",
     return model
 
 
+def _to_pivots(df: DataFrame, x: str, pivots: np.ndarray, schema: str, rows) -> DataFrame:
+    """mapInArrow over df: `rows` makes a batch's columns from it and its distances to the pivots."""
+    at = df.columns.index(x)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield from rows(b, between(matrix(b.column(at)), pivots))
+
+    return df.mapInArrow(run, schema)
+
+
+def _celled(model: DataFrame, n: int) -> tuple[np.ndarray, DataFrame, list]:
+    """(pivots, model rows with the cell of their nearest pivot, (cell, n, radius) of each cell)."""
+    few = min(PIVOTS, max(1, int(n**0.5)))
+    chosen = model.select("profile", F.xxhash64("train_id").alias("h")).orderBy("h").limit(few)
+    pivots = np.unique(np.array([r.profile for r in chosen.collect()], float), axis=0)  # PIVOTS rows at most
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in model.schema.fields)
+
+    def near(b, d):
+        cell = d.argmin(1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "away"])
+
+    rows = settled(_to_pivots(model, "profile", pivots, f"{kinds}, cell int, away double", near))
+    cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("cell").collect()  # a row for each pivot
+    return pivots, rows, cells
+
+
+def asked_blocks(queries: DataFrame, pivots: np.ndarray, cells: list, k: int, known: bool = False) -> DataFrame:
+    """(q, x, cell): the cells that a query (q, x) must meet. At first: its nearest ones that hold k rows. known (queries with `least`,
+    their kth distance so far): those others that may hold a nearer row, as no row of a cell is nearer than the distance to its pivot
+    less the cell's radius."""
+    at, size, radius = np.array([c.cell for c in cells]), np.array([c.n for c in cells]), np.array([c.radius for c in cells])
+
+    def rows(b, d):
+        d = d[:, at]
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(size[order], axis=1)
+        first = np.zeros(d.shape, bool)
+        np.put_along_axis(first, order, held - size[order] < k, axis=1)
+        if known:
+            least = b.column(2).to_numpy()[:, None]
+            first = ~first & (d - radius <= least * (1 + 1e-9) + 1e-12)
+        q, c = np.nonzero(first)
+        take = pa.array(q)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at[c].astype(np.int32))], ["q", "x", "cell"])
+
+    return _to_pivots(queries, "x", pivots, f"q {queries.schema['q'].dataType.simpleString()}, x array<double>, cell int", rows)
+
+
 def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: str = "query_id", profile: str = "profile", leave_own: bool = False) -> DataFrame:
     """(query_id, rank, train_id, label, distance): k nearest by Euclidean distance, ties by train_id; leave_own: training rows with
     the query's id do not count (ids are distinct).
 
-    The training rows go to the queries in blocks; a task keeps k of each query and block, and the blocks' best are merged. Blocks
-    of rows and lists of queries are of bounded size, whatever their number.
+    Training rows are dealt into the cells of a bounded number of pivots (rows with the least hashes). A query meets its nearest cells
+    first; by the triangle inequality its kth distance then proves most other cells empty, and a second round meets the rest. Large
+    cells are several blocks, so blocks of rows and lists of queries are of bounded size, whatever their number.
     """
     most, k = k, k + leave_own
     n = model.count()
     if n < k:
         raise ValueError(f"{n} training rows, fewer than k = {k}")
-    blocks = -(-n // BLOCK)
-    rows = model.withColumn("b", F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int"))
-    train = rows.groupBy("b").agg(F.collect_list(F.struct("train_id", "label", "profile")).alias("t"))  # about BLOCK rows
-    lists = max(1, -(-queries.count() // QUERIES))
-    ask = queries.select(F.col(query_id).alias("q"), F.col(profile).alias("x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ask = ask.groupBy("b", F.pmod(F.xxhash64("q"), F.lit(lists)).alias("part")).agg(F.collect_list(F.struct("q", "x")).alias("a"))
+    pivots, rows, cells = _celled(model.select("train_id", "label", F.col("profile").cast("array<double>").alias("profile")), n)
+    split = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = model.sparkSession.createDataFrame([(c.cell, c.n) for c in cells], "cell int, n long").select("cell", split.alias("blocks"))
+    rows = rows.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("train_id"), F.col("blocks")))
+    train = settled(rows.groupBy("cell", "block").agg(F.collect_list(F.struct("train_id", "label", "profile")).alias("t")))  # about BLOCK rows
+    ask = queries.select(F.col(query_id).alias("q"), F.col(profile).cast("array<double>").alias("x"))
     q_kind, t_kind, l_kind = queries.schema[query_id].dataType.simpleString(), model.schema["train_id"].dataType.simpleString(), model.schema["label"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 a, t = batch.column(0)[i].values, batch.column(1)[i].values
-                x, y = np.stack(a.field("x").to_numpy(zero_copy_only=False)), np.stack(t.field("profile").to_numpy(zero_copy_only=False))
+                x, y = matrix(a.field("x")), matrix(t.field("profile"))
                 names = t.field("train_id").to_numpy(zero_copy_only=False)
                 found = []
                 for j, v in enumerate(x):
@@ -56,11 +110,20 @@ def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: st
                 js, ms = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([a.field("q").take(js), t.field("train_id").take(ms), t.field("label").take(ms), pa.array([f[2] for f in found], pa.float64())], ["query_id", "train_id", "label", "distance"])
 
-    part = ask.join(train, "b").select("a", "t").mapInArrow(run, f"query_id {q_kind}, train_id {t_kind}, label {l_kind}, distance double")
+    def met(asked: DataFrame) -> DataFrame:
+        asked = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+        lists = F.pmod(F.xxhash64("q"), F.ceil(F.count("*").over(Window.partitionBy("cell", "block")) / QUERIES))
+        asked = asked.withColumn("part", lists).groupBy("cell", "block", "part").agg(F.collect_list(F.struct("q", "x")).alias("a"))
+        return asked.join(train, ["cell", "block"]).select("a", "t").mapInArrow(run, f"query_id {q_kind}, train_id {t_kind}, label {l_kind}, distance double")
+
+    w = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    best = lambda df, most: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    first = settled(best(met(asked_blocks(ask, pivots, cells, k)), k).drop("rank"))
+    least = first.groupBy(F.col("query_id").alias("q")).agg(F.max("distance").alias("least"))
+    part = first.unionByName(met(asked_blocks(ask.join(least, "q").select("q", "x", "least"), pivots, cells, k, True)))
     if leave_own:
         part = part.filter(~F.col("query_id").eqNullSafe(F.col("train_id")))
-    w = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "train_id", "label", "distance")
+    return best(part, most).select("query_id", "rank", "train_id", "label", "distance")
 
 
 def knn_proba(neighbors: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:

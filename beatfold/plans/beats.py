@@ -108,8 +108,9 @@ _BLOCK = "CAST((row_number() OVER (PARTITION BY patient_id ORDER BY seq) - 1) //
 _RRW = f"""n AS (SELECT *, {_BLOCK} AS prec_window FROM v_beats),
   w AS (SELECT patient_id, prec_window, list(rr_data ORDER BY seq) AS rr, min(rr_time) AS start_time, max(rr_time) AS end_time, count(*) AS n_beats, sum(rr_data) AS dur_sec FROM n GROUP BY ALL HAVING count(*) = 60)"""
 _GRID = "r AS (SELECT patient_id, max(rr_time) AS duration FROM v_beats GROUP BY 1), t AS (SELECT patient_id, duration, CAST(unnest(range(0, CAST(greatest(1, floor(duration / 30)) AS BIGINT))) AS INTEGER) AS prec_window FROM r)"
-_BOUNDS = """k AS (SELECT patient_id, rr_time AS t, row_number() OVER (PARTITION BY patient_id ORDER BY rr_time) - 1 AS i, lag(rr_time) OVER (PARTITION BY patient_id ORDER BY rr_time) AS p, count(*) OVER (PARTITION BY patient_id) AS n FROM v_beats),
-  m AS (SELECT patient_id, i, n, CASE WHEN i = 0 THEN greatest(0.0, t - 1) ELSE (t + p) / 2 END AS m FROM k UNION ALL SELECT patient_id, n, n, t + 1 FROM k WHERE i = n - 1),
+_MIDDLES = """k AS (SELECT patient_id, rr_time AS t, row_number() OVER (PARTITION BY patient_id ORDER BY rr_time) - 1 AS i, lag(rr_time) OVER (PARTITION BY patient_id ORDER BY rr_time) AS p, count(*) OVER (PARTITION BY patient_id) AS n FROM v_beats),
+  m AS (SELECT patient_id, i, n, CASE WHEN i = 0 THEN greatest(0.0, t - 1) ELSE (t + p) / 2 END AS m FROM k UNION ALL SELECT patient_id, n, n, t + 1 FROM k WHERE i = n - 1)"""
+_BOUNDS = _MIDDLES + """,
   b AS (SELECT s.patient_id, CAST(s.i // 60 AS INTEGER) AS prec_window, s.m AS start_time, e.m AS end_time FROM m s JOIN m e ON s.patient_id = e.patient_id AND e.i = s.i + 61 WHERE s.i % 60 = 0)"""
 _RUNS = """d AS (SELECT DISTINCT patient_id, CAST(floor(start_time / 21600) AS BIGINT) AS start_time FROM v_windows),
   g AS (SELECT *, start_time - lag(start_time) OVER (PARTITION BY patient_id ORDER BY start_time) AS x FROM d),
@@ -131,7 +132,7 @@ ORACLES = {
     "ecg_windows": duck("SELECT vec_id, CAST(i AS INTEGER) AS prec_window, profile[i * 24 + 1] AS first_v, profile[i * 24 + 24] AS last_v FROM (SELECT vec_id, profile, unnest(range(0, len(profile) // 24)) AS i FROM v_profiles)", P),
     "recording_duration": duck("SELECT label AS patient_id, CAST(sum(len(profile)) AS BIGINT) AS n_samples, CAST(sum(len(profile)) AS DOUBLE) / 200 AS duration FROM v_profiles GROUP BY 1", P),
     "select_signal": duck("SELECT vec_id, CAST(32 AS INTEGER) AS n, profile[33] AS first_v FROM v_profiles WHERE vec_id % 3 <> 0", P),
-    "window_bounds": duck(f"WITH {_BOUNDS} SELECT * FROM b", Bt),
+    "window_bounds": duck(f"WITH {_MIDDLES}, b AS (SELECT patient_id, i, m AS start_time, lead(m, 61) OVER (PARTITION BY patient_id ORDER BY i) AS end_time FROM m) SELECT patient_id, CAST(i // 60 AS INTEGER) AS prec_window, start_time, end_time FROM b WHERE i % 60 = 0 AND end_time IS NOT NULL", Bt),
     "preceding_count": duck(f"WITH {_BOUNDS}, x(a, z) AS (VALUES {', '.join(f'(CAST({a} AS DOUBLE), CAST({z} AS DOUBLE))' for a, z in EXCLUDED)}), k2 AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM x WHERE (start_time > a AND start_time <= z) OR (end_time > a AND end_time <= z) OR (start_time <= a AND end_time > z)) THEN 0 ELSE 1 END AS keep FROM b) SELECT patient_id, prec_window, CAST(sum(keep) OVER (PARTITION BY patient_id ORDER BY prec_window ROWS UNBOUNDED PRECEDING) AS BIGINT) AS preceding FROM k2", Bt),
     "consecutive_runs": duck(f"WITH {_RUNS.format(step='1')}", W),
     "consecutive_runs_median": duck(f"WITH {_RUNS.format(step='median(x) OVER (PARTITION BY patient_id)')}", W),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from beatfold.functions import scalars as S
@@ -80,9 +81,24 @@ def linkage(s, d):
 
 
 def search_k(s, d):
+    return _r(C.search_k(_patients(s, d), [*range(2, 9)]), "silhouette", "davies_bouldin", "calinski_harabasz")
+
+
+def _rotated(x, k=4):
+    """A clusterer of the user's: profiles by the k-th of the day in which they are highest."""
+    part = np.array_split(x, k, axis=1)
+    return np.argmax([p.mean(1) for p in part], axis=0)
+
+
+def search_k_custom(s, d):
+    return _r(C.search_k(_patients(s, d), [2, 3, 4], _rotated), "silhouette", "davies_bouldin", "calinski_harabasz")
+
+
+def stability_custom(s, d):
     p = _patients(s, d)
-    rows = C.labels_for(p, [*range(2, 9)]).join(p, "patient_id")
-    return _r(M.quality_by_k(rows, "patient_id"), "silhouette", "davies_bouldin", "calinski_harabasz")
+    base = C.clustered_by(p, _rotated).select("patient_id", "cluster")
+    aris, _ = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base), p, 4, fit_predict=_rotated))
+    return _r(Y.ari_summary(aris), "ari_mean", "ari_std", "ari_min", "ari_max")
 
 
 def stability(s, d):
@@ -148,6 +164,8 @@ QUERIES = {
     "stability": stability,
     "stability_by_cluster": stability_by_cluster,
     "custom_clusterer": custom_clusterer,
+    "search_k_custom": search_k_custom,
+    "stability_custom": stability_custom,
 }
 
 _DIST = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"

@@ -68,14 +68,22 @@ def parts(df):
     return sorted(map(sorted, found.values()))
 
 
+def parts_by_rep(df):
+    found = {}
+    for r in df.collect():
+        found.setdefault(r.rep, {}).setdefault(r.new, set()).add(r.patient_id)
+    return {rep: sorted(map(sorted, c.values())) for rep, c in found.items()}
+
+
 def test_exact_equals_collapsed_and_scaled_finds_the_same_groups(spark):
     p = profiles(spark)
     exact = C.agglomerative(p, 3)
     assert not exact.first().approximate
     assert parts(exact) == parts(C.agglomerative(p.union(p.limit(0)), 3, cap=40))
-    for f in (lambda: C.agglomerative(p, 3, cap=12), lambda: C.labels_for(p, [2, 3], cap=12), lambda: C.points(p, cap=12), lambda: C.cut_at_height(p, 1.0, cap=12)):
-        with pytest.raises(ValueError, match="approximate"):
-            f()
+    whole = C.agglomerative(p, 3, cap=12)  # beyond cap: in rounds of Spark jobs
+    assert not whole.first().approximate and parts(whole) == parts(exact)
+    with pytest.raises(ValueError, match="approximate"):
+        C.clustered_by(p, lambda x: np.zeros(len(x)), cap=12)
     scaled = C.agglomerative(p, 3, cap=12, approximate=True)
     assert scaled.first().approximate and parts(scaled) == parts(exact)
 
@@ -93,10 +101,13 @@ def test_custom_clusterer_and_stability(spark):
     base = C.agglomerative(p, 3).select("patient_id", "cluster")
     aris, jac = Y.replicate_scores(Y.recluster(Y.stratified_subsamples(base, 4), p, 3))
     assert [r.ari for r in aris.collect()] == [1.0] * 4
-    with pytest.raises(ValueError, match="approximate"):
-        Y.recluster(Y.stratified_subsamples(base, 4), p, 3, cap=9)
-    near = Y.recluster(Y.stratified_subsamples(base, 4), p, 3, cap=9, approximate=True)
-    assert [r.ari for r in Y.replicate_scores(near)[0].collect()] == [1.0] * 4
+    samples = Y.stratified_subsamples(base, 4)
+    tasks, rounds = (parts_by_rep(Y.recluster(samples, p, 3, "average", cap=c)) for c in (100, 9))
+    assert tasks == rounds and len(tasks) == 4
+    own = Y.recluster(samples, p, 3, fit_predict=lambda x: (x[:, 0] > 5).astype(int)).collect()
+    assert {(int(r.patient_id[1:]) % 3 > 0, r.new) for r in own} == {(False, 0), (True, 1)}
+    with pytest.raises(ValueError, match="raise cap"):
+        Y.recluster(samples, p, 3, cap=9, fit_predict=lambda x: np.zeros(len(x)))
     assert all(r.jaccard == 1.0 for r in jac.collect())
 
 
@@ -112,10 +123,43 @@ def test_registered_stability_and_search_are_whole(spark, monkeypatch):
     samples, ks = [], []
     monkeypatch.setattr(Y, "recluster", lambda s, p, k: samples.append(s) or s.withColumn("new", s.cluster))
     labels_for = C.labels_for
-    monkeypatch.setattr(C, "labels_for", lambda p, k: ks.append(k) or labels_for(p, k))
+    monkeypatch.setattr(C, "labels_for", lambda p, k, *more: ks.append(k) or labels_for(p, k, *more))
     for name in ("stability", "stability_by_cluster", "search_k"):
         registry.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert [s.select("rep").distinct().count() for s in samples] == [100, 100] and ks == [[2, 3, 4, 5, 6, 7, 8]]
+    assert [s.select("rep").distinct().count() for s in samples] == [100, 100] and ks[-1] == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_clusterer_of_the_users_in_search(spark):
+    p = profiles(spark, 30)
+    own = lambda x, k: (x[:, 0] > 5).astype(int) + (k > 2) * (x[:, 0] > 15)
+    tree = {r.k: r for r in C.search_k(p, [2, 3]).collect()}
+    got = {r.k: r for r in C.search_k(p, [2, 3], own).collect()}
+    assert got[3].silhouette == pytest.approx(tree[3].silhouette) and got[2].silhouette > 0.5
+
+
+def test_subsamples_take_the_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(Y, "BIN_ROWS", 7)
+    d = spark.createDataFrame([(f"p{i}", 0 if i < 400 else i % 3) for i in range(500)] + [("one", 9)], "patient_id string, cluster int")
+    got = {}
+    for r in Y.stratified_subsamples(d, 3).collect():
+        got.setdefault((r.rep, r.cluster), set()).add(r.patient_id)
+    hashed = d.withColumn("rep", F.explode(F.array(*map(F.lit, range(3))))).withColumn("h", F.xxhash64("patient_id", "rep", F.lit(Y.SEED))).collect()
+    for (rep, c), members in got.items():
+        every = sorted((r.h, r.patient_id) for r in hashed if (r.rep, r.cluster) == (rep, c))
+        assert members == {p for _, p in every[: max(1, int(0.7 * len(every) + 1e-9))]}
+    assert len(got) == 12
+
+
+def test_last_merges(spark):
+    d = spark.createDataFrame([(f"p{i}", [x]) for i, x in enumerate([0.0, 1.0, 3.0, 7.0, 12.0])], "patient_id string, profile array<double>")
+    pts, _ = C.points(d)
+    for cap in (100, 2):
+        table = C.linkage_table(pts, "average", cap=cap)
+        assert [r.merge_idx for r in C.top_merges(table, 2).collect()] == [3, 2]
+        found = sorted((r.height, r.size) for r in table.collect())
+        assert [h for h, _ in found] == pytest.approx([1, 2.5, 5, 49 / 6]) and [n for _, n in found] == [2, 3, 2, 5]
 
 
 def test_balanced_sample(spark):
@@ -138,3 +182,39 @@ def test_quality_of_all_k_in_one_pass(spark):
     for r in M.quality_by_k(found, "patient_id").collect():
         one = M.cluster_quality(found.filter(F.col("k") == r.k), "patient_id").first()
         assert (r.silhouette, r.davies_bouldin, r.calinski_harabasz) == pytest.approx((one.silhouette, one.davies_bouldin, one.calinski_harabasz))
+
+
+def test_neighbours_meet_few_cells(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from beatfold.operators import knn as K
+
+    monkeypatch.setattr(K, "BLOCK", 50)
+    r = np.random.default_rng(8)
+    centre = 30 * r.normal(size=(12, 3))
+    x = np.vstack([centre[np.arange(900) % 12] + r.normal(size=(900, 3)), np.zeros((300, 3))])  # a quarter of the rows alike
+    model = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "train_id long, label int, profile array<double>")
+    asked = model.filter("train_id % 40 = 0").withColumnRenamed("train_id", "query_id")
+    for own in (False, True):
+        got = sorted((q, n, t, round(d, 9)) for q, n, t, _, d in map(tuple, K.knn_neighbors(asked, model, 4, leave_own=own).collect()))
+        want = []
+        for q in range(0, 1200, 40):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            near = [i for i in np.lexsort((np.arange(1200), d)) if not own or i != q][:4]
+            want += [(q, n + 1, int(i), round(float(d[i]), 9)) for n, i in enumerate(near)]
+        assert got == want
+    pivots, rows, cells = K._celled(model, 1200)
+    met = K.asked_blocks(asked.select(F.col("query_id").alias("q"), F.col("profile").alias("x"), F.lit(3.0).alias("least")), pivots, cells, 4, True)
+    assert met.count() < 0.5 * len(cells) * asked.count()  # a second round of few cells
+
+
+def test_sums_of_distances_do_not_depend_on_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from beatfold.operators import cluster_metrics as M
+
+    p = profiles(spark, 60).select(F.col("patient_id").alias("point"), "profile", (F.substring("patient_id", 2, 3).cast("int") % 4).alias("cluster"))
+    value = lambda **kw: sorted((r.point, r.own, r.other, round(r.s, 6), r.n) for r in M.distance_sums(p, **kw).collect())
+    one = value(blocks=1)
+    monkeypatch.setattr(M, "MOST_HELD", 50)
+    assert value(blocks=7) == one and len(one) == 240

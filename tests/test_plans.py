@@ -13,7 +13,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["burden_wide", "rr_windows", "merge_events", "auroc", "silhouette", "knn_confidence", "roc_ranged", "aucpr", "evaluate", "patient_fbeta_curve", "encode_ids", "attach_truth", "burden_from_two", "burden_all_bins", "beats_in_spans", "all_windows", "knn_proba", "training_summary", "subsample_quota", "balanced_quota"])
+@pytest.mark.parametrize("name", ["burden_wide", "rr_windows", "merge_events", "auroc", "silhouette", "knn_confidence", "roc_ranged", "aucpr", "evaluate", "patient_fbeta_curve", "encode_ids", "attach_truth", "burden_from_two", "burden_all_bins", "beats_in_spans", "all_windows", "knn_proba", "training_summary", "subsample_quota", "balanced_quota", "window_bounds", "preceding_count", "silhouette_samples", "cluster_quality", "knn_neighbors"])
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
