@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatfold.functions.scalars import positive, profile_columns
+from beatfold.sources import npy
 
 BEATS = "patient_id STRING, rr_data DOUBLE, rr_time DOUBLE"
 WINDOWS = "patient_id STRING, prec_window INT, start_time DOUBLE, end_time DOUBLE, proba DOUBLE, pred BOOLEAN"
@@ -53,20 +54,23 @@ def read_chronophenotypes(spark: SparkSession, path: str, id_col: str = "patient
     return df, df.select("cluster").distinct().count()
 
 
-def read_npy_windows(spark: SparkSession, path: str, size: int = 6000) -> DataFrame:
-    """(prec_window, succ_window, global_label, record, samples) of stacked window matrices in .npy files; each file is decoded in a task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("content")
+def read_npy_windows(spark: SparkSession, path: str, size: int = 6000, range_bytes: int = npy.RANGE_BYTES) -> DataFrame:
+    """(prec_window, succ_window, global_label, record, samples) of stacked window matrices in .npy files, read by ranges of rows: a
+    large file is read by many tasks. Files of a store that Arrow cannot open are decoded whole, a task each."""
+    try:
+        npy.opened(path)
+    except (pa.ArrowInvalid, OSError):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("content")
+        return files.mapInArrow(lambda batches: _whole(batches, size), npy.SCHEMA)
+    spark.dataSource.register(npy.NpyWindows)
+    return spark.read.format("npy_windows").option("size", size).option("range_bytes", range_bytes).load(path)
 
-    def run(batches):
-        for b in batches:
-            for content in b.column(0).to_pylist():
-                m = np.load(io.BytesIO(content), allow_pickle=False)
-                for at in range(0, len(m), 256):
-                    p = m[at : at + 256]
-                    samples = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * size), pa.array(p[:, :size].astype(np.float32).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([*[pa.array(p[:, size + i].astype(np.int32)) for i in range(3)], pa.array(p[:, size + 3].astype(np.int64)), samples], ["prec_window", "succ_window", "global_label", "record", "samples"])
 
-    return files.mapInArrow(run, "prec_window int, succ_window int, global_label int, record long, samples array<float>")
+def _whole(batches, size: int):
+    for b in batches:
+        for content in b.column(0).to_pylist():
+            m = np.load(io.BytesIO(content), allow_pickle=False)
+            yield from (npy.windows(m[at : at + 256], size) for at in range(0, len(m), 256))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:

@@ -47,6 +47,26 @@ def test_npy(spark, tmp_path):
     assert got[1].samples == m[1, :8].tolist()
 
 
+def test_npy_by_ranges_of_rows(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(3)
+    want = []
+    for name, n, kind in (("a", 700, np.float32), ("b", 1, np.float64), ("c", 0, np.float32)):
+        m = np.hstack([r.normal(size=(n, 8)), np.arange(n)[:, None], n - 1 - np.arange(n)[:, None], np.ones((n, 1)), np.full((n, 1), len(want))]).astype(kind)
+        np.save(tmp_path / f"{name}.npy", m)
+        want += [(*map(int, x[8:]), *x[:8].astype(np.float32).tolist()) for x in m]
+    (tmp_path / "other.txt").write_text("not a matrix")
+    found = lambda df: sorted((x.prec_window, x.succ_window, x.global_label, x.record, *x.samples) for x in df.collect())
+    df = io.read_npy_windows(spark, str(tmp_path), 8, range_bytes=100 * 12 * 4)
+    assert df.rdd.getNumPartitions() == 8 and found(df) == sorted(want)  # one file is the work of seven tasks
+    assert found(io.read_npy_windows(spark, f"file://{tmp_path}/a.npy", 8)) == sorted(want[:700])
+    monkeypatch.setattr(io.npy, "opened", lambda path: (_ for _ in ()).throw(OSError("a store of Spark's alone")))
+    assert found(io.read_npy_windows(spark, str(tmp_path), 8)) == sorted(want)
+    np.save(tmp_path / "d.npy", np.asfortranarray(np.ones((3, 12))))
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="row by row"):
+        io.read_npy_windows(spark, str(tmp_path / "d.npy"), 8).count()
+
+
 def test_model(spark, tmp_path):
     m = spark.createDataFrame([(1, 0, [0.0]), (2, 1, [1.0])], "train_id long, label int, profile array<double>")
     io.save_model(m, str(tmp_path / "m"), 5)
