@@ -14,16 +14,20 @@ def between(x: np.ndarray, y: np.ndarray, metric: str = "euclidean") -> np.ndarr
     out = np.empty((len(x), len(y)))
     if metric == "cosine":
         x, y = (v / np.where((n := np.linalg.norm(v, axis=1)) == 0, 1, n)[:, None] for v in (x, y))
+    elif metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"unknown metric {metric!r}")
+    columns = np.ascontiguousarray(y.T)
     for a in range(0, len(x), 256):
-        part = x[a : a + 256]
+        part, sums = x[a : a + 256], out[a : a + 256]
+        if metric == "cosine":
+            sums[:] = np.maximum(1 - part @ columns, 0)
+            continue
+        sums[:] = 0
+        for mine, theirs in zip(part.T, columns, strict=True):  # one dimension at a time stays in the cache
+            d = mine[:, None] - theirs
+            sums += d * d if metric == "euclidean" else np.abs(d)
         if metric == "euclidean":
-            out[a : a + 256] = np.sqrt(((part[:, None] - y[None]) ** 2).sum(2))
-        elif metric == "manhattan":
-            out[a : a + 256] = np.abs(part[:, None] - y[None]).sum(2)
-        elif metric == "cosine":
-            out[a : a + 256] = np.maximum(1 - part @ y.T, 0)
-        else:
-            raise ValueError(f"unknown metric {metric!r}")
+            np.sqrt(sums, out=sums)
     return out
 
 
