@@ -67,9 +67,11 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank int, <id_col>, score long): the k rows of the highest integer inner product for each query row."""
+    """(query_id, rank int, <id_col>, score long): the k rows of the highest integer inner product for each query row. is_query: a
+    condition of the columns id_col and vec_col."""
     spark = df.sparkSession
-    cands = common.written(quantised(df.withColumn(ASKED, is_query), id_col, vec_col, scale, ASKED), "topk-vectors")
+    df = common.pick(df, id_col, vec_col).withColumn(ASKED, is_query)
+    cands = common.written(quantised(df, id_col, vec_col, scale, ASKED), "topk-vectors")
     chosen = cands.filter(ASKED).groupBy("id").agg(F.min("v").alias("v"))
     chosen = common.written(chosen.withColumn("n", F.xxhash64("id")), "topk-queries")
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

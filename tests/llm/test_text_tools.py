@@ -197,3 +197,8 @@ def test_language_of_few_ids_that_repeat(spark):
 
 def rows_of(df):
     return sorted((r.doc_id, r.lang_pred) for r in df.collect())
+
+
+def test_top_k_with_columns_that_differ_in_case(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], "x", "y") for i in range(6)], "vec_id long, embedding array<float>, z string, w string").toDF("vec_id", "embedding", "VEC_ID", "v")
+    assert rows(topk.top_k(df, F.col("vec_id") == 2, 1).select("query_id", "rank", "vec_id")) == [(2, 1, 5)]
