@@ -117,3 +117,18 @@ def test_a_cluster_needs_a_shared_folder(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(away)
     assert shared_dir(spark).startswith("file:")
+
+
+def test_settled_tables_and_numbers(spark):
+    from pathlib import Path
+
+    from beatfold.sources import shared
+
+    d = spark.createDataFrame([(g, i // 2) for g in (0, 1) for i in range(40)], "g int, v int")
+    with shared.scratch(spark):
+        kept = shared.settled(d)
+        where = Path(kept.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+        assert where.exists() and rows(kept) == rows(d)
+        got = shared.numbered(d, "n", ["g"], "v", parts=5).collect()
+    assert not where.exists() and not shared._scratch.get()
+    assert sorted((r.g, r.n) for r in got) == [(g, n) for g in (0, 1) for n in range(40)] and all(r.v == r.n // 2 for r in got)
