@@ -39,7 +39,7 @@ def _to_pivots(df: DataFrame, x: str, pivots: np.ndarray, schema: str, rows) ->
 
 def _celled(model: DataFrame, n: int) -> tuple[np.ndarray, DataFrame, list]:
     """(pivots, model rows with the cell of their nearest pivot, (cell, n, radius) of each cell)."""
-    few = min(PIVOTS, max(1, int(n**0.5)))
+    few = min(PIVOTS, int(n**0.5)) if n > BLOCK else 1  # a single block needs no cells
     chosen = model.select("profile", F.xxhash64("train_id").alias("h")).orderBy("h").limit(few)
     pivots = np.unique(np.array([r.profile for r in chosen.collect()], float), axis=0)  # PIVOTS rows at most
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in model.schema.fields)
@@ -118,9 +118,11 @@ def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: st
 
     w = Window.partitionBy("query_id").orderBy("distance", "train_id")
     best = lambda df, most: df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    first = settled(best(met(asked_blocks(ask, pivots, cells, k)), k).drop("rank"))
-    least = first.groupBy(F.col("query_id").alias("q")).agg(F.max("distance").alias("least"))
-    part = first.unionByName(met(asked_blocks(ask.join(least, "q").select("q", "x", "least"), pivots, cells, k, True)))
+    part = met(asked_blocks(ask, pivots, cells, k))
+    if len(cells) > 1:
+        part = settled(best(part, k).drop("rank"))
+        least = part.groupBy(F.col("query_id").alias("q")).agg(F.max("distance").alias("least"))
+        part = part.unionByName(met(asked_blocks(ask.join(least, "q").select("q", "x", "least"), pivots, cells, k, True)))
     if leave_own:
         part = part.filter(~F.col("query_id").eqNullSafe(F.col("train_id")))
     return best(part, most).select("query_id", "rank", "train_id", "label", "distance")
