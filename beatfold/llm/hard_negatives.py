@@ -7,7 +7,7 @@ at the coarsest depth that shows it; what the finest depth leaves is scored exac
 
 Rows are packed into blocks, and so are the anchors (a stated query set: one row in a hundred); every pair of a row block and an
 anchor block is scored on its own, and gives at most k rows for each anchor, so neither blocks in series nor lists on the driver are
-needed. The best of the blocks are merged by a window over each anchor.
+needed; row blocks are dealt over tasks by hash, so no label, id or length draws them together. The best of the blocks are merged by a window over each anchor.
 
 Nulls: rows with a null id, a null label, a null vector, or null or non-finite components take no part. Vectors of different lengths
 are not compared. Of several anchor rows with one id, the least (vector, label) is the anchor; other rows with its id are neither its
@@ -29,6 +29,7 @@ from beatfold.llm import common
 from beatfold.llm.topk import quantised
 
 ROWS, ANCHORS, FINEST = 4096, 512, 16  # rows of a block, anchors of a block, segments at the finest depth
+CELL = 32  # row blocks of a task, about
 DENSE = 0.1  # share of the pairs from which on a depth is taken for all pairs at once
 
 
@@ -183,10 +184,13 @@ def best_negatives(a: Block, r: Block, scores: list[np.ndarray], k: int, share:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _pairs(blocks: DataFrame, anchors: DataFrame, *lists: str) -> DataFrame:
-    """Every row block beside every anchor block of the same vector length: the query set against all rows, in blocks."""
+def _pairs(blocks: DataFrame, anchors: DataFrame, cells: int, *lists: str) -> DataFrame:
+    """Every row block beside every anchor block of the same vector length: the query set against all rows, in blocks. Row blocks are
+    dealt over cells, a task each, and the anchors go to every cell; what a task holds is its row blocks, anchors stream by."""
     asked = anchors.select(*[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "width", "v", "mean", "dev", *lists)])
-    return blocks.crossJoin(asked).filter("width = a_width")
+    asked = asked.withColumn("a_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).repartition(cells, "a_cell")
+    own = blocks.withColumn("cell", F.pmod(F.xxhash64("ids"), F.lit(cells)).cast("int")).repartition(cells, "cell")
+    return asked.join(own.hint("merge"), (F.col("a_cell") == F.col("cell")) & (F.col("a_width") == F.col("width"))).drop("a_cell", "cell")
 
 
 def _rows(batches):
@@ -216,7 +220,8 @@ def hard_negatives(df: DataFrame, is_anchor: Column, k: int = 5, positives: int
             i, j, s = best_positives(a, r, positives)
             yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(i)), r.ids.take(pa.array(j)), pa.array(s)], ["anchor_id", "positive_id", "positive_score"])
 
-    found = _pairs(blocks, asked).mapInArrow(near, f"anchor_id {kind}, positive_id {kind}, positive_score long")
+    cells = max(1, min(parts, -(-n // ROWS)), n // (CELL * ROWS))
+    found = _pairs(blocks, asked, cells).mapInArrow(near, f"anchor_id {kind}, positive_id {kind}, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     good = common.written(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= positives), "hn-positives")
 
@@ -229,7 +234,7 @@ def hard_negatives(df: DataFrame, is_anchor: Column, k: int = 5, positives: int
             i, p, j, s = best_negatives(a, r, scores, k, share)
             yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(i)), pa.array(p), r.ids.take(pa.array(j)), pa.array(s)], ["anchor_id", "positive_score", "negative_id", "negative_score"])
 
-    found = _pairs(blocks, asked, "scores").mapInArrow(between, f"anchor_id {kind}, positive_score long, negative_id {kind}, negative_score long")
+    found = _pairs(blocks, asked, cells, "scores").mapInArrow(between, f"anchor_id {kind}, positive_score long, negative_id {kind}, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
     hard = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return good.join(hard, ["anchor_id", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
