@@ -3,14 +3,14 @@
 A window is 20 consecutive words of one document. Words covered by a window whose words also start earlier (smaller id, or the
 same document further ahead) are removed; windows are judged on the input.
 
-First pass: every window is counted under its anchor, the least (by hash) of its 8-word runs, so equal windows share an anchor and
-an anchor's count is never below a window's. Each task sends its sketch sparsely, as the cells its anchors hit, to the task that
-merges that range of hashes; there, count-min rows are summed over all tasks, and positions with an estimate of two or more are
-sent back to their documents. Second pass: only windows with such an anchor are grouped, exactly, by 96 bits of hash (64 for the
-range and key, 32 more, from two polynomials over 64-bit word hashes; equal hashes are taken as equal words). No window that
-repeats is lost. Texts are written with a number for each row, by which positions find their text again. Both passes settle what
-repeats within a task before the shuffle, so a passage that a third of all documents share sends a few rows from each task. The
-number of ranges grows with the text.
+Texts are written once in chunks of about CHUNK_WORDS words, and the number of words is known from then on. First pass: each task
+sketches the windows of its chunks. The sketch has DEPTH rows and at least CELLS cells for each window of the corpus, so it does
+not fill up as the corpus grows; it is cut by ranges of the window hash, and a chunk sends only the cells it hits (sorted, counts
+up to two, differences compressed). Each range sums its part of all sketches up and sends back to each chunk which of the cells it
+hit count two or more. An estimate is the least count of a window's cells, so it is never too low. Second pass: each chunk meets
+its answers, and only windows estimated repeated are grouped by 96 bits (64 and 32, of two polynomials over two independent 64-bit
+hashes of the words; windows with equal bits are taken as equal words). No window that repeats is lost. Of what repeats within a
+chunk one window is sent, so a passage that a third of all documents share sends one row from each chunk.
 
 Nulls: a null text has no words; a null id counts as less than all others. Rows with one id do not remove each other's windows at
 equal starts, whether their texts are equal (repeated rows get equal results) or not. Texts under 20 words lose nothing. Empty
@@ -22,31 +22,40 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatfold.llm import common
 
-WINDOW, RUN = 20, 8
-SPAN = WINDOW - RUN + 1  # runs in a window
-RANGE_CHARS, LEAST_RANGES = 64_000_000, 64
-FLUSH, KNOWN_WORDS = 500_000, 300_000
-LOAD_BITS = 2  # sketch cells for each anchor, as a power of two
+WINDOW, DEPTH, CELLS = 20, 2, 8
+CHUNK_WORDS, RANGE_WORDS, LEAST_RANGES = 1_000_000, 4_000_000, 32
+KNOWN_WORDS = 300_000
 B1, B2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+SPREAD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))  # one for each row of the sketch
+LOW = np.uint64(32)
 LEAST_ID = -(2**63)
 
 
 class WordHashes(dict):
     """64-bit hashes of words met so far; emptied when full."""
 
+    digest = staticmethod(xxhash.xxh3_64_intdigest)
+
     def __missing__(self, word):
-        h = xxhash.xxh3_64_intdigest(word)
+        h = self.digest(word)
         if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = h
         return h
 
 
+class WordDigests(WordHashes):
+    """The same of 16-byte digests: two independent hashes of each word."""
+
+    digest = staticmethod(xxhash.xxh3_128_digest)
+
+
 def word_hashes() -> WordHashes:
     return common.kept("word hashes", WordHashes)
 
@@ -74,174 +83,187 @@ def rolling(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
     return out
 
 
-def sliding(x: np.ndarray, k: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of each k neighbours."""
-    pick, part, size = (np.minimum if least else np.maximum), x, 1
-    while 2 * size <= k:
-        part, size = pick(part[:-size], part[size:]), 2 * size
-    return part if size == k else pick(part[: len(x) - k + 1], part[k - size :][: len(x) - k + 1])
-
-
-class Slice:
-    """Words of some documents in one row: hashes, anchors and which windows lie within a document."""
-
-    def __init__(self, docs: list[list[bytes]]):
-        size, known = np.array([len(d) for d in docs], np.int64), word_hashes()
-        self.begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        n = int(size.sum())
-        self.h = np.fromiter((x for d in docs for x in map(known.__getitem__, d)), np.uint64, n)
-        self.owner = np.repeat(np.arange(len(docs)), size)
-        self.any = n >= WINDOW and bool((size >= WINDOW).any())
-        if self.any:
-            self.runs = mixed(rolling(self.h, RUN, B1)) | np.uint64(1)
-            ends = np.repeat(self.begin + size, size)[: n - WINDOW + 1]
-            self.inside = np.arange(n - WINDOW + 1) + WINDOW <= ends
-            self.anchor = sliding(self.runs, SPAN, True)
-
-    def anchors(self) -> np.ndarray:
-        """Positions of runs that are the anchor of a window."""
-        m = np.zeros(len(self.anchor) + 2 * (SPAN - 1), np.uint64)
-        m[SPAN - 1 : 1 - SPAN] = np.where(self.inside, self.anchor, np.uint64(0))
-        return np.nonzero(sliding(m, SPAN, False) == self.runs)[0]
-
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Windows whose anchor is at one of the positions."""
-        marked = np.full(len(self.runs), np.iinfo(np.uint64).max)
-        at = at[at < len(marked)]
-        marked[at] = self.runs[at]
-        return np.nonzero(self.inside & (sliding(marked, SPAN, True) == self.anchor))[0]
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of the bytes of their differences; small for sorted ones."""
+    x = x.view(f"u{x.itemsize}")
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by the keys (first is foremost), where groups of equal first two begin, and each ordered row's group."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
-    return order, np.nonzero(new)[0], np.cumsum(new) - 1
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(kind.itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"u{kind.itemsize}").ravel(), dtype=f"u{kind.itemsize}").view(kind)
 
 
-def dealt(ranges: int, part: np.ndarray, columns: list[np.ndarray]):
-    """(range, the rows of each column as bytes) for the ranges that have rows."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-    columns = [c[order] for c in columns]
-    for r in range(ranges):
-        a, b = cuts[r], cuts[r + 1]
-        if a < b:
-            yield r, [c[a:b].tobytes() for c in columns]
+class Windows:
+    """Windows of some documents in one row: hashes, whose they are and where they start."""
 
+    def __init__(self, docs: list[list[bytes]], exact: bool = False):
+        size, known = np.array([len(d) for d in docs], np.int64), common.kept("word digests", WordDigests)
+        n, self.h1 = int(size.sum()), np.zeros(0, np.uint64)
+        if n < WINDOW or (size < WINDOW).all():
+            return
+        h = np.frombuffer(b"".join(x for d in docs for x in map(known.__getitem__, d)), np.uint64).reshape(n, 2)
+        begin = np.cumsum(size) - size
+        inside = np.arange(n - WINDOW + 1) + WINDOW <= np.repeat(begin + size, size)[: n - WINDOW + 1]
+        self.h1 = mixed(rolling(np.ascontiguousarray(h[:, 0]), WINDOW, B1))[inside]
+        if exact:
+            self.h2 = (mixed(rolling(np.ascontiguousarray(h[:, 1]), WINDOW, B2)) >> LOW)[inside].astype(np.uint32)
+            self.owner = np.repeat(np.arange(len(docs)), size)[: n - WINDOW + 1][inside]
+            self.start = (np.nonzero(inside)[0] - begin[self.owner]).astype(np.uint32)
 
-def lists(keys: np.ndarray, values: np.ndarray):
-    """Distinct keys, and an Arrow list of the values of each."""
-    order = np.lexsort((values, keys))
-    k = keys[order]
-    begin = np.nonzero(np.append(True, k[1:] != k[:-1]))[0] if len(k) else np.zeros(0, np.int64)
-    return pa.array(k[begin]), pa.ListArray.from_arrays(pa.array(np.append(begin, len(k)).astype(np.int32)), pa.array(values[order].astype(np.int32)))
 
+def part_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (h >> LOW) % np.uint64(ranges)
 
-def _joined(blobs: list, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), kind)
 
+def cells_of(h: np.ndarray, row: int, ranges: int, bits: int) -> np.ndarray:
+    """Cells of windows in a row of the sketch: the range, then the cell within it."""
+    return part_of(h, ranges) << LOW | (h * SPREAD[row]) >> np.uint64(64 - bits)
 
-def _anchor_rows(ranges: int):
-    """Task side of the first pass: sparse sketch cells, one for each distinct anchor, and positions already known to repeat."""
 
-    def flush(held):
-        run, key, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, begin, group = groups(run, run, key, pos)
-        many = np.bincount(group) > 1
-        first = order[begin]
-        part = (run[first] >> np.uint64(32)) % np.uint64(ranges)
-        sure = order[many[group]]
-        sent = {r: c for r, c in dealt(ranges, part.astype(np.int64), [(run[first] >> np.uint64(1)).astype(np.uint32), many.astype(np.uint8), key[first], pos[first].astype(np.uint32)])}
-        known = {r: c for r, c in dealt(ranges, (key[sure].view(np.uint64) % np.uint64(ranges)).astype(np.int64), [key[sure], pos[sure].astype(np.uint32)])}
-        rows = [(r, *sent.get(r, [b""] * 4), *known.get(r, [b""] * 2)) for r in sorted(sent.keys() | known.keys())]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 7)]], ["part", "cell", "many", "key", "pos", "sure_key", "sure_pos"])
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by the keys (first is foremost), where groups of equal first two begin, and each ordered row's group."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
+    return order, np.nonzero(new)[0], np.cumsum(new) - 1
+
+
+def edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end of the last."""
+    return np.concatenate([np.nonzero(np.append(True, x[1:] != x[:-1]))[0], [len(x)]]) if len(x) else np.zeros(1, np.int64)
+
+
+def _chunked(batches):
+    """Rows with a chunk (the key of its first row) and their number of words."""
+    chunk, held = None, 0
+    for b in common.slices(batches, "text"):
+        sizes = [len(words_of(t)) for t in b.column(0).to_pylist()]
+        chunks = []
+        for key, n in zip(b.column(1).to_pylist(), sizes, strict=True):
+            n += WINDOW  # so that a chunk holds a bounded number of rows
+            if chunk is None or held + n > CHUNK_WORDS:
+                chunk, held = key, 0
+            held += n
+            chunks.append(chunk)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64()), pa.array(sizes, pa.int64())], [*b.schema.names, "chunk", "words"])
+
+
+def _sketches(ranges: int, bits: int):
+    """First pass: (range, chunk, the cells hit in each row of the sketch). A chunk read by two tasks sends two sketches."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((f"row{i}", pa.binary()) for i in range(DEPTH))])
+
+    def flush(chunk, held):
+        h, rows = np.concatenate(held), []
+        for i in range(DEPTH):
+            c = np.sort(cells_of(h, i, ranges, bits))
+            c = c[np.append([True, True], c[2:] != c[:-2])[: len(c)]]  # counts up to two
+            cuts = edges(c >> LOW)
+            rows.append([packed(c[a:z].astype(np.uint32)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+        parts = (c[cuts[:-1]] >> LOW).astype(np.int32)
+        return common.batch(schema, parts, [chunk] * len(parts), *rows)
 
     def run(batches):
-        held, n = [], 0
+        chunk, held = None, []
         for b in common.slices(batches, "text"):
-            s = Slice([words_of(t) for t in b.column(0).to_pylist()])
-            if s.any:
-                at = s.anchors()
-                own = s.owner[at]
-                held.append((s.runs[at], b.column(1).to_numpy()[own], at - s.begin[own]))
-                n += len(at)
-            if n >= FLUSH:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
+            chunks = b.column(1).to_numpy()
+            cuts = edges(chunks)
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if chunks[a] != chunk:
+                    if held:
+                        yield flush(chunk, held)
+                    chunk, held = chunks[a], []
+                h = Windows([words_of(t) for t in b.column(0).slice(a, z - a).to_pylist()]).h1
+                if len(h):
+                    held.append(h)
+        if held:
+            yield flush(chunk, held)
 
     return run
 
 
-def _merge_sketches(t: pa.Table) -> pa.Table:
-    """Sums the sketch of a range over all tasks; (key, positions) whose estimate is two or more."""
-    c = {n: t.column(n).to_pylist() for n in t.column_names if n != "part"}
-    cell, many = _joined(c["cell"], "<u4"), _joined(c["many"], "u1")
-    bits = min(max(int(len(cell)).bit_length() + LOAD_BITS, 10), 31)
-    weight = many.astype(np.int64) + 1
-    estimate = np.full(len(cell), np.iinfo(np.int64).max)
-    for row in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-        at = ((cell.astype(np.uint64) * row) >> np.uint64(64 - bits)).astype(np.int64)
-        sketch = np.bincount(at, weight, minlength=1 << bits).astype(np.int32)
-        estimate = np.minimum(estimate, sketch[at])
-    hit = (estimate >= 2) & (many == 0)  # those known to repeat within a task come with the sure ones
-    key = np.concatenate([_joined(c["key"], "<i8")[hit], _joined(c["sure_key"], "<i8")])
-    pos = np.concatenate([_joined(c["pos"], "<u4")[hit], _joined(c["sure_pos"], "<u4")])
-    return pa.Table.from_arrays([*lists(key, pos)], ["key", "at"])
-
-
-def _window_rows(ranges: int):
-    """Task side of the second pass: the first of each window estimated repeated, and starts that are known to be later."""
-    kinds = (np.uint64, np.uint32, np.int64, np.int64, np.uint32)
-
-    def flush(held):
-        h1, h2, doc, key, start = (np.concatenate(x).astype(k) for x, k in zip(zip(*held, strict=True), kinds, strict=True))
+def _merged(bits: int):
+    """Sums the sketches of a range up; (chunk, range, the cells of the chunk that count two or more, for each row of the sketch)."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        hot = []
+        for i in range(DEPTH):
+            count = np.zeros(1 << bits, np.uint8)
+            for blob in t.column(f"row{i}"):
+                c = unpacked(blob.as_py(), "u4")
+                first = np.append(True, c[1:] != c[:-1])
+                for cells in (c[first], c[~first]):
+                    count[cells] = np.minimum(count[cells] + np.uint8(1), np.uint8(2))
+            again = (unpacked(blob.as_py(), "u4") for blob in t.column(f"row{i}"))
+            hot.append([packed(np.unique(c[count[c] > 1])) for c in again])
+        return pa.Table.from_arrays([t.column("chunk"), t.column("part"), *[pa.array(x, pa.binary()) for x in hot]], ["chunk", "part", *[f"row{i}" for i in range(DEPTH)]])
+
+    return merge
+
+
+def _repeated(h: np.ndarray, answers: pa.Table, ranges: int, bits: int) -> np.ndarray:
+    """Windows of a chunk whose every cell counts two or more."""
+    at = np.arange(len(h))
+    parts = answers.column("part").to_pylist()
+    for i in range(DEPTH):
+        hot = [unpacked(b, "u4").astype(np.uint64) | np.uint64(p) << LOW for p, b in zip(parts, answers.column(f"row{i}").to_pylist(), strict=True)]
+        at = at[np.isin(cells_of(h[at], i, ranges, bits), np.concatenate(hot))] if hot else at[:0]
+    return at
+
+
+_WINDOW_ROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), *((n, pa.binary()) for n in ("h1", "h2", "doc", "key", "start", "sure_key", "sure_start"))])
+_LATER = pa.schema([("chunk", pa.int64()), ("key", pa.binary()), ("start", pa.binary())])
+
+
+def _window_rows(ranges: int, bits: int):
+    """Second pass: of each window estimated repeated the first in its chunk, and starts that are known to be later."""
+    nothing = packed(np.zeros(0, np.int64)), packed(np.zeros(0, np.uint32))
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not answers.num_rows:
+            return _WINDOW_ROW.empty_table()
+        w = Windows([words_of(t) for t in own.column("text").to_pylist()], exact=True)
+        at = _repeated(w.h1, answers, ranges, bits)
+        if not len(at):
+            return _WINDOW_ROW.empty_table()
+        h1, h2, start, owner = w.h1[at], w.h2[at], w.start[at], w.owner[at]
+        doc, key = (own.column(n).to_numpy()[owner] for n in ("doc", "key"))
         order, begin, group = groups(h1, h2, doc, start)
         lead = order[begin]
         early = (doc[order] == doc[lead][group]) & (start[order] == start[lead][group])
-        keep, sure = order[early], order[~early]
-        sent = {r: c for r, c in dealt(ranges, ((h1[keep] >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64), [x[keep] for x in (h1, h2, doc, key, start)])}
-        known = {r: c for r, c in dealt(ranges, (key[sure].view(np.uint64) % np.uint64(ranges)).astype(np.int64), [key[sure], start[sure]])}
-        rows = [(r, *sent.get(r, [b""] * 5), *known.get(r, [b""] * 2)) for r in sorted(sent.keys() | known.keys())]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), *[pa.array([x[i] for x in rows], pa.binary()) for i in range(1, 8)]], ["part", "h1", "h2", "doc", "key", "start", "sure_key", "sure_start"])
-
-    def run(batches):
-        held, n = [], 0
-        for b in common.slices(batches, "text", 4 << 20):
-            ask = [i for i, x in enumerate(b.column(3).is_valid().to_pylist()) if x]
-            if not ask:
-                continue
-            b = b.take(pa.array(ask))
-            s = Slice([words_of(t) for t in b.column(0).to_pylist()])
-            if not s.any:
-                continue
-            at = b.column(3)
-            w = s.windows(at.flatten().to_numpy() + np.repeat(s.begin, np.diff(at.offsets.to_numpy())))
-            own = s.owner[w]
-            held.append((mixed(rolling(s.h, WINDOW, B1))[w], mixed(rolling(s.h, WINDOW, B2))[w] >> np.uint64(32), b.column(2).to_numpy()[own], b.column(1).to_numpy()[own], w - s.begin[own]))
-            n += len(w)
-            if n >= FLUSH:
-                yield flush(held)
-                held, n = [], 0
-        if n:
-            yield flush(held)
+        keep, sure = order[early], np.sort(order[~early])
+        part = part_of(h1[keep], 2 * ranges).astype(np.int64)
+        keep = keep[np.lexsort((start[keep], key[keep], part))]
+        part = np.sort(part)
+        cuts = edges(part)
+        columns = [[], [], [], [], []]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            k = keep[a:z]
+            for c, x in zip(columns, (h1[k].tobytes(), h2[k].tobytes(), packed(doc[k]), packed(key[k]), packed(start[k])), strict=True):
+                c.append(x)
+        known = [[b, *[e] * (len(cuts) - 2)] for b, e in zip((packed(key[sure]), packed(start[sure])), nothing, strict=True)]
+        chunk = own.column("chunk")[0].as_py()
+        return pa.Table.from_batches([common.batch(_WINDOW_ROW, part[cuts[:-1]].astype(np.int32), [chunk] * (len(cuts) - 1), *columns, *known)])
 
     return run
 
 
 def _group_windows(t: pa.Table) -> pa.Table:
-    """Groups the windows of a range exactly; (key, starts) of all but the first of each group."""
-    c = {n: t.column(n).to_pylist() for n in t.column_names if n != "part"}
-    h1, h2, doc, key, start = (_joined(c[n], k) for n, k in (("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u4")))
+    """Groups the windows of a range; for each chunk the (key, start) of all but the first of each group."""
+    c = {n: t.column(n).to_pylist() for n in t.column_names}
+    h1, h2 = np.frombuffer(b"".join(c["h1"]), np.uint64), np.frombuffer(b"".join(c["h2"]), np.uint32)
+    doc, key, start = (np.concatenate([unpacked(b, k) for b in c[n]]) for n, k in (("doc", "i8"), ("key", "i8"), ("start", "u4")))
+    row = np.repeat(np.arange(t.num_rows), [len(b) // 8 for b in c["h1"]])
     order, begin, group = groups(h1, h2, doc, start)
     lead = order[begin]
-    later = order[(doc[order] != doc[lead][group]) | (start[order] != start[lead][group])]
-    key = np.concatenate([key[later], _joined(c["sure_key"], "<i8")])
-    start = np.concatenate([start[later], _joined(c["sure_start"], "<u4")])
-    return pa.Table.from_arrays([*lists(key, start)], ["key", "starts"])
+    later = np.sort(order[(doc[order] != doc[lead][group]) | (start[order] != start[lead][group])])  # by row, key and start
+    cuts = edges(row[later])
+    out = [(c["chunk"][row[later[a]]], packed(key[later[a:z]]), packed(start[later[a:z]])) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    nothing = packed(np.zeros(0, np.int64))
+    out += [x for x in zip(c["chunk"], c["sure_key"], c["sure_start"], strict=True) if x[1] != nothing]
+    return pa.Table.from_batches([common.batch(_LATER, *([x[i] for x in out] for i in range(3)))])
 
 
 def kept_words(words: list[bytes], starts: np.ndarray) -> list[bytes]:
@@ -258,38 +280,43 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = common.pick(docs, text_col, id_col, *carry)
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    numbered = docs.toDF("text", *[f"_c{i}" for i in range(1 + len(carry))]).withColumn("key", F.monotonically_increasing_id())
-    numbered = common.written(numbered, "numbered")  # a row keeps its number
-    own = numbered.select("text", "key", *[F.col(f"_c{i}").alias(c) for i, c in enumerate((id_col, *carry))])
-    ranges = max(LEAST_RANGES, (own.agg(F.sum(F.length("text"))).first()[0] or 0) // RANGE_CHARS)
-
-    cells = own.select("text", "key").mapInArrow(_anchor_rows(ranges), "part int, cell binary, many binary, key binary, pos binary, sure_key binary, sure_pos binary")
-    flags = cells.groupBy("part").applyInArrow(_merge_sketches, "key long, at array<int>")
-    flags = common.written(flags.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at")), "window-flags")  # a document's own positions
-
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("doc")
-    # all columns of `own` in both joins, so that the texts are shuffled once and that exchange is used again
-    asked = own.join(flags.hint("shuffle_hash"), "key", "left").select("text", "key", doc, "at", F.col(id_col).alias("_id"), *carry)
-    seen = asked.mapInArrow(_window_rows(4 * ranges), "part int, h1 binary, h2 binary, doc binary, key binary, start binary, sure_key binary, sure_start binary")
-    later = seen.groupBy("part").applyInArrow(_group_windows, "key long, starts array<int>")
-    later = later.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    whole = own.join(later.hint("shuffle_hash"), "key", "left").select("text", "starts", id_col, *carry)
-
-    def keep(batches):
-        for b in common.slices(batches, "text"):
-            starts = b.column(1)
-            n_words, n_removed, kept = [], [], []
-            for i, t in enumerate(b.column(0).to_pylist()):
-                words = words_of(t)
-                left = kept_words(words, starts[i].values.to_numpy()) if starts[i].is_valid else words
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-                kept.append(t if keep_whole and len(left) == len(words) else b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*b.schema.names[2:], "n_words", "n_removed", "kept"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[3:])
-    return whole.mapInArrow(keep, f"{id_col} {id_kind}, {kinds + ', ' if kinds else ''}n_words long, n_removed long, kept string")
+    kinds = [f.dataType.simpleString() for f in docs.schema.fields[1:]]
+    held = [f"_c{i}" for i in range(1 + len(carry))]
+    doc = F.coalesce(F.col("_c0").cast("long"), F.lit(LEAST_ID)).alias("doc")
+    numbered = docs.toDF("text", *held).select("text", F.monotonically_increasing_id().alias("key"), doc, *held)
+    typed = ", ".join(f"{c} {k}" for c, k in zip(held, kinds, strict=True))
+    # a row keeps its number and its chunk
+    numbered = common.written(numbered.mapInArrow(_chunked, f"text string, key long, doc long, {typed}, chunk long, words long"), "numbered")
+    words = numbered.agg(F.sum("words")).first()[0] or 0
+    ranges = max(LEAST_RANGES, words // RANGE_WORDS)
+    bits = min(max((CELLS * words // ranges).bit_length(), 10), 31)
+    binary = ", ".join(f"row{i} binary" for i in range(DEPTH))
+
+    sketches = numbered.select("text", "chunk").mapInArrow(_sketches(ranges, bits), f"part int, chunk long, {binary}")
+    answers = sketches.groupBy("part").applyInArrow(_merged(bits), f"chunk long, part int, {binary}")
+    # the same columns of `own` meet answers and later starts, so that the texts are shuffled once and that exchange is used again
+    own = numbered.drop("words")
+    kind = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+    ddl = lambda schema: ", ".join(f"{f.name} {kind[f.type]}" for f in schema)
+    seen = own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_window_rows(ranges, bits), ddl(_WINDOW_ROW))
+    later = seen.groupBy("part").applyInArrow(_group_windows, ddl(_LATER))
+
+    def keep(own: pa.Table, later: pa.Table) -> pa.Table:
+        key, start = (np.concatenate([np.zeros(0, k), *(unpacked(b, k) for b in later.column(n).to_pylist())]) for n, k in (("key", "i8"), ("start", "u4")))
+        order = np.argsort(key, kind="stable")
+        key, start = key[order], start[order].astype(np.int64)
+        mine = own.column("key").to_numpy()
+        n_words, n_removed, kept = [], [], []
+        for t, a, z in zip(own.column("text").to_pylist(), np.searchsorted(key, mine), np.searchsorted(key, mine, "right"), strict=True):
+            words = words_of(t)
+            left = kept_words(words, start[a:z]) if a < z else words
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            kept.append(t if keep_whole and len(left) == len(words) else b" ".join(left).decode())
+        return pa.Table.from_arrays([*[own.column(c) for c in held], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*held, "n_words", "n_removed", "kept"])
+
+    out = own.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(keep, f"{typed}, n_words long, n_removed long, kept string")
+    return out.toDF(id_col, *carry, "n_words", "n_removed", "kept")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
@@ -120,7 +122,7 @@ def repeated_texts():
 
 @pytest.mark.parametrize("flush", [10**6, 50])
 def test_substrings_by_brute_force(docs, monkeypatch, flush):
-    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", flush)
     texts = repeated_texts()
     want = naive_windows(texts)
     got = substring_dedup.dedup_substrings(docs(texts, True).repartition(5)).collect()
@@ -136,10 +138,40 @@ def test_substrings_odd(docs):
     assert (long.n_words, long.n_removed, long.kept) == (30_000, 29_980 + 19 - 19, " ".join(["wörd"] * 20)) or long.n_words - long.n_removed <= 20
 
 
-def test_sliding_and_rolling():
-    x = np.random.default_rng(0).integers(0, 2**63, 50).astype(np.uint64)
+def test_substrings_with_a_full_sketch(docs, monkeypatch):
+    """One cell for many windows: more is grouped, nothing else is removed."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "SPREAD", (np.uint64(1), np.uint64(3)))
+    texts = repeated_texts()
+    want = naive_windows(texts)
+    got = substring_dedup.dedup_substrings(docs(texts, True)).collect()
+    assert all((r.n_words, r.n_removed, r.kept) == want[-(2**63) if r.doc_id is None else r.doc_id] for r in got) and len(got) == len(texts)
+
+
+def test_sketches_never_estimate_too_low():
+    r = np.random.default_rng(3)
+    chunks = [r.integers(0, 60, 50).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(6)]
+    ranges, bits = 3, 5
+    rows = []
+    for i, h in enumerate(chunks):
+        at = [np.sort(substring_dedup.cells_of(h, row, ranges, bits)) for row in range(2)]
+        for p in np.unique(substring_dedup.part_of(h, ranges)):
+            cells = [c[c >> np.uint64(32) == p].astype(np.uint32) for c in at]
+            rows.append((int(p), i, *[substring_dedup.packed(np.sort(np.concatenate([np.unique(c), np.unique(c[1:][c[1:] == c[:-1]])]))) for c in cells]))
+    t = pa.table({n: [x[i] for x in rows] for i, n in enumerate(("part", "chunk", "row0", "row1"))})
+    answers = pa.concat_tables([substring_dedup._merged(bits)(t.filter(pa.compute.equal(t["part"], p))) for p in range(ranges)])
+    values, counts = np.unique(np.concatenate(chunks), return_counts=True)
+    for i, h in enumerate(chunks):
+        got = set(substring_dedup._repeated(h, answers.filter(pa.compute.equal(answers["chunk"], i)), ranges, bits).tolist())
+        assert {k for k, v in enumerate(h) if counts[np.searchsorted(values, v)] > 1} <= got
+
+
+def test_packing_of_numbers_and_rolling():
+    r = np.random.default_rng(0)
+    for x in (r.integers(-(2**62), 2**62, 99), np.sort(r.integers(0, 2**32, 99).astype(np.uint32)), np.zeros(0, np.int64)):
+        assert (substring_dedup.unpacked(substring_dedup.packed(x), x.dtype) == x).all()
+    x = r.integers(0, 2**63, 50).astype(np.uint64)
     for k in (1, 2, 5, 13, 20):
-        assert list(substring_dedup.sliding(x, k, True)) == [min(x[i : i + k]) for i in range(51 - k)]
         b = int(substring_dedup.B1)
         want = [sum(int(v) * pow(b, k - 1 - j, 2**64) for j, v in enumerate(x[i : i + k])) % 2**64 for i in range(51 - k)]
         assert [int(v) for v in substring_dedup.rolling(x, k, substring_dedup.B1)] == want
