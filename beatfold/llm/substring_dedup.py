@@ -84,16 +84,22 @@ def rolling(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of the bytes of their differences; small for sorted ones."""
+    """Whole numbers as planes of the bytes of their differences, each compressed for itself; small for sorted ones."""
     x = x.view(f"u{x.itemsize}")
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    planes = np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T
+    blobs = [zstandard.compress(np.ascontiguousarray(p).tobytes(), 1) if p.any() else b"" for p in planes]
+    return np.array([len(x), *map(len, blobs)], np.uint32).tobytes() + b"".join(blobs)
 
 
 def unpacked(blob: bytes, kind: str) -> np.ndarray:
     kind = np.dtype(kind)
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(kind.itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(f"u{kind.itemsize}").ravel(), dtype=f"u{kind.itemsize}").view(kind)
+    n, *sizes = np.frombuffer(blob, np.uint32, 1 + kind.itemsize).tolist()
+    d, at = np.zeros((n, kind.itemsize), np.uint8), 4 + 4 * kind.itemsize
+    for i, size in enumerate(sizes):
+        if size:
+            d[:, i] = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8)
+        at += size
+    return np.cumsum(d.view(f"u{kind.itemsize}").ravel(), dtype=f"u{kind.itemsize}").view(kind)
 
 
 class Windows:
