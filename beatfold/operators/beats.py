@@ -160,9 +160,9 @@ def consecutive_runs(df: DataFrame, step: float | None = None, tol: float = 1e-3
     return rows.drop("_d", "_c", "_r")
 
 
-def window_positions(df: DataFrame, patient: str = "patient_id", order: str = "start_time") -> DataFrame:
-    """df with prec (windows before) and succ (windows after)."""
-    prec = (F.row_number().over(_by(patient, order)) - 1).cast("long")
+def window_positions(df: DataFrame, patient: str = "patient_id", order: str = "start_time", ties: str | None = None) -> DataFrame:
+    """df with prec (windows before) and succ (windows after); windows of one time follow `ties`."""
+    prec = (F.row_number().over(Window.partitionBy(patient).orderBy(order, *([ties] if ties else []))) - 1).cast("long")
     return df.withColumn("prec", prec).withColumn("succ", F.count("*").over(Window.partitionBy(patient)) - 1 - F.col("prec"))
 
 

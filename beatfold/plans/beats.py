@@ -96,7 +96,7 @@ QUERIES = {
     "preceding_count": preceding_count,
     "consecutive_runs": consecutive_runs,
     "consecutive_runs_median": run_median,
-    "window_positions": lambda s, d: T.window_positions(V.windows(s, d)).select("patient_id", "prec_window", "prec", "succ"),
+    "window_positions": lambda s, d: T.window_positions(V.windows(s, d), ties="prec_window").select("patient_id", "prec_window", "prec", "succ"),
     "window_context": context_size,
     "score_windows": score_windows,
     "score_sequences": score_sequences,
