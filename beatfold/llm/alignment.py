@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from beatfold.llm import bpe, common
 
 PIECES = "piece_bpe_32k.model"
-BUCKETS, FAN, LOOKUP_BYTES, TASK_PAIRS = 256, 32, 64 << 20, 2_000_000
+BUCKETS, FAN, LOOKUP_BYTES, TASK_PAIRS = 256, 32, 64 << 20, 1_000_000
+ENCODED, JOINED = 2 << 20, 256 << 10  # bytes of text at once
 _CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 
 
@@ -96,18 +97,15 @@ class Pieces:
 
 
 class Joined:
-    """The tokens of a batch of texts in both vocabularies, and what links them.
+    """The tokens of some texts (no nulls) in both vocabularies, and what links them. a, at_a and b, at_b: ids as tables.encoded gives them.
 
     ok: texts with tokens. a, b: their ids, text by text; na, nb: tokens of each text (0 without). Links are the intervals between
     neighbouring ends of tokens: `link` holds a pair of ids for each, n_links how many each text has.
     """
 
-    def __init__(self, tables: Tables, texts: pa.Array):
-        texts = texts.fill_null("").cast(pa.large_string())
-        whole = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    def __init__(self, tables: Tables, texts: pa.Array, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray):
+        whole = tables.spaced(texts)
         some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
-        a, at_a = tables.plain.table.encode(whole.cast(pa.string()))
-        b, at_b = tables.pieces.encode(texts.cast(pa.string()))
         ends_a, ends_b = np.append(0, np.cumsum(tables.size_a[a])), np.append(0, np.cumsum(tables.size_b[b]))
         bounds, data = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset :][: len(whole) + 1], whole.buffers()[2]
         got_a, got_b = (memoryview(table.take(pa.array(ids.astype(np.int32))).buffers()[2] or b"") for table, ids in ((tables.bytes_a, a), (tables.bytes_b, b)))
@@ -162,11 +160,32 @@ class Tables:
         self.n_b = len(self.size_b)
         self.decimal = pa.array([f"{i}{c}" for i in range(max(len(strings), self.n_b)) for c in ",|;"], pa.large_string())
 
+    @staticmethod
+    def spaced(texts: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in A, where each text's begin, and the end; the same in B."""
+        return *self.plain.table.encode(self.spaced(texts).cast(pa.string())), *self.pieces.encode(texts.cast(pa.string()))
+
 
 def _batches(batches, paths: tuple, text_col: str):
+    """(tables, rows, Joined of their texts). Words are looked up for many texts at once; the arrays of a byte or a token each are made
+    for few of them at a time."""
     tables = common.kept(("alignment", *paths), lambda: Tables(*paths))
-    for b in common.slices(common.gathered(batches, 4 << 20), text_col):
-        yield tables, b, Joined(tables, b.column(b.schema.get_field_index(text_col)))
+    for many in common.slices(common.gathered(batches, ENCODED), text_col, ENCODED):
+        at, (a, at_a, b, at_b) = 0, tables.encoded(filled(many, text_col))
+        for rows in common.slices([many], text_col, JOINED):
+            to = at + rows.num_rows
+            own_a, own_b = at_a[at : to + 1], at_b[at : to + 1]
+            yield tables, rows, Joined(tables, filled(rows, text_col), a[own_a[0] : own_a[-1]], own_a - own_a[0], b[own_b[0] : own_b[-1]], own_b - own_b[0])
+            at = to
+        del a, b
+        pa.default_memory_pool().release_unused()
+
+
+def filled(rows: pa.RecordBatch, text_col: str) -> pa.Array:
+    return rows.column(rows.schema.get_field_index(text_col)).fill_null("").cast(pa.large_string())
 
 
 def mixed(key: np.ndarray, salt: int) -> np.ndarray:

@@ -215,6 +215,27 @@ def test_op13(spark):
     assert {r.doc_id: tuple(r[n] for n in names) for r in catalogue.QUERIES["op13_alignment"](spark, DATA).collect()} == want
 
 
+def test_alignment_joins_few_texts_at_a_time(monkeypatch):
+    texts = [w * 40 for w in ("one more line, ", "zwei  Zeilen\n", "три ", "")] * 300 + [None, "x" * 9000]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    seen = []
+
+    class Watched(alignment.Joined):
+        def __init__(self, tables, own, *ids):
+            seen.append(sum(map(len, own.to_pylist())) if len(own) > 1 else 0)
+            super().__init__(tables, own, *ids)
+
+    def run(joined):
+        monkeypatch.setattr(alignment, "JOINED", joined)
+        monkeypatch.setattr(alignment, "Joined", Watched)
+        return [(i, *map(int, x), g) for t, b, j in alignment._batches([rows], (None, None), "text") for i, *x, g in zip(b.column(0).to_pylist(), j.na, j.nb, j.n_groups, j.n_links, j.digests(t), strict=True)]
+
+    whole = run(1 << 30)
+    seen.clear()
+    assert run(5000) == whole and len(whole) == len(texts)
+    assert max(seen) <= 5000 and len(seen) > 20
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_alignment_of_odd_texts(spark, docs, monkeypatch, few):
     """few: many parts of the lookup table, small trees and flushed tasks."""
