@@ -3,8 +3,10 @@
 A text is lower-cased and cut into words; a step of the network sees a word as a hashed word embedding and the mean of the
 embeddings of its hashed character n-grams (sizes 3 to 6, with marks for both ends). All windows of 32 words that overlap by half
 are scored; a text's logit is that of its most toxic window, put on the scale of probabilities by a logistic fit and the shares of the classes. The network
-learns from document labels alone (many windows, one label), on a bounded sample of labelled rows: SAMPLE rows of each class at
-most (one of an id), with all windows of each. Scoring covers every word of every text.
+learns from document labels alone (many windows, one label), from every learnable row (one of an id) with all its windows: a start is
+learnt from SAMPLE rows of each class; where there are more, all rows are dealt into groups of about GROUP, each group takes the start
+once over its own rows, and the changes are averaged, row by row of the tables over the groups that met it. A tenth of all rows sets the
+scale of the probabilities. Scoring covers every word of every text.
 
 Nulls: a null or empty text is scored as one empty window; null ids stay, are not held out, and are never learnt from; null
 labels are not learnt from, nor documents whose labels disagree. Repeated rows get equal scores. Words over 32 letters are taken
@@ -26,11 +28,15 @@ from beatfold.llm import common
 
 WINDOW, STRIDE = 32, 16
 SAMPLE = 1000
+GROUP, GROUP_BYTES, FAN = 4000, 64 << 20, 64
 WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 13, 16, 8, 16, 8
 GRAMS, LETTERS = (3, 4, 5, 6), 32
 EPOCHS, BATCH, RATE, SEED, DECAY = 8, 32, 0.01, 7, 0.01
 LEAST_STEPS, DROPPED = 225, 0.3
+LATER_BATCH, LATER_RATE, NEGLIGIBLE = 128, 0.002, 1e-3
 KNOWN_WORDS = 250_000
+BROADCAST_KEYS = 1_000_000
+PART = 4096
 CUTOFF = 0.7
 _WORD = re.compile(r"\w{1,32}")
 
@@ -147,19 +153,31 @@ class Network:
         _, _, p = self.pooled(rows, *(self.states(t, rows, s) for t, s in zip(tables, "fb", strict=True)))
         return p @ self.w["out"] + self.w["bias"][0]
 
-    def gradients(self, words, rows, count, label):
-        """Loss and gradients of a batch of texts; a text's logit is a smooth maximum over its windows."""
+    def gradients(self, words, rows, count, label, weight=1.0, least: float = 0.0):
+        """Loss and gradients of a batch of texts; a text's logit is a smooth maximum over its windows. least: of the windows' parts in
+        the gradient, the smallest, which make up this share of their sum, are not taken back through the network."""
         x, (word, gram, n_grams) = self.embed(words)
         tables, keep = [self.projected(x, s) for s in "fb"], {"f": [], "b": []}
-        h, a, p = self.pooled(rows, *(self.states(t, rows, s, keep[s]) for t, s in zip(tables, "fb", strict=True)))
-        win = p @ self.w["out"] + self.w["bias"][0]
+        if least:
+            win = np.concatenate([self.logits(tables, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
+        else:
+            h, a, p = self.pooled(rows, *(self.states(t, rows, s, keep[s]) for t, s in zip(tables, "fb", strict=True)))
+            win = p @ self.w["out"] + self.w["bias"][0]
         owner = np.repeat(np.arange(len(count)), count)
         top = np.maximum.reduceat(win, np.cumsum(count) - count)
         share = np.exp(2 * (win - top[owner]))
         share /= np.bincount(owner, share)[owner]
         logit = np.bincount(owner, share * win)
         prob = sigmoid(logit)
-        dwin = (share * ((prob - label) / len(label))[owner]).astype(np.float32)
+        dwin = (share * ((prob - label) * weight / len(label))[owner]).astype(np.float32)
+        used = np.ones(len(words), bool)
+        if least:
+            order = np.argsort(np.abs(dwin))
+            at = np.sort(order[np.cumsum(np.abs(dwin[order]), dtype=float) > least * np.abs(dwin).sum(dtype=float)])
+            rows, dwin = rows[at], dwin[at]
+            used[:] = False
+            used[rows[rows > 0] - 1] = True
+            h, a, p = self.pooled(rows, *(self.states(t, rows, s, keep[s]) for t, s in zip(tables, "fb", strict=True)))
         g = {k: np.zeros_like(v) for k, v in self.w.items() if k not in ("words", "grams")}
         g["out"], g["bias"] = p.T @ dwin, dwin.sum(keepdims=True)
         dp = dwin[:, None] * self.w["out"]
@@ -184,49 +202,90 @@ class Network:
             per = np.stack([np.bincount(at, flat[:, k], minlength=len(x) + 1) for k in range(3 * HIDDEN)], 1)[1:].astype(np.float32)
             g[f"{side}W"], g[f"{side}c"] = x.T @ per, per.sum(0)
             dx += per @ self.w[f"{side}W"].T
-        sparse = {"words": row_sums(word, dx[:, :WORD_DIM]), "grams": row_sums(gram, np.repeat(dx[:, WORD_DIM:] / np.sqrt(n_grams)[:, None].astype(np.float32), n_grams, axis=0))}
+        gram, word, n_grams, dx = gram[np.repeat(used, n_grams)], word[used], n_grams[used], dx[used]
+        sparse = {"words": row_sums(word, dx[:, :WORD_DIM]), "grams": row_sums(gram, np.repeat(dx[:, WORD_DIM:] / np.sqrt(n_grams)[:, None].astype(np.float32), n_grams, axis=0))} if len(word) else {}
         return float(-np.log(np.maximum(np.where(label == 1, prob, 1 - prob), 1e-7)).mean()), g, sparse
 
 
-def train(texts: list[list[str]], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """texts: words of each. A tenth is kept apart for the logistic scale."""
+class Adam:
+    """Steps of a network's weights."""
+
+    def __init__(self, net: Network):
+        self.net, self.n = net, 0
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
+
+    def step(self, grads: dict, sparse: dict, rate: float, decay: float) -> None:
+        self.n += 1
+        rate *= np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
+        for k, (touched, v) in [*((k, (..., v)) for k, v in grads.items()), *sparse.items()]:
+            m, q = self.one[k][touched], self.two[k][touched]
+            m += 0.1 * (v - m)
+            q += 0.001 * (v * v - q)
+            self.one[k][touched], self.two[k][touched] = m, q
+            self.net.w[k][touched] -= (rate * m / (np.sqrt(q) + 1e-8) + decay * self.net.w[k][touched]).astype(np.float32)
+
+
+def batch_rows(texts: list[list[str]], r: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, rows of windows, windows of each text); words are left out at random, so that rare ones are not learnt by heart."""
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number) + 1) for w in t], np.int32) for t in texts]
+    rows, count = window_rows(docs)
+    return list(number), np.where(r.random(rows.shape) < DROPPED, 0, rows), count
+
+
+def train(texts: list[list[str]], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, apart: np.ndarray | None = None) -> Network:
+    """texts: words of each. A tenth (or the rows named by `apart`) is kept apart for the logistic scale."""
     net, r = Network(seed), np.random.default_rng(seed)
-    apart = np.arange(len(texts)) % 10 == 9
+    apart = np.arange(len(texts)) % 10 == 9 if apart is None else apart
     learn = np.nonzero(~apart)[0]
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(learn)))
-    one = {k: np.zeros_like(v) for k, v in net.w.items()}
-    two, step = {k: np.zeros_like(v) for k, v in net.w.items()}, 0
+    adam = Adam(net)
     for epoch in range(epochs):
         for at in np.array_split(r.permutation(learn), max(1, len(learn) // BATCH)):
-            number: dict[str, int] = {}
-            docs = [np.array([number.setdefault(w, len(number) + 1) for w in texts[i]], np.int32) for i in at]
-            if not number:
+            if not any(texts[i] for i in at):
                 continue
-            rows, count = window_rows(docs)
-            rows = np.where(r.random(rows.shape) < DROPPED, 0, rows)  # words left out at random, so that rare words are not learnt by heart
-            _, grads, sparse = net.gradients(list(number), rows, count, label[at])
-            step += 1
-            rate = RATE * min(1, 2 * (1 - epoch / epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, (touched, v) in [*((k, (..., v)) for k, v in grads.items()), *sparse.items()]:
-                m, q = one[k][touched], two[k][touched]
-                m += 0.1 * (v - m)
-                q += 0.001 * (v * v - q)
-                one[k][touched], two[k][touched] = m, q
-                net.w[k][touched] -= (rate * m / (np.sqrt(q) + 1e-8) + DECAY * RATE * net.w[k][touched]).astype(np.float32)
+            words, rows, count = batch_rows([texts[i] for i in at], r)
+            _, grads, sparse = net.gradients(words, rows, count, label[at])
+            adam.step(grads, sparse, RATE * min(1, 2 * (1 - epoch / epochs)), DECAY * RATE)
     held = np.nonzero(apart)[0] if len({*label[apart]}) == 2 else np.arange(len(texts))
     z, y = Scorer(net).logits([texts[i] for i in held]), label[held]
-    a, b = 1.0, 0.0
-    for _ in range(200):  # logistic fit of the scale, by Newton steps with a prior at a = 1
+
+    def sums(a: float, b: float) -> tuple:
         q = sigmoid(a * z + b)
         v = q * (1 - q) + 1e-6
-        grad = np.array([((q - y) * z).sum() + 0.5 * (a - 1), (q - y).sum() + 0.05 * b])
-        hess = np.array([[(v * z * z).sum() + 0.5, (v * z).sum()], [(v * z).sum(), v.sum() + 0.05]])
-        da, db = np.linalg.solve(hess, grad)
-        a, b = float(np.clip(a - np.clip(da, -0.5, 0.5), 0.1, 5)), b - float(np.clip(db, -0.5, 0.5))
-    net.scale = a, b
+        return ((q - y) * z).sum(), (q - y).sum(), (v * z * z).sum(), (v * z).sum(), v.sum()
+
+    net.scale = logistic(sums)
     return net
 
 
+def trained_further(net: Network, texts: list[list[str]], label: np.ndarray, weight: np.ndarray, seed: int = SEED) -> Network:
+    """The network, taken once over the texts in their order, at a rate that falls to nothing."""
+    own, r = Network(seed), np.random.default_rng(seed)
+    own.w = {k: v.copy() for k, v in net.w.items()}
+    adam, steps = Adam(own), max(1, len(texts) // LATER_BATCH)
+    for i, at in enumerate(np.array_split(np.arange(len(texts)), steps)):
+        if any(texts[j] for j in at):
+            words, rows, count = batch_rows([texts[j] for j in at], r)
+            _, grads, sparse = own.gradients(words, rows, count, label[at], weight[at], NEGLIGIBLE)
+            adam.step(grads, sparse, LATER_RATE * (1 - i / steps), 0.0)
+    return own
+
+
+def logistic(sums, most: int = 200) -> tuple[float, float]:
+    """Logistic fit of the scale (a, b), by Newton steps with a prior at a = 1. sums(a, b): of the gradient by a and b, and of the second
+    derivatives by aa, ab and bb."""
+    a, b = 1.0, 0.0
+    for _ in range(most):
+        ga, gb, haa, hab, hbb = sums(a, b)
+        da, db = np.linalg.solve(np.array([[haa + 0.5, hab], [hab, hbb + 0.05]]), np.array([ga + 0.5 * (a - 1), gb + 0.05 * b]))
+        before = a, b
+        a, b = float(np.clip(a - np.clip(da, -0.5, 0.5), 0.1, 5)), b - float(np.clip(db, -0.5, 0.5))
+        if abs(a - before[0]) + abs(b - before[1]) < 1e-9:
+            break
+    return a, b
+
+
 class Scorer:
     """A network with the gate inputs of the words met so far (a bounded number)."""
 
@@ -266,39 +325,112 @@ def learnable(labels: DataFrame, target: str, id_col: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("y").cast("int").alias("y"), F.max("y").alias("top")).filter("y = top").drop("top")
 
 
+def from_all(net: Network, rows: DataFrame, weight: dict[int, float]) -> None:
+    """Takes the network over all rows (id, text, y, h), one text of an id. Groups of rows are trained apart from the same start; of a row
+    of the word and n-gram tables, the changes by those groups are averaged that met it, of the other weights those by all."""
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-n // GROUP), -(-(size or 0) // GROUP_BYTES))
+    tables = {k: net.w[k].shape for k in ("words", "grams")}
+    parts = [(k, at) for k, v in net.w.items() for at in range(0, len(v) if k in tables else 1, PART)]
+    schema = "part int, grp long, change binary, met binary"
+    kinds = pa.schema([("part", pa.int32()), ("grp", pa.int64()), ("change", pa.binary()), ("met", pa.binary())])
+
+    def learn(key: tuple, t: pa.Table) -> pa.Table:
+        texts: dict = {}
+        for i, text, y, h in zip(*(t.column(c).to_pylist() for c in ("id", "text", "y", "h")), strict=True):
+            texts[h, i] = (min((t for t in (text, texts.get((h, i), (None,))[0]) if t is not None), default=None), y)
+        got = [texts[k] for k in sorted(texts)]
+        own = trained_further(net, [words_of(x) for x, _ in got], np.array([y for _, y in got], float), np.array([weight[y] for _, y in got]))
+        out = []
+        for number, (k, at) in enumerate(parts):
+            d = own.w[k] - net.w[k]
+            d = d[at : at + PART] if k in tables else d
+            seen = (d != 0).any(1) if k in tables else np.ones(1)
+            out.append((number, key[0].as_py(), d.tobytes(), seen.astype(np.float32).tobytes()))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("before")
+        total = [pa.array([sum(np.frombuffer(v.as_buffer(), np.float32).astype(float) for v in t.column(c)).astype(np.float32).tobytes()], pa.binary()) for c in ("change", "met")]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), *total], schema=kinds)
+
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)))
+    found = common.written(dealt.repartition(4 * groups, "grp").groupBy("grp").applyInArrow(learn, schema), "learnt")  # a group is bounded
+    while groups > 1:
+        groups = -(-groups // FAN)
+        found = found.withColumnRenamed("grp", "before").withColumn("grp", F.floor(F.col("before") / FAN)).groupBy("part", "grp").applyInArrow(add, schema)  # FAN groups
+    for r in found.collect():  # the weights of one network
+        k, at = parts[r.part]
+        d, seen = np.frombuffer(r.change, np.float32), np.maximum(np.frombuffer(r.met, np.float32), 1)
+        if k in tables:
+            net.w[k][at : at + PART] += d.reshape(-1, tables[k][1]) / seen[:, None]
+        else:
+            net.w[k] += (d / seen).reshape(net.w[k].shape)
+
+
+def scaled(net: Network, rows: DataFrame) -> None:
+    """Sets the scale of the network by all rows (id, text, y) that were kept apart."""
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    net.scale = 1.0, 0.0
+    z, p = F.col("z"), F.col("p")
+    known = common.written(score(rows, net, "id", carry=("y",), raw=True).select("y", F.col("score").cast("double").alias("z")), "apart")
+    if known.select("y").distinct().count() < 2:
+        return
+
+    def sums(a: float, b: float) -> tuple:
+        q = known.select("y", "z", (0.5 * F.tanh(0.5 * (a * z + b)) + 0.5).alias("p"))
+        v = p * (1 - p) + 1e-6
+        return tuple(q.agg(F.sum((p - F.col("y")) * z), F.sum(p - F.col("y")), F.sum(v * z * z), F.sum(v * z), F.sum(v)).first())
+
+    net.scale = logistic(sums, 50)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", sample: int = SAMPLE) -> Network | float:
-    """A network, learnt from at most `sample` rows of each class; or the share of label 1 if a class has no row."""
+    """A network, learnt from all learnable rows, from a start of at most `sample` rows of each class; or the share of label 1 if a class
+    has no row."""
     known = learnable(labels, target, id_col)
-    order = F.xxhash64("id")
-    chosen = known.filter("y = 1").orderBy(order).limit(sample).union(known.filter("y = 0").orderBy(order).limit(sample))
-    rows = common.pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(chosen), "id")  # 2 * sample ids at most
-
-    got = sorted((r.id, r.text or "", r.y) for r in rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect())  # 2 * sample rows at most
-    label = np.array([y for _, _, y in got], np.float64)
-    if len({*label}) < 2:
-        return float(label.mean()) if len(label) else 0.0
-    order = np.random.default_rng(SEED).permutation(len(got))
-    net = train([words_of(got[i][1]) for i in order], label[order])
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    a, b = net.scale  # fitted on the sample; the shift gives the classes back their shares among all learnable rows
-    net.scale = a, b + float(np.log(share[1] / share[0]) - np.log(label.sum() / (len(label) - label.sum())))
+    known = known.withColumn("h", F.xxhash64("id"))
+    rows = common.pick(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(known) if sum(share.values()) <= BROADCAST_KEYS else known, "id")
+    rows = common.written(rows, "learnable")
+    ids = rows.select("id", "y", "h").distinct()
+    sizes = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
+    if len(sizes) < 2:
+        return float(max(sizes)) if sizes else 0.0
+    chosen = ids.filter("y = 1").orderBy("h", "id").limit(sample).union(ids.filter("y = 0").orderBy("h", "id").limit(sample))
+    found = rows.join(F.broadcast(chosen.select("id")), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"), F.min("h").alias("h"))
+    got = sorted((r.id, r.text or "", r.y, r.h) for r in found.collect())  # 2 * sample rows at most
+    label = np.array([y for _, _, y, _ in got], np.float64)
+    order = np.random.default_rng(SEED).permutation(len(got))
+    words = [words_of(got[i][1]) for i in order]
+    if max(sizes.values()) <= sample:
+        net = train(words, label[order])
+        a, b = net.scale
+        net.scale = a, b + float(np.log(share[1] / share[0]) - np.log(sizes[1] / sizes[0]))  # labelled ids without a document count in the shares
+        return net
+    apart = F.pmod("h", F.lit(10)) == 9
+    net = train(words, label[order], apart=np.array([got[i][3] % 10 == 9 for i in order]))
+    from_all(net, rows.filter(~apart), {y: sum(sizes.values()) / (2 * n) for y, n in sizes.items()})
+    scaled(net, rows.filter(apart))
+    a, b = net.scale
+    net.scale = a, b + float(np.log(share[1] / share[0]) - np.log(sizes[1] / sizes[0]))
     return net
 
 
-def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(<id_col>, *carry, score double) of every text; carry may hold the text column."""
+def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), raw: bool = False) -> DataFrame:
+    """(<id_col>, *carry, score double) of every text; carry may hold the text column. raw: logits without scale."""
     common.small_batches(docs.sparkSession)
     again = text_col in carry
     docs = common.pick(docs, text_col, id_col, *(c for c in carry if c != text_col))
     if isinstance(net, float):
         return docs.select(id_col, *carry, F.lit(net).alias("score"))
-    key = str(zlib.crc32(b"".join(v.tobytes() for v in net.w.values())))
+    key = str((zlib.crc32(b"".join(v.tobytes() for v in net.w.values())), net.scale))
 
     def run(batches):
         s = common.kept(("toxicity", key), lambda: Scorer(net))
         for b in common.slices(batches, text_col, 2 << 20):
-            found = s.scores([words_of(t) for t in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[1 - again :], pa.array(found)], [*b.schema.names[1 - again :], "score"])
+            found = (s.logits if raw else s.scores)([words_of(t) for t in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[1 - again :], pa.array(found, pa.float64())], [*b.schema.names[1 - again :], "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[1 - again :])
     return docs.mapInArrow(run, f"{kinds}, score double")
@@ -306,6 +438,8 @@ def score(docs: DataFrame, net: Network | float, id_col: str = "doc_id", text_co
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, common.table(spark, sf_dir, "labels")))
+    with common.scratch(spark):
+        net = fit(docs, common.table(spark, sf_dir, "labels"))
+    scored = score(docs, net)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

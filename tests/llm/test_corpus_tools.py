@@ -360,6 +360,21 @@ def test_toxicity_held_out(spark, docs):
     assert toxicity.fit(docs(data), labels.filter("toxic = 0")) == 0.0 and toxicity.fit(docs([]), labels.limit(0)) == 0.0
 
 
+def test_toxicity_learns_from_every_row(spark, docs, monkeypatch):
+    data, labels = toxic_rows(spark)
+    data = [(i, f"{t} {'grimblot ' * (2 * (i % 3 == 0))}") for i, t in data]
+    monkeypatch.setattr(toxicity, "GROUP", 20)
+    known = {r.id: r.h for r in toxicity.learnable(labels, "toxic", "doc_id").withColumn("h", F.xxhash64("id")).collect()}
+    start = {i for y in (True, False) for i in sorted((i for i in known if (i % 3 == 0) == y), key=known.get)[:20]}
+    other = [(i, t if i in start or i not in known else t.replace("grimblot", "")) for i, t in data]
+    found = []
+    for rows_, fan in ((data, 64), (data, 2), (other, 64)):
+        monkeypatch.setattr(toxicity, "FAN", fan)
+        found.append(toxicity.fit(docs(rows_), labels, sample=20))
+    assert all(np.allclose(v, found[1].w[k], atol=1e-5) for k, v in found[0].w.items())  # sums in a tree
+    assert any(not np.allclose(v, found[2].w[k], atol=1e-4) for k, v in found[0].w.items())  # rows beyond the start count
+
+
 def test_gradients_against_differences():
     net = toxicity.Network(1)
     words = ["aa", "bb", "cc", "dd"]
