@@ -14,6 +14,7 @@ from beatfold.operators.blocks import matrix
 from beatfold.sources.shared import settled
 
 BLOCK, QUERIES, PIVOTS = 4096, 1024, 256
+ASKED_BYTES = 4 << 20
 
 
 def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id", label: str = "cluster") -> DataFrame:
@@ -26,12 +27,13 @@ def knn_fit(profiles: DataFrame, labels: DataFrame, row_id: str = "patient_id",
 
 
 def _to_pivots(df: DataFrame, x: str, pivots: np.ndarray, schema: str, rows) -> DataFrame:
-    """mapInArrow over df: `rows` makes a batch's columns from it and its distances to the pivots."""
+    """mapInArrow over df: `rows` makes batches from QUERIES rows at most and their distances to the pivots."""
     at = df.columns.index(x)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for i in range(0, whole.num_rows, QUERIES):
+                b = whole.slice(i, QUERIES)
                 yield from rows(b, between(matrix(b.column(at)), pivots))
 
     return df.mapInArrow(run, schema)
@@ -69,8 +71,10 @@ def asked_blocks(queries: DataFrame, pivots: np.ndarray, cells: list, k: int, kn
             least = b.column(2).to_numpy()[:, None]
             first = ~first & (d - radius <= least * (1 + 1e-9) + 1e-12)
         q, c = np.nonzero(first)
-        take = pa.array(q)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at[c].astype(np.int32))], ["q", "x", "cell"])
+        some = max(1, ASKED_BYTES // (8 * pivots.shape[1]))  # a query's profile goes to up to PIVOTS cells
+        for i in range(0, len(q), some):
+            take = pa.array(q[i : i + some])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at[c[i : i + some]].astype(np.int32))], ["q", "x", "cell"])
 
     return _to_pivots(queries, "x", pivots, f"q {queries.schema['q'].dataType.simpleString()}, x array<double>, cell int", rows)
 

@@ -208,6 +208,31 @@ def test_neighbours_meet_few_cells(spark, monkeypatch):
     assert met.count() < 0.5 * len(cells) * asked.count()  # a second round of few cells
 
 
+def test_asked_cells_come_in_bounded_batches(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from beatfold.operators import knn as K
+
+    class Rows:  # what _to_pivots needs of a DataFrame; keeps the function that Spark would run
+        columns = ["q", "x"]
+        schema = {"q": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = np.random.default_rng(2)
+    x, pivots = r.normal(size=(3000, 64)), r.normal(size=(256, 64))
+    cells = [SimpleNamespace(cell=i, n=1, radius=1.0) for i in range(256)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(x.tolist())], ["q", "x"])
+    got = [*K.asked_blocks(Rows(), pivots, cells, 200)([batch])]
+    assert max(b.nbytes for b in got) < 6 << 20
+    pairs = sorted((q, c) for b in got for q, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
+    near = np.argsort(((x[:, None, :4] - pivots[None, :, :4]) ** 2).sum(2) + ((x[:, None, 4:] - pivots[None, :, 4:]) ** 2).sum(2), axis=1)[:, :200]
+    assert pairs == sorted((q, int(c)) for q in range(3000) for c in near[q])
+
+
 def test_sums_of_distances_do_not_depend_on_blocks(spark, monkeypatch):
     from pyspark.sql import functions as F
 
