@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ EPOCHS, BATCH, RATE, SEED, DECAY = 8, 32, 0.01, 7, 0.01
 LEAST_STEPS, DROPPED = 225, 0.3
 LATER_BATCH, LATER_RATE, NEGLIGIBLE = 128, 0.002, 1e-3
 KNOWN_WORDS = 250_000
+AT_ONCE = 1024
 BROADCAST_KEYS = 1_000_000
 PART = 4096
 CUTOFF = 0.7
@@ -45,32 +47,46 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the word table; rows of the n-gram table, those of a word together; and where each word's begin."""
-    chars = np.array(words, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS).astype(np.uint64)
+class Numbers(dict):
+    """Numbers of words from 1, given as they are met; `new` lists those met since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = len(self) + 1
+        return len(self)
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int32)
+        return np.split(flat, np.cumsum([len(t) for t in texts])[:-1])
+
+
+def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The order of the words by length, longest first, and in this order: rows of the word table; rows of the n-gram table, an array for
+    each place of an n-gram, which the first so many words have; and how many n-grams each word has."""
+    chars = np.array(words, dtype=f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS)
     size = (chars > 0).sum(1)
-    x = np.zeros((len(words), LETTERS + 2), np.uint64)
-    x[:, 1:-1] = chars
-    x[:, 0] = 2
-    x[np.arange(len(words)), size + 1] = 3
+    order = np.argsort(-size, kind="stable")
+    size = size[order]
+    x = np.zeros((LETTERS + 2, len(words)), np.uint64)
+    x[1:-1] = chars[order].T
+    x[0] = 2
+    x[size + 1, np.arange(len(words))] = 3
     mix = np.uint64(0x9E3779B97F4A7C15)
     whole = np.zeros(len(words), np.uint64)
-    for c in x.T:
+    for c in x:
         whole = (whole ^ c) * mix
-    rows, owners = [], []
+    grams = []
     for n in GRAMS:
-        h = np.full((len(words), LETTERS + 3 - n), n, np.uint64)
-        for k in range(n):
-            h = (h ^ x[:, k : k + h.shape[1]]) * mix
-            h ^= h >> np.uint64(29)
-        ok = np.arange(h.shape[1])[None] <= (size + 2 - n)[:, None]
-        ok[:, 0] |= n == GRAMS[0]
-        owner, _ = np.nonzero(ok)
-        rows.append((h[ok] >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
-        owners.append(owner)
-    rows, owners = np.concatenate(rows), np.concatenate(owners)
-    order = np.argsort(owners, kind="stable")
-    return (whole >> np.uint64(64 - WORD_BITS)).astype(np.int32), rows[order], np.searchsorted(owners[order], np.arange(len(words)))
+        for at in range(size[0] + 3 - n if len(size) else 0):
+            h = np.full(np.searchsorted(-size, 2 - n - at, "right"), n, np.uint64)
+            for c in x[at : at + n]:
+                h = (h ^ c[: len(h)]) * mix
+                h ^= h >> np.uint64(29)
+            grams.append((h >> np.uint64(64 - GRAM_BITS)).astype(np.intp))
+    return order, (whole >> np.uint64(64 - WORD_BITS)).astype(np.intp), grams, sum(np.maximum(size + 3 - n, 0) for n in GRAMS)
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -90,12 +106,10 @@ def window_rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < size[owner][:, None], flat[np.minimum(first[owner][:, None] + at, len(flat) - 1)], 0), count
 
 
-def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
-    begin = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
-    return at[begin], np.add.reduceat(values[order], begin)
+def row_sums(rows: np.ndarray, size: int, columns) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, of a table of this size, and the sum of the values of each; the values come column by column."""
+    touched = np.nonzero(np.bincount(rows, minlength=size))[0]
+    return touched, np.stack([np.bincount(rows, c, size)[touched] for c in columns], 1)
 
 
 def sigmoid(x):
@@ -115,54 +129,81 @@ class Network:
         self.scale = (1.0, 0.0)
 
     def embed(self, words: list[str]):
-        word, gram, begin = word_inputs(words)
-        count = np.diff(np.append(begin, len(gram)))
-        chars = np.add.reduceat(self.w["grams"][gram], begin) / np.sqrt(count)[:, None].astype(np.float32)
-        return np.hstack([self.w["words"][word], chars]), (word, gram, count)
-
-    def projected(self, x: np.ndarray, side: str) -> np.ndarray:
-        """Gate inputs of each word; row 0 is the end of a text, where the update gate keeps the state."""
-        end = np.zeros((1, 3 * HIDDEN), np.float32)
-        end[0, :HIDDEN] = 30
-        return np.vstack([end, x @ self.w[f"{side}W"] + self.w[f"{side}c"]])
-
-    def states(self, table: np.ndarray, rows: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """(WINDOW, windows, HIDDEN) states; keep gets what the way back needs."""
-        u, n = self.w[f"{side}U"], len(rows)
-        h, out = np.zeros((n, HIDDEN), np.float32), np.empty((WINDOW, n, HIDDEN), np.float32)
-        for t in range(WINDOW) if side == "f" else reversed(range(WINDOW)):
-            g, hu = table[rows[:, t]], h @ u
-            zr = sigmoid(g[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
-            z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-            c = np.tanh(g[:, 2 * HIDDEN :] + r * un)
+        order, word, grams, count = inputs = word_inputs(words)
+        chars = np.zeros((len(words), GRAM_DIM), np.float32)
+        for rows in grams:
+            chars[: len(rows)] += self.w["grams"].take(rows, 0)
+        x = np.empty((len(words), WORD_DIM + GRAM_DIM), np.float32)
+        x[order] = np.hstack([self.w["words"][word], chars / np.sqrt(count)[:, None].astype(np.float32)])
+        return x, inputs
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """(3 gates, 2 directions, words + 1, HIDDEN) inputs of each word to the update and reset gates (with the sign that exp takes
+        in a sigmoid) and to the candidate; row 0 is the end of a text, where the update gate keeps the state."""
+        out = np.zeros((3, 2, len(x) + 1, HIDDEN), np.float32)
+        out[0, :, 0] = 30
+        for i, side in enumerate("fb"):
+            out[:, i, 1:] = (x @ self.w[f"{side}W"] + self.w[f"{side}c"]).reshape(len(x), 3, HIDDEN).swapaxes(0, 1)
+        out[:2] *= -1
+        return out
+
+    def inner(self) -> np.ndarray:
+        """(3 gates, 2 directions, HIDDEN, HIDDEN) weights between states."""
+        return np.ascontiguousarray(np.stack([self.w[f"{side}U"].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1) for side in "fb"], 1))
+
+    @np.errstate(over="ignore")  # where exp is infinite the gate is 0
+    def states(self, table: np.ndarray, rows: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """(WINDOW + 1, 2, windows, HIDDEN) states before the first step and after each one; the second direction begins at the last word.
+        keep gets what the way back needs."""
+        n, size = len(rows), table.shape[2]
+        at = np.stack([rows.T, rows.T[::-1] + size], 1).astype(np.intp)
+        gates, flat = 2 * size * np.arange(3)[:, None, None], table.reshape(-1, HIDDEN)
+        u = self.inner()
+        u[:2] *= -1
+        out = np.zeros((WINDOW + 1, 2, n, HIDDEN), np.float32)
+        g, hu, zr, c = (np.empty((*k, 2, n, HIDDEN), np.float32) for k in ((3,), (3,), (2,), ()))
+        for t in range(WINDOW):
+            h = out[t]
+            flat.take(at[t] + gates, 0, g, "clip")
+            np.matmul(h, u, hu)
+            np.add(g[:2], hu[:2], zr)
+            np.exp(zr, zr)
+            zr += 1
+            np.reciprocal(zr, zr)
+            np.multiply(zr[1], hu[2], c)
+            c += g[2]
+            np.tanh(c, c)
             if keep is not None:
-                keep.append((t, h, z, r, c, un))
-            h = c + z * (h - c)
-            out[t] = h
+                keep.append((zr.copy(), c.copy(), hu[2].copy()))
+            np.subtract(h, c, out[t + 1])
+            out[t + 1] *= zr[0]
+            out[t + 1] += c
         return out
 
-    def pooled(self, rows, forward, backward):
-        h = np.concatenate([forward, backward], 2)
-        e = h @ self.w["attend"]
-        e[(rows == 0).T] = -1e4
+    def pooled(self, rows: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(WINDOW, windows) attention to each word, and what its states add to the logit; and the windows' logits."""
+        both = np.stack([self.w["attend"].reshape(2, HIDDEN), self.w["out"].reshape(2, HIDDEN)], 2)
+        e, o = np.moveaxis(states[1:, 0] @ both[0] + (states[1:, 1] @ both[1])[::-1], 2, 0)
+        e = np.where((rows == 0).T, np.float32(-1e4), e)
         a = np.exp(e - e.max(0))
         a /= a.sum(0)
-        return h, a, (a[:, :, None] * h).sum(0)
+        return a, o, (a * o).sum(0) + self.w["bias"][0]
 
-    def logits(self, tables, rows) -> np.ndarray:
-        _, _, p = self.pooled(rows, *(self.states(t, rows, s) for t, s in zip(tables, "fb", strict=True)))
-        return p @ self.w["out"] + self.w["bias"][0]
+    def logits(self, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Of every window; so many at once that the arrays of a step stay in a processor's cache."""
+        parts = (rows[i : i + AT_ONCE] for i in range(0, len(rows), AT_ONCE))
+        return np.concatenate([self.pooled(part, self.states(table, part))[2] for part in parts])
 
     def gradients(self, words, rows, count, label, weight=1.0, least: float = 0.0):
         """Loss and gradients of a batch of texts; a text's logit is a smooth maximum over its windows. least: of the windows' parts in
         the gradient, the smallest, which make up this share of their sum, are not taken back through the network."""
-        x, (word, gram, n_grams) = self.embed(words)
-        tables, keep = [self.projected(x, s) for s in "fb"], {"f": [], "b": []}
+        x, (order, word, grams, n_grams) = self.embed(words)
+        table, keep = self.projected(x), []
         if least:
-            win = np.concatenate([self.logits(tables, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
+            win = self.logits(table, rows)
         else:
-            h, a, p = self.pooled(rows, *(self.states(t, rows, s, keep[s]) for t, s in zip(tables, "fb", strict=True)))
-            win = p @ self.w["out"] + self.w["bias"][0]
+            h = self.states(table, rows, keep)
+            a, o, win = self.pooled(rows, h)
         owner = np.repeat(np.arange(len(count)), count)
         top = np.maximum.reduceat(win, np.cumsum(count) - count)
         share = np.exp(2 * (win - top[owner]))
@@ -172,38 +213,50 @@ class Network:
         dwin = (share * ((prob - label) * weight / len(label))[owner]).astype(np.float32)
         used = np.ones(len(words), bool)
         if least:
-            order = np.argsort(np.abs(dwin))
-            at = np.sort(order[np.cumsum(np.abs(dwin[order]), dtype=float) > least * np.abs(dwin).sum(dtype=float)])
+            small = np.argsort(np.abs(dwin))
+            at = np.sort(small[np.cumsum(np.abs(dwin[small]), dtype=float) > least * np.abs(dwin).sum(dtype=float)])
             rows, dwin = rows[at], dwin[at]
             used[:] = False
             used[rows[rows > 0] - 1] = True
-            h, a, p = self.pooled(rows, *(self.states(t, rows, s, keep[s]) for t, s in zip(tables, "fb", strict=True)))
-        g = {k: np.zeros_like(v) for k, v in self.w.items() if k not in ("words", "grams")}
-        g["out"], g["bias"] = p.T @ dwin, dwin.sum(keepdims=True)
-        dp = dwin[:, None] * self.w["out"]
-        da = (h * dp).sum(2)
-        de = a * (da - (a * da).sum(0))
-        g["attend"] = np.einsum("tn,tnd->d", de, h)
-        dh = a[:, :, None] * dp + de[:, :, None] * self.w["attend"]
+            h = self.states(table, rows, keep)
+            a, o, _ = self.pooled(rows, h)
+        part = a * dwin
+        de = part * o
+        de -= a * de.sum(0)
+        ways = [(part, de), (part[::-1], de[::-1])]
+        g = {"bias": dwin.sum(keepdims=True)}
+        for k, name in enumerate(("out", "attend")):
+            g[name] = np.concatenate([h[1:, i].reshape(-1, HIDDEN).T @ way[k].reshape(-1) for i, way in enumerate(ways)])
+        both = np.stack([self.w["out"].reshape(2, HIDDEN), self.w["attend"].reshape(2, HIDDEN)], 1)
+        dh = np.stack([np.stack(way, 2) @ both[i] for i, way in enumerate(ways)], 1)
+        u, back = self.inner(), np.zeros((2, len(rows), HIDDEN), np.float32)
+        du, ut = np.zeros_like(u), np.ascontiguousarray(u.swapaxes(2, 3))
+        gates = np.empty((WINDOW, 3, 2, len(rows), HIDDEN), np.float32)
+        for t in reversed(range(WINDOW)):
+            (z, r), c, un = keep.pop()
+            d = dh[t]
+            d += back
+            to = gates[t]
+            to[2] = d * (1 - z) * (1 - c * c)
+            to[0] = d * (h[t] - c) * z * (1 - z)
+            to[1] = to[2] * un * r * (1 - r)
+            inner = np.stack([to[0], to[1], to[2] * r])
+            du += h[t].swapaxes(1, 2) @ inner
+            back = d * z + (inner @ ut).sum(0)
         dx = np.zeros_like(x)
-        for side, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
-            u, back = self.w[f"{side}U"], np.zeros((len(rows), HIDDEN), np.float32)
-            gates = np.empty((WINDOW, len(rows), 3 * HIDDEN), np.float32)
-            for t, before, z, r, c, un in reversed(keep[side]):
-                d = dh[t][:, part] + back
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (before - c) * z * (1 - z)
-                dr = dc * un * r * (1 - r)
-                gates[t] = np.hstack([dz, dr, dc])
-                inner = np.hstack([dz, dr, dc * r])
-                g[f"{side}U"] += before.T @ inner
-                back = d * z + inner @ u.T
-            flat, at = gates.reshape(-1, 3 * HIDDEN), rows.T.reshape(-1)
-            per = np.stack([np.bincount(at, flat[:, k], minlength=len(x) + 1) for k in range(3 * HIDDEN)], 1)[1:].astype(np.float32)
+        for i, side in enumerate("fb"):
+            at = (rows.T[::-1] if i else rows.T).reshape(-1)
+            columns = gates[:, :, i].transpose(1, 3, 0, 2).reshape(3 * HIDDEN, -1)
+            per = np.stack([np.bincount(at, v, len(x) + 1) for v in columns], 1)[1:].astype(np.float32)
+            g[f"{side}U"] = du[:, i].swapaxes(0, 1).reshape(HIDDEN, 3 * HIDDEN)
             g[f"{side}W"], g[f"{side}c"] = x.T @ per, per.sum(0)
             dx += per @ self.w[f"{side}W"].T
-        gram, word, n_grams, dx = gram[np.repeat(used, n_grams)], word[used], n_grams[used], dx[used]
-        sparse = {"words": row_sums(word, dx[:, :WORD_DIM]), "grams": row_sums(gram, np.repeat(dx[:, WORD_DIM:] / np.sqrt(n_grams)[:, None].astype(np.float32), n_grams, axis=0))} if len(word) else {}
+        dx, used, sparse = dx[order], used[order], {}
+        if used.any():
+            sparse["words"] = row_sums(word[used], 1 << WORD_BITS, dx[used, :WORD_DIM].T)
+            gram, owner = np.concatenate(grams), np.concatenate([np.arange(len(v)) for v in grams])
+            gram, owner = gram[used[owner]], owner[used[owner]]
+            sparse["grams"] = row_sums(gram, 1 << GRAM_BITS, (v[owner] for v in (dx[:, WORD_DIM:] / np.sqrt(n_grams)[:, None]).T.copy()))
         return float(-np.log(np.maximum(np.where(label == 1, prob, 1 - prob), 1e-7)).mean()), g, sparse
 
 
@@ -227,10 +280,9 @@ class Adam:
 
 def batch_rows(texts: list[list[str]], r: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, rows of windows, windows of each text); words are left out at random, so that rare ones are not learnt by heart."""
-    number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number) + 1) for w in t], np.int32) for t in texts]
-    rows, count = window_rows(docs)
-    return list(number), np.where(r.random(rows.shape) < DROPPED, 0, rows), count
+    number = Numbers()
+    rows, count = window_rows(number.of(texts))
+    return number.new, np.where(r.random(rows.shape) < DROPPED, 0, rows), count
 
 
 def train(texts: list[list[str]], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, apart: np.ndarray | None = None) -> Network:
@@ -294,24 +346,22 @@ class Scorer:
         self.reset()
 
     def reset(self):
-        self.number: dict[str, int] = {}
-        self.tables = [self.net.projected(np.zeros((0, WORD_DIM + GRAM_DIM), np.float32), s) for s in "fb"]
+        self.number = Numbers()
+        self.table = self.net.projected(np.zeros((0, WORD_DIM + GRAM_DIM), np.float32))
 
     def learn(self, words: list[str]) -> None:
         if words:
             x = np.vstack([self.net.embed(words[i : i + 8192])[0] for i in range(0, len(words), 8192)])
-            self.tables = [np.vstack([t, self.net.projected(x, s)[1:]]) for t, s in zip(self.tables, "fb", strict=True)]
+            self.table = np.concatenate([self.table, self.net.projected(x)[:, :, 1:]], 2)
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """Each text's highest window logit."""
         if len(self.number) > KNOWN_WORDS:
             self.reset()
-        new = [*{w: None for t in texts for w in t if w not in self.number}]
-        self.number.update(zip(new, range(len(self.number) + 1, len(self.number) + 1 + len(new)), strict=True))
-        self.learn(new)
-        rows, count = window_rows([np.array([*map(self.number.__getitem__, t)], np.int32) for t in texts])
-        found = np.concatenate([self.net.logits(self.tables, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
-        return np.maximum.reduceat(found, np.cumsum(count) - count)
+        rows, count = window_rows(self.number.of(texts))
+        self.learn(self.number.new)
+        self.number.new = []
+        return np.maximum.reduceat(self.net.logits(self.table, rows), np.cumsum(count) - count)
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         a, b = self.net.scale

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -392,6 +393,44 @@ def test_gradients_against_differences():
         assert g[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-2, abs=2e-3)
 
 
+def test_table_gradients_against_differences():
+    net = toxicity.Network(2)
+    words = ["a", "bb", "c" * 32, "über", "anna"]
+    rows_, count = toxicity.window_rows([np.array([1, 2, 3, 2]), np.array([4, 1]), np.array([5])])
+    label = np.array([1.0, 0.0, 1.0])
+    _, g, sparse = net.gradients(words, rows_, count, label)
+    _, g_least, sparse_least = net.gradients(words, rows_, count, label, least=1e-12)
+    assert all(np.allclose(v, g_least[k], atol=1e-5) for k, v in g.items())
+    for name, (touched, values) in sparse.items():
+        assert np.array_equal(touched, sparse_least[name][0]) and np.allclose(values, sparse_least[name][1], atol=1e-5)
+        assert len(values) == len(touched) == len({*touched}) and values.shape[1] == net.w[name].shape[1]
+        at = np.unravel_index(np.abs(values).argmax(), values.shape)
+        cell, loss = (touched[at[0]], at[1]), []
+        keep = net.w[name][cell]
+        for e in (1e-2, -1e-2):
+            net.w[name][cell] = keep + e
+            loss.append(net.gradients(words, rows_, count, label)[0])
+        net.w[name][cell] = keep
+        assert values[at] == pytest.approx((loss[0] - loss[1]) / 2e-2, abs=2e-3, rel=0.05)
+
+
+def test_embedding_of_new_words_costs_little():
+    """In CPU seconds, against those of taking as many rows of the n-gram table."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 12))) for _ in range(8192)]
+    net, at = toxicity.Network(1), np.random.default_rng(1).integers(0, 1 << toxicity.GRAM_BITS, 25 * len(words))
+
+    def spent(f):
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert spent(lambda: net.embed(words)) < 15 * spent(lambda: net.w["grams"].take(at, 0))
+
+
 def test_windows_hold_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         r, count = toxicity.window_rows([np.arange(1, n + 1)])
