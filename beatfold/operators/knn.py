@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from beatfold.functions.linkage import between
 from beatfold.functions.scalars import phenotype_name
-from beatfold.operators.blocks import matrix
+from beatfold.operators.blocks import matrix, met, packed
 from beatfold.sources.shared import settled
 
 BLOCK, QUERIES, PIVOTS = 4096, 1024, 256
+MEETING = 512
 ASKED_BYTES = 4 << 20
 
 
@@ -132,6 +133,71 @@ def knn_neighbors(queries: DataFrame, model: DataFrame, k: int = 5, query_id: st
     return best(part, most).select("query_id", "rank", "train_id", "label", "distance")
 
 
+class _Nearest:
+    """A block's rows and the k nearest others that each has met so far."""
+
+    def __init__(self, rows: pa.Array):
+        self.ids, self.labels, self.x = rows.field("p"), rows.field("l"), matrix(rows.field("x"))
+        self.names = self.ids.to_numpy(zero_copy_only=False)
+        self.bound = np.full(len(self.x), np.inf)
+        self.found: list = []  # of each row, at most k: (row, distance, other's name), and where the other stands
+
+    def meet(self, other: _Nearest, rough: np.ndarray, k: int) -> None:
+        """rough: squared distances, with rounding; those that may be among the k least are taken again from the differences."""
+        most = self.bound**2
+        if np.isinf(most).any() and len(other.x) > k:
+            most = np.minimum(most, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        row, at = np.nonzero((rough <= (most * (1 + 1e-6) + 1e-12)[:, None]) & (rough < np.inf))
+        if not len(row):
+            return
+        d = np.sqrt(((self.x[row] - other.x[at]) ** 2).sum(1))
+        self.found.append((row, d, other.names[at], other.ids.take(pa.array(at)), other.labels.take(pa.array(at))))
+        row, d, name = (np.concatenate([f[c] for f in self.found]) for c in range(3))
+        ids, labels = (pa.concat_arrays([f[c] for f in self.found]) for c in (3, 4))
+        order = np.lexsort((name, d, row))
+        first = np.searchsorted(row[order], np.arange(len(self.x)))
+        order = order[np.arange(len(row)) - first[row[order]] < k]
+        self.found = [(row[order], d[order], name[order], ids.take(pa.array(order)), labels.take(pa.array(order)))]
+        count = np.bincount(row[order], minlength=len(self.x))
+        full = count == k
+        self.bound[full] = d[order][np.cumsum(count)[full] - 1]
+
+
+def knn_among(model: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, train_id, label, distance): of every row (train_id, label, profile), its k nearest others by Euclidean distance,
+    ties by train_id; ids are distinct.
+
+    All rows ask all rows, so blocks of them meet in a grid of tasks, each pair of blocks as one numpy product for both sides; a task
+    keeps k rows for each of its own.
+    """
+    n = model.count()
+    if n <= k:
+        raise ValueError(f"{n} rows, so that none has k = {k} others")
+    kind = {c: model.schema[c].dataType.simpleString() for c in ("train_id", "label")}
+    count = -(-n // MEETING)
+    rows = model.select(F.lit(0).alias("g"), F.col("train_id").alias("p"), F.col("label").alias("l"), F.col("profile").cast("array<double>").alias("x"))
+    blocks = settled(packed(rows, F.pmod(F.xxhash64("p"), F.lit(count)), "p", "l", "x"))
+
+    def run(pairs):
+        held: dict = {}
+        for _, i, j, a, b in pairs:
+            held |= {i: a, j: b}
+            d = between(a.x, b.x, squared=True)
+            if i == j:
+                np.fill_diagonal(d, np.inf)
+            a.meet(b, d, k)
+            if i != j:
+                b.meet(a, np.ascontiguousarray(d.T), k)
+        for a in held.values():
+            for row, d, _, ids, labels in a.found:
+                yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(row)), ids, labels, pa.array(d)], ["query_id", "train_id", "label", "distance"])
+
+    near = met(blocks, _Nearest, run, f"query_id {kind['train_id']}, train_id {kind['train_id']}, label {kind['label']}, distance double", count)
+    w = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return near.select("query_id", "rank", "train_id", "label", "distance")
+
+
 def knn_proba(neighbors: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, label, proba) for every class (rows `label`, few): its share of the k votes."""
     votes = neighbors.groupBy("query_id", "label").agg(F.count("*").alias("votes"))

@@ -36,10 +36,13 @@ def _two(s, d):
     return V.profiles(s, d).select("label", (F.col("vec_id") % 10).cast("int").alias("other"), (F.col("vec_id") % 3).cast("int").alias("rep"))
 
 
+def _model(s, d):
+    return V.profiles(s, d).select(F.col("vec_id").alias("train_id"), "label", "profile")
+
+
 def _near(s, d):
-    p = V.profiles(s, d)
-    model = p.select(F.col("vec_id").alias("train_id"), "label", "profile")
-    return K.knn_neighbors(p.filter("vec_id % 100 = 0"), model, K_NEAR, "vec_id", leave_own=True), model
+    model = _model(s, d)
+    return K.knn_neighbors(V.profiles(s, d).filter("vec_id % 100 = 0"), model, K_NEAR, "vec_id", leave_own=True), model
 
 
 def silhouette_band(s, d):
@@ -151,7 +154,7 @@ QUERIES = {
     "temporal_distribution": temporal_distribution,
     "order_by_cluster": lambda s, d: C.order_by_cluster(_points(s, d), patient="point").select("cluster", "point"),
     "knn_neighbors": lambda s, d: _r(_near(s, d)[0], "distance"),
-    "knn_predict": lambda s, d: K.knn_predict(_near(s, d)[0], K_NEAR),
+    "knn_predict": lambda s, d: K.knn_predict(K.knn_among(_model(s, d), K_NEAR), K_NEAR),
     "knn_proba": knn_proba,
     "knn_confidence": lambda s, d: _r(K.knn_with_confidence(_near(s, d)[0], K_NEAR), "confidence"),
     "prediction_summary": prediction_summary,
@@ -190,6 +193,7 @@ _JAC = "j AS (SELECT rep, a, max(CAST(n AS DOUBLE) / (na + nb - n)) AS jaccard F
 _NEAR = f"""nn AS (SELECT * FROM (SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST.format(a="q.profile", b="t.profile")}, t.vec_id) AS INTEGER) AS rank, t.vec_id AS train_id, t.label, {_DIST.format(a="q.profile", b="t.profile")} AS distance FROM v_profiles q JOIN v_profiles t ON q.vec_id % 100 = 0 AND t.vec_id <> q.vec_id) WHERE rank <= {K_NEAR}),
   vt AS (SELECT query_id, label, count(*) AS votes FROM nn GROUP BY ALL),
   kp AS (SELECT query_id, label AS chronophenotype, votes / CAST({K_NEAR} AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM vt) WHERE r = 1)"""
+_NEAR_EVERY = _NEAR.replace("q.vec_id % 100 = 0 AND ", "")
 _NAME = "CASE {c} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items()) + " ELSE 'Cluster ' || CAST({c} AS STRING) END"
 
 
@@ -214,7 +218,7 @@ ORACLES = {
     "temporal_distribution": duck(f"WITH {_FILLED}, c AS (SELECT *, CAST(patient_id % 4 AS INTEGER) AS cluster FROM p) SELECT cluster, time_bin, round(avg(burden), 6) AS mean_burden, max(np) AS n_patients FROM c JOIN (SELECT cluster, count(DISTINCT patient_id) AS np FROM c GROUP BY 1) USING (cluster) GROUP BY ALL", W),
     "order_by_cluster": duck("SELECT label AS cluster, vec_id AS point FROM v_profiles ORDER BY 1, 2", P),
     "knn_neighbors": duck(f"WITH {_NEAR} SELECT query_id, rank, train_id, label, round(distance, 6) AS distance FROM nn", P),
-    "knn_predict": duck(f"WITH {_NEAR} SELECT query_id, chronophenotype FROM kp", P),
+    "knn_predict": duck(f"WITH {_NEAR_EVERY} SELECT query_id, chronophenotype FROM kp", P),
     "knn_proba": duck(f"WITH {_NEAR} SELECT q.query_id, l.label, round(coalesce(votes, 0) / CAST({K_NEAR} AS DOUBLE), 6) AS proba FROM (SELECT DISTINCT query_id FROM nn) q CROSS JOIN (SELECT DISTINCT label FROM v_profiles) l LEFT JOIN vt ON vt.query_id = q.query_id AND vt.label = l.label", P),
     "knn_confidence": duck(f"WITH {_NEAR} SELECT query_id, chronophenotype, round(confidence, 6) AS confidence FROM kp", P),
     "prediction_summary": duck(f"WITH {_NEAR} SELECT chronophenotype, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, {_NAME.format(c='chronophenotype')} AS name FROM kp GROUP BY 1", P),
