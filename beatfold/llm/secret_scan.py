@@ -1,26 +1,24 @@
 """Secrets in texts: fixed patterns, and formats learnt by grammar inference.
 
-The base patterns label credentials in the corpus. From a bounded sample of them (LABELLED distinct values of each kind, the least
-by hash over the whole corpus) and of other long runs, prefix trees over character classes are built, and states whose counts are
-statistically compatible (Hoeffding bounds, tested down the tree) are merged into probabilistic automata: one for each kind and one
-for ordinary runs. Every run of CANDIDATE letters, and every part of LEAST letters and more that base spans leave of one, is scored by
-its log likelihood under the best credential automaton against the ordinary one (learnt from runs that no base span touches); those above a threshold set from the ordinary sample are added as `grammar` spans.
+The base patterns label credentials in the corpus. All distinct values of each kind, and all other long runs, are counted in prefix
+trees over character classes; the driver takes of each tree the NODES prefixes that most values share, with the counts of what follows,
+and states whose counts are statistically compatible (Hoeffding bounds, tested down the tree) are merged into probabilistic automata: one
+for each kind and one for ordinary runs. Where a tree has more prefixes, all its values are then counted along the states to their ends.
+Every run of CANDIDATE letters, and every part of LEAST letters and more that base spans leave of one, is scored by
+its log likelihood under the best credential automaton against the ordinary one (learnt from runs that no base span touches); those above a threshold set from all ordinary runs are added as `grammar` spans.
 Base spans always stay. Spans count code points; ends are exclusive.
 
-Nulls: a null text counts as empty (no spans); a null id stays. Repeated rows get equal spans. Very long runs are scored whole (for
-learning, values over LONGEST letters are passed over). Equal starts are ordered by kind. A corpus without credentials or without
+Nulls: a null text counts as empty (no spans); a null id stays. Repeated rows get equal spans. Very long runs are learnt from and scored whole. Equal starts are ordered by kind. A corpus without credentials or without
 other runs adds no spans. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +32,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 LEAST, JOINTS = 12, "+/_.=-"
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "grammar")
-LABELLED, ORDINARY, LONGEST = 1000, 4000, 1024
-ALPHA, MARGIN = 0.05, 20.0
+ALPHA, MARGIN, RARE = 0.05, 20.0, 0.9995
+NODES, HELD = 50_000, 200_000
+BINS, FEW = 1024, 10_000
 KNOWN = 200_000
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 _CLASS = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "L" for c in "GHIJKLMNOPQRSTUVWXYZ"}})
@@ -83,7 +82,9 @@ def other_runs(text: str, base: list, whole: bool = False) -> list[tuple[int, in
 class Automaton:
     """Probabilistic automaton by state merging: a prefix tree with counts, whose compatible states become one."""
 
-    def __init__(self, values: list[str], alpha: float = ALPHA):
+    def __init__(self, values: list[str] = (), alpha: float = ALPHA, tree: list[tuple] = ()):
+        """values: strings, each counted once; or tree: (total, ends, counts of the classes that follow, parent's place, class) of the nodes,
+        the root first, each after its parent (what follows need not be a node)."""
         self.slack = math.sqrt(0.5 * math.log(2 / alpha))
         self.total, self.ends, self.next, self.uses = [0], [0], [{}], [{}]
         for v in values:
@@ -100,12 +101,41 @@ class Automaton:
                 at = self.next[at][c]
             self.total[at] += 1
             self.ends[at] += 1
+        if tree:
+            self.total, self.ends, self.uses = ([x[k] for x in tree] for k in range(3))
+            self.next = [{} for _ in tree]
+            for place, (*_, parent, c) in enumerate(tree[1:], 1):
+                self.next[parent][c] = place
         self._merge()
+        self._weigh()
+
+    def _weigh(self) -> None:
         k = len(SYMBOLS) + 1
         self.cost = [{c: math.log((n + 0.1) / (t + 0.1 * k)) for c, n in u.items()} for u, t in zip(self.uses, self.total, strict=True)]
         self.stop = [math.log((e + 0.1) / (t + 0.1 * k)) for e, t in zip(self.ends, self.total, strict=True)]
         self.miss = [math.log(0.1 / (t + 0.1 * k)) for t in self.total]
 
+    def counted(self, classes: str, n: int, found: dict) -> None:
+        """Adds a string's n ways along the states to found: (state, class), or (state, "") for its end. What no state leads on to
+        begins again at the first one, as in score."""
+        at = 0
+        for c in classes:
+            found[at, c] = found.get((at, c), 0) + n
+            at = self.next[at].get(c, 0)
+        found[at, ""] = found.get((at, ""), 0) + n
+
+    def recounted(self, found: dict) -> None:
+        """Sets the counts of the states to those of `counted`."""
+        self.total, self.ends, self.uses = [0] * len(self.total), [0] * len(self.ends), [{} for _ in self.uses]
+        for (at, c), n in sorted(found.items()):
+            self.total[at] += n
+            if c:
+                self.uses[at][c] = n
+                self.next[at].setdefault(c, 0)
+            else:
+                self.ends[at] = n
+        self._weigh()
+
     def _near(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) < self.slack * (n1**-0.5 + n2**-0.5)
 
@@ -133,9 +163,9 @@ class Automaton:
             self.ends[a] += self.ends[b]
             for c, n in self.uses[b].items():
                 self.uses[a][c] = self.uses[a].get(c, 0) + n
-                if c in self.next[a]:
+                if c in self.next[a] and c in self.next[b]:
                     todo.append((self.next[a][c], self.next[b][c]))
-                else:
+                elif c in self.next[b]:
                     self.next[a][c] = self.next[b][c]
 
     def _merge(self) -> None:
@@ -166,16 +196,12 @@ class Automaton:
 
 
 class Grammar:
-    """Automata of the credential kinds and of ordinary runs."""
+    """Automata of the credential kinds and of ordinary runs, and the threshold."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = [Automaton(v) for _, v in sorted(labelled.items()) if v]
-        self.ordinary = Automaton(ordinary) if ordinary else None
+    def __init__(self, kinds: list[Automaton], ordinary: Automaton | None):
+        self.kinds, self.ordinary = kinds, ordinary
         self.known: dict[str, float] = {}
         self.threshold = math.inf
-        if self.kinds and self.ordinary:
-            own = sorted(self.ratio(v) for v in ordinary)
-            self.threshold = max(MARGIN, own[int(0.9995 * (len(own) - 1))] + 2)
 
     def ratio(self, value: str) -> float:
         """Log likelihood ratio of the best credential format against ordinary runs."""
@@ -196,37 +222,119 @@ class Grammar:
         return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, ordinary: int = ORDINARY) -> Grammar:
-    """Grammar of the corpus's credentials; every text is read, the sample is bounded."""
-    common.small_batches(docs.sparkSession)
-    docs = common.pick(docs, text_col)
+def _values(batches):
+    """(kind, value) of the credentials, and as kind grammar of the runs that no base span touches; repeats within a task are few."""
+    rows = lambda held: pa.RecordBatch.from_arrays([pa.array([x[c] for x in held], pa.string()) for c in (0, 1)], ["kind", "value"])
+    held: set = set()
+    for b in common.slices(batches, "text"):
+        for text in b.column(0).to_pylist():
+            if text:
+                base = base_spans(text)
+                held.update((x[0], x[3]) for x in base)
+                held.update(("grammar", x[2]) for x in other_runs(text, base, whole=True))
+            if len(held) > HELD:
+                yield rows(held)
+                held = set()
+    if held:
+        yield rows(held)
+
+
+def _prefixes(batches):
+    """(kind, node, parent, class, depth, total, ends) of strings (kind, classes, n): their prefixes, named by 63 bits of a polynomial."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    rows = lambda held: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*k, *v) for k, v in held.items()), strict=True), types, strict=True)], ["kind", "node", "parent", "class", "depth", "total", "ends"])
+    held: dict = {}
+    for b in batches:
+        for kind, classes, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            key = (kind, 0, 0, "", 0)
+            for depth, c in enumerate(classes, 1):
+                held.setdefault(key, [0, 0])[0] += n
+                key = (kind, ((key[1] + ord(c)) * 0x5851F42D4C957F2D + 0x14057B7EF767814F) & ((1 << 63) - 1), key[1], c, depth)
+                if len(held) > HELD:
+                    yield rows(held)
+                    held = {}
+            at = held.setdefault(key, [0, 0])
+            at[0], at[1] = at[0] + n, at[1] + n
+    if held:
+        yield rows(held)
+
+
+def _tree(nodes: DataFrame, kind: str, most: int) -> list[tuple]:
+    """The tree of at most `most` nodes that most values share, as Automaton takes it: a node's parent has no less, and comes before it."""
+    nodes = nodes.filter(F.col("kind") == kind)
+    follow = nodes.filter("depth > 0").groupBy(F.col("parent").alias("node")).agg(F.map_from_entries(F.collect_list(F.struct("class", "total"))).alias("uses"))  # a few classes
+    top = nodes.orderBy(F.desc("total"), "depth", "node").limit(most).join(follow, "node", "left").orderBy(F.desc("total"), "depth", "node")
+    place, out = {}, []
+    for r in top.collect():
+        place[r.node] = len(out)
+        out.append((r.total, r.ends, dict(r.uses or {}), place.get(r.parent, 0), r["class"]))
+    return out
+
+
+def _counts(strings: DataFrame, automata: dict[str, Automaton]) -> dict[str, dict]:
+    """By kind, what Automaton.recounted takes: of all strings (kind, classes, n)."""
 
-    def gather(batches):
-        least: dict[str, dict[str, int]] = {k: {} for k in KINDS}
-        limit = dict.fromkeys(KINDS, labelled) | {"grammar": ordinary}
-
-        def trim(kind):
-            if len(least[kind]) > limit[kind]:
-                least[kind] = dict(heapq.nsmallest(limit[kind], least[kind].items(), key=lambda x: (x[1], x[0])))
-
-        for b in common.slices(batches, text_col):
-            for text in b.column(0).to_pylist():
-                if text:
-                    base = base_spans(text)
-                    for kind, v in [*((x[0], x[3]) for x in base), *(("grammar", x[2]) for x in other_runs(text, base, whole=True))]:
-                        if len(v) <= LONGEST and v not in least[kind]:
-                            least[kind][v] = xxhash.xxh64_intdigest(v.encode()) >> 1
-                for kind in KINDS:
-                    if len(least[kind]) > 8 * limit[kind]:
-                        trim(kind)
-        for kind in KINDS:
-            trim(kind)
-            if least[kind]:
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(least[kind])), pa.array([*least[kind].values()], pa.int64()), pa.array([*least[kind]])], ["kind", "h", "value"])
-
-    values = common.written(docs.mapInArrow(gather, "kind string, h long, value string"), "secrets").distinct()
-    got = {k: [r.value for r in values.filter(F.col("kind") == k).orderBy("h", "value").limit(ordinary if k == "grammar" else labelled).collect()] for k in KINDS}
-    return Grammar({k: v for k, v in got.items() if k != "grammar"}, got["grammar"])
+    def run(batches):
+        found: dict = {k: {} for k in automata}
+        for b in batches:
+            for kind, classes, n in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                automata[kind].counted(classes, n, found[kind])
+        rows = [(k, at, c, n) for k, f in found.items() for (at, c), n in f.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["kind", "state", "class", "n"])
+
+    got: dict = {k: {} for k in automata}
+    rows = strings.filter(F.col("kind").isin([*automata])).mapInArrow(run, "kind string, state int, class string, n long")
+    for r in rows.groupBy("kind", "state", "class").agg(F.sum("n").alias("n")).collect():  # a row for each state and class
+        got[r.kind][r.state, r["class"]] = r.n
+    return got
+
+
+def _kth(scores: DataFrame, share: float) -> float:
+    """The value at place int(share * (n - 1)) of rows (s, n), in order of s; bins are cut again until few rows are left in one."""
+    low, high, total = scores.agg(F.min("s"), F.max("s"), F.sum("n")).first()
+    place = int(share * (total - 1))
+    while low < high and scores.count() > FEW:
+        bins = F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        for r in scores.groupBy(bins.alias("bin")).agg(F.sum("n").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect():
+            if place < r.n:
+                break
+            place -= r.n
+        low, high = r.low, r.high
+        scores = scores.filter((F.col("s") >= low) & (F.col("s") <= high))
+    if low == high:
+        return low
+    for r in scores.orderBy("s").collect():  # FEW rows
+        if place < r.n:
+            return r.s
+        place -= r.n
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
+    """Grammar of all the corpus's distinct credentials and ordinary runs."""
+    common.small_batches(docs.sparkSession)
+    docs = common.pick(docs, text_col).toDF("text")
+    values = docs.mapInArrow(_values, "kind string, value string").distinct()
+    source, target = "".join(map(chr, _CLASS)), "".join(_CLASS.values())
+    strings = common.written(values.groupBy("kind", F.translate("value", source, target).alias("classes")).agg(F.count("*").alias("n")), "strings")
+    prefixes = strings.mapInArrow(_prefixes, "kind string, node long, parent long, class string, depth long, total long, ends long")
+    nodes = common.written(prefixes.groupBy("kind", "node", "parent", "class", "depth").agg(F.sum("total").alias("total"), F.sum("ends").alias("ends")), "prefixes")
+    size = {r.kind: r["count"] for r in nodes.groupBy("kind").count().collect()}
+    automata = {k: Automaton(tree=_tree(nodes, k, NODES)) for k in sorted(size)}
+    cut = {k: a for k, a in automata.items() if size[k] > NODES}
+    for k, found in (_counts(strings, cut) if cut else {}).items():
+        cut[k].recounted(found)
+    grammar = Grammar([a for k, a in automata.items() if k != "grammar"], automata.get("grammar"))
+    if not grammar.kinds or not grammar.ordinary:
+        return grammar
+
+    def score(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([grammar.ratio(c) for c in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["s", "n"])
+
+    scores = common.written(strings.filter("kind = 'grammar'").select("classes", "n").mapInArrow(score, "s double, n long"), "scores")
+    grammar.threshold = max(MARGIN, _kth(scores, RARE) + 2)
+    return grammar
 
 
 def find_secrets(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), redact: str | None = None) -> DataFrame:

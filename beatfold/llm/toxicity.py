@@ -34,9 +34,9 @@ WORD_BITS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN = 13, 16, 8, 16, 8
 GRAMS, LETTERS = (3, 4, 5, 6), 32
 EPOCHS, BATCH, RATE, SEED, DECAY = 8, 32, 0.01, 7, 0.01
 LEAST_STEPS, DROPPED = 225, 0.3
-LATER_BATCH, LATER_RATE, NEGLIGIBLE = 128, 0.002, 1e-3
+LATER_BATCH, LATER_RATE = 128, 0.002
 KNOWN_WORDS = 250_000
-AT_ONCE = 1024
+AT_ONCE, KEPT_WINDOWS = 1024, 8192
 BROADCAST_KEYS = 1_000_000
 PART = 4096
 CUTOFF = 0.7
@@ -194,16 +194,53 @@ class Network:
         parts = (rows[i : i + AT_ONCE] for i in range(0, len(rows), AT_ONCE))
         return np.concatenate([self.pooled(part, self.states(table, part))[2] for part in parts])
 
+    def pass_over(self, table: np.ndarray, rows: np.ndarray) -> tuple:
+        """States, what the way back needs of each step, attention, what states add, and the windows' logits."""
+        keep: list = []
+        h = self.states(table, rows, keep)
+        return (h, keep, *self.pooled(rows, h))
+
+    def taken_back(self, rows: np.ndarray, dwin: np.ndarray, passed: tuple, g: dict, du: np.ndarray, per: np.ndarray) -> None:
+        """Adds to g, du and per (gate inputs of each word) what the windows add to the gradient."""
+        h, keep, a, o, _ = passed
+        part = a * dwin
+        de = part * o
+        de -= a * de.sum(0)
+        ways = [(part, de), (part[::-1], de[::-1])]
+        for k, name in enumerate(("out", "attend")):
+            g[name] += np.concatenate([h[1:, i].reshape(-1, HIDDEN).T @ way[k].reshape(-1) for i, way in enumerate(ways)])
+        both = np.stack([self.w["out"].reshape(2, HIDDEN), self.w["attend"].reshape(2, HIDDEN)], 1)
+        dh = np.stack([np.stack(way, 2) @ both[i] for i, way in enumerate(ways)], 1)
+        back, ut = np.zeros((2, len(rows), HIDDEN), np.float32), np.ascontiguousarray(self.inner().swapaxes(2, 3))
+        gates = np.empty((WINDOW, 3, 2, len(rows), HIDDEN), np.float32)
+        inner = np.empty((3, 2, len(rows), HIDDEN), np.float32)
+        for t in reversed(range(WINDOW)):
+            (z, r), c, un = keep.pop()
+            d = dh[t]
+            d += back
+            to = gates[t]
+            to[2] = d * (1 - z) * (1 - c * c)
+            to[0] = d * (h[t] - c) * z * (1 - z)
+            to[1] = to[2] * un * r * (1 - r)
+            inner[:2] = to[:2]
+            np.multiply(to[2], r, inner[2])
+            du += h[t].swapaxes(1, 2) @ inner
+            back = d * z + (inner @ ut).sum(0)
+        for i in range(2):
+            at = (rows.T[::-1] if i else rows.T).reshape(-1)
+            for k, v in enumerate(gates[:, :, i].transpose(1, 3, 0, 2).reshape(3 * HIDDEN, -1)):
+                per[i, k] += np.bincount(at, v, per.shape[2])
+
     def gradients(self, words, rows, count, label, weight=1.0, least: float = 0.0):
         """Loss and gradients of a batch of texts; a text's logit is a smooth maximum over its windows. least: of the windows' parts in
         the gradient, the smallest, which make up this share of their sum, are not taken back through the network."""
         x, (order, word, grams, n_grams) = self.embed(words)
-        table, keep = self.projected(x), []
-        if least:
+        table, held = self.projected(x), {}
+        if least or len(rows) > KEPT_WINDOWS:
             win = self.logits(table, rows)
         else:
-            h = self.states(table, rows, keep)
-            a, o, win = self.pooled(rows, h)
+            held = {i: self.pass_over(table, rows[i : i + AT_ONCE]) for i in range(0, len(rows), AT_ONCE)}
+            win = np.concatenate([p[4] for p in held.values()])
         owner = np.repeat(np.arange(len(count)), count)
         top = np.maximum.reduceat(win, np.cumsum(count) - count)
         share = np.exp(2 * (win - top[owner]))
@@ -218,39 +255,18 @@ class Network:
             rows, dwin = rows[at], dwin[at]
             used[:] = False
             used[rows[rows > 0] - 1] = True
-            h = self.states(table, rows, keep)
-            a, o, _ = self.pooled(rows, h)
-        part = a * dwin
-        de = part * o
-        de -= a * de.sum(0)
-        ways = [(part, de), (part[::-1], de[::-1])]
-        g = {"bias": dwin.sum(keepdims=True)}
-        for k, name in enumerate(("out", "attend")):
-            g[name] = np.concatenate([h[1:, i].reshape(-1, HIDDEN).T @ way[k].reshape(-1) for i, way in enumerate(ways)])
-        both = np.stack([self.w["out"].reshape(2, HIDDEN), self.w["attend"].reshape(2, HIDDEN)], 1)
-        dh = np.stack([np.stack(way, 2) @ both[i] for i, way in enumerate(ways)], 1)
-        u, back = self.inner(), np.zeros((2, len(rows), HIDDEN), np.float32)
-        du, ut = np.zeros_like(u), np.ascontiguousarray(u.swapaxes(2, 3))
-        gates = np.empty((WINDOW, 3, 2, len(rows), HIDDEN), np.float32)
-        for t in reversed(range(WINDOW)):
-            (z, r), c, un = keep.pop()
-            d = dh[t]
-            d += back
-            to = gates[t]
-            to[2] = d * (1 - z) * (1 - c * c)
-            to[0] = d * (h[t] - c) * z * (1 - z)
-            to[1] = to[2] * un * r * (1 - r)
-            inner = np.stack([to[0], to[1], to[2] * r])
-            du += h[t].swapaxes(1, 2) @ inner
-            back = d * z + (inner @ ut).sum(0)
+        h = HIDDEN
+        g = {"bias": dwin.sum(keepdims=True), "out": np.zeros(2 * h, np.float32), "attend": np.zeros(2 * h, np.float32)}
+        du, per = np.zeros((3, 2, h, h), np.float32), np.zeros((2, 3 * h, len(x) + 1))
+        for i in range(0, len(rows), AT_ONCE):  # so many windows at once as stay in a cache
+            part = rows[i : i + AT_ONCE]
+            self.taken_back(part, dwin[i : i + AT_ONCE], held.pop(i, None) or self.pass_over(table, part), g, du, per)
         dx = np.zeros_like(x)
         for i, side in enumerate("fb"):
-            at = (rows.T[::-1] if i else rows.T).reshape(-1)
-            columns = gates[:, :, i].transpose(1, 3, 0, 2).reshape(3 * HIDDEN, -1)
-            per = np.stack([np.bincount(at, v, len(x) + 1) for v in columns], 1)[1:].astype(np.float32)
-            g[f"{side}U"] = du[:, i].swapaxes(0, 1).reshape(HIDDEN, 3 * HIDDEN)
-            g[f"{side}W"], g[f"{side}c"] = x.T @ per, per.sum(0)
-            dx += per @ self.w[f"{side}W"].T
+            own = np.ascontiguousarray(per[i, :, 1:].T, dtype=np.float32)
+            g[f"{side}U"] = du[:, i].swapaxes(0, 1).reshape(h, 3 * h)
+            g[f"{side}W"], g[f"{side}c"] = x.T @ own, own.sum(0)
+            dx += own @ self.w[f"{side}W"].T
         dx, used, sparse = dx[order], used[order], {}
         if used.any():
             sparse["words"] = row_sums(word[used], 1 << WORD_BITS, dx[used, :WORD_DIM].T)
@@ -319,7 +335,7 @@ def trained_further(net: Network, texts: list[list[str]], label: np.ndarray, wei
     for i, at in enumerate(np.array_split(np.arange(len(texts)), steps)):
         if any(texts[j] for j in at):
             words, rows, count = batch_rows([texts[j] for j in at], r)
-            _, grads, sparse = own.gradients(words, rows, count, label[at], weight[at], NEGLIGIBLE)
+            _, grads, sparse = own.gradients(words, rows, count, label[at], weight[at])
             adam.step(grads, sparse, LATER_RATE * (1 - i / steps), 0.0)
     return own
 
